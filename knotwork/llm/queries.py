@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from knotwork.llm.common import small_batches, table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.decontaminate import report
+
+    small_batches(spark)
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.sentencepiece_codec import model_path, token_digests
 
@@ -16,8 +23,30 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.langid import report
+
+    small_batches(spark)
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.pii import report
+
+    small_batches(spark)
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.jaccard_join import components
+
+    small_batches(spark)
+    return components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sentencepiece_codec,)}
+    every = (op2_decontaminate, op5_sentencepiece_codec, op6_langid, op8_pii, op9_jaccard_join)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
