@@ -30,6 +30,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.kd_shards import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.pii import report
 
@@ -45,7 +51,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_decontaminate, op5_sentencepiece_codec, op6_langid, op8_pii, op9_jaccard_join)
+    every = (op2_decontaminate, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join)
     return {f.__name__: f for f in every}
 
 
