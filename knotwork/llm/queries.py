@@ -16,6 +16,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.sentencepiece_codec import model_path, token_digests
 
@@ -51,7 +57,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_decontaminate, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join)
+    every = (op2_decontaminate, op3_imatch, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join)
     return {f.__name__: f for f in every}
 
 
