@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from knotwork.llm.common import small_batches, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.toxicity import report
+
+    small_batches(spark)
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.decontaminate import report
 
@@ -57,7 +64,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_decontaminate, op3_imatch, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join)
+    every = (op1_toxicity, op2_decontaminate, op3_imatch, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join)
     return {f.__name__: f for f in every}
 
 
