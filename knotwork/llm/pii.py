@@ -15,6 +15,7 @@ Memory is bounded by one text and its regions.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -217,6 +218,7 @@ def sentences(n: int, seed: int) -> Iterator[tuple[str, list[Span]]]:
         yield text, [(kind, begin, begin + len(value))] if kind else []
 
 
+@functools.lru_cache
 def train(n: int = 400, seed: int = 11, rounds: int = 25, rate: float = 0.6, decay: float = 1e-3) -> Field:
     """Gradient ascent on the conditional log-likelihood of n generated sentences."""
     field_ = Field(np.zeros((len(KINDS), 0)), {})

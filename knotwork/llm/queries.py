@@ -29,6 +29,13 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.quality import report
+
+    small_batches(spark)
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.sentencepiece_codec import model_path, token_digests
 
@@ -63,8 +70,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.htmlcrf import extract
+
+    small_batches(spark)
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_decontaminate, op3_imatch, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join)
+    every = (op1_toxicity, op2_decontaminate, op3_imatch, op4_byte_cnn, op5_sentencepiece_codec, op6_langid, op7_kd_shards, op8_pii, op9_jaccard_join, op10_html_crf)
     return {f.__name__: f for f in every}
 
 
