@@ -1,10 +1,546 @@
-"""Registered queries of the record-linkage operators, and their SQL."""
+"""Registered queries of the record-linkage operators, and their SQL for DuckDB.
+
+Views on the test tables: `pairs` takes orders as queries, suppliers as entities, a scaled price as score and a flag as truth;
+documents are queries (odd ids) and entities (even ids) labelled by language, linked in truth where their texts are equal.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from knotwork.functions import lexicon as L
+from knotwork.functions import pairs as P
+from knotwork.functions import similarity, textnorm
+from knotwork.operators import decide, evaluate, knn, learn, models, rules, tfidf
+from knotwork.plans import linkage
+from knotwork.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function as the query of its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = " ".join(sql.split())
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# -- views ------------------------------------------------------------------------------------------------------------
+PAIRS = "pairs AS (SELECT l_orderkey AS q_idx, l_suppkey AS s1_idx, max(l_extendedprice)/105000 AS p, max(l_returnflag) AS flag, CAST(max(l_linenumber) % 2 + 2 AS INTEGER) AS src FROM lineitem GROUP BY 1, 2)"
+BEST = "best AS (SELECT q_idx, s1_idx, p, flag, src FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY p DESC, s1_idx) r FROM pairs) WHERE r = 1)"
+TRUTH = "truth AS (SELECT q_idx, s1_idx FROM pairs WHERE flag = 'R')"
+UNIVERSE = "universe AS (SELECT DISTINCT s1_idx FROM pairs WHERE s1_idx % 5 <> 0)"
+F05 = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25*tp/(0.25*n_true + n_pred) END"
+NUMS = "list_transform(regexp_extract_all({0}, '[0-9]+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)"
+DOCS = "docs AS (SELECT doc_id AS id, lang AS label, text, doc_id % 2 = 1 AS is_query FROM documents)"
+SAME = "same AS (SELECT q.id AS q_idx, min(s.id) AS s1_idx FROM docs q JOIN docs s ON q.label = s.label AND q.text = s.text AND q.is_query AND NOT s.is_query GROUP BY 1)"
+EMB = """vecs AS (SELECT vec_id AS id, label, vec_id % 2 = 1 AS is_query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ sims AS (SELECT q.id AS q_idx, s.id AS s1_idx, round(list_dot_product(q.v, s.v), 6) AS cos FROM vecs q JOIN vecs s ON q.label = s.label AND q.is_query AND NOT s.is_query)"""
+KNN = """fwd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY cos DESC, s1_idx) - 1 AS rq FROM {0}) WHERE rq < 10),
+ rev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_idx ORDER BY cos DESC, q_idx) - 1 AS rs FROM {0}) WHERE rs < 10),
+ cands AS (SELECT q_idx, s1_idx, coalesce(f.cos, r.cos) AS cos, CAST(coalesce(rq, 255) AS INTEGER) AS rq, CAST(coalesce(rs, 255) AS INTEGER) AS rs FROM fwd f FULL JOIN rev r USING (q_idx, s1_idx))"""
+CONTEXT = """ctx AS (SELECT *, cos - q_best AS gap_q_best, cos - CASE WHEN q_rank = 1 THEN coalesce(q_second, -1) ELSE q_best END AS margin_q FROM
+ (SELECT *, max(CASE WHEN q_rank = 2 THEN cos END) OVER (PARTITION BY q_idx) AS q_second FROM
+ (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY cos DESC, s1_idx) AS q_rank, row_number() OVER (PARTITION BY s1_idx ORDER BY cos DESC, q_idx) AS s_rank, count(*) OVER (PARTITION BY q_idx) AS q_n, count(*) OVER (PARTITION BY s1_idx) AS s_n, max(cos) OVER (PARTITION BY q_idx) AS q_best, cos - max(cos) OVER (PARTITION BY s1_idx) AS gap_s_best FROM cands)))"""
+TFIDF = """terms AS (SELECT DISTINCT id, label, is_query, unnest(regexp_split_to_array(text, '\\s+')) AS term FROM docs),
+ tt AS (SELECT * FROM terms WHERE term <> ''),
+ idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs))/(1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
+ nw AS (SELECT id, sqrt(sum(idf*idf)) AS norm FROM tt JOIN idf USING (term) GROUP BY id),
+ w AS (SELECT id, label, is_query, term, idf/norm AS w FROM tt JOIN idf USING (term) JOIN nw USING (id)),
+ rare AS (SELECT label, term FROM w GROUP BY 1, 2 HAVING count(*) <= 12),
+ near AS (SELECT DISTINCT q.id AS q_idx, s.id AS s1_idx FROM w q JOIN rare USING (label, term) JOIN w s USING (label, term) WHERE q.is_query AND NOT s.is_query),
+ wsims AS (SELECT q_idx, s1_idx, round(sum(a.w*b.w), 6) AS cos FROM near JOIN w a ON a.id = q_idx JOIN w b ON b.id = s1_idx AND a.term = b.term GROUP BY 1, 2)"""
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q_idx"), F.col("l_suppkey").alias("s1_idx")).agg((F.max("l_extendedprice") / 105000).alias("p"), F.max("l_returnflag").alias("flag"), (F.max("l_linenumber") % 2 + 2).cast("int").alias("src"))
+
+
+def truth(p: DataFrame) -> DataFrame:
+    return p.filter("flag = 'R'").select("q_idx", "s1_idx")
+
+
+def universe(p: DataFrame) -> DataFrame:
+    return p.filter("s1_idx % 5 <> 0").select("s1_idx").distinct()
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text", (F.col("doc_id") % 2 == 1).alias("is_query"))
+
+
+def embedding_candidates(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
+    found = knn.knn_blocks(e.filter("id % 2 = 1"), e.filter("id % 2 = 0"), 10, 10, "label").withColumn("cos", F.round("cos", 6))
+    return knn.bidirectional(found, 10, 10)
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# -- blocking and surroundings ----------------------------------------------------------------------------------------
+@query(f"WITH {DOCS}, {TFIDF}, {KNN.format('wsims')}, {CONTEXT}, {SAME}, links AS (SELECT q_idx, s1_idx, cos, rq, rs, q_n, s_n, round(margin_q, 6) AS margin_q FROM ctx WHERE q_rank = 1 AND cos >= 0.8) SELECT l.*, s.q_idx IS NOT NULL AS is_true FROM links l LEFT JOIN same s ON l.q_idx = s.q_idx AND l.s1_idx = s.s1_idx")
+def link_documents(spark: SparkSession, d: str) -> DataFrame:
+    records = docs(spark, d)
+    links = linkage.link(linkage.candidates_by_words(records), 0.8)
+    true = linkage.same_text_truth(records).withColumn("hit", F.lit(True))
+    return links.join(true, ["q_idx", "s1_idx"], "left").select("q_idx", "s1_idx", F.col("p").alias("cos"), "rq", "rs", "q_n", "s_n", F.round("margin_q", 6).alias("margin_q"), F.col("hit").isNotNull().alias("is_true"))
+
+
+@query(f"WITH {EMB}, {KNN.format('sims')} SELECT q_idx, s1_idx, cos, CAST(rq AS INTEGER) AS rq FROM fwd")
+def knn_topk_fwd(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_candidates(spark, d).filter("rq < 10").select("q_idx", "s1_idx", "cos", "rq")
+
+
+@query(f"WITH {EMB}, {KNN.format('sims')} SELECT * FROM cands")
+def knn_topk_bidirectional(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_candidates(spark, d)
+
+
+@query(f"WITH {EMB}, {KNN.format('sims')}, {CONTEXT} SELECT q_idx, s1_idx, cos, rq, rs, q_rank, s_rank, q_n, s_n, round(gap_s_best, 6) AS gap_s_best, round(gap_q_best, 6) AS gap_q_best, round(margin_q, 6) AS margin_q FROM ctx")
+def pair_context_windows(spark: SparkSession, d: str) -> DataFrame:
+    out = knn.context_windows(embedding_candidates(spark, d))
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("q_rank", "s_rank")}), 6, "gap_s_best", "gap_q_best", "margin_q")
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT q_idx, s1_idx, p, row_number() OVER (PARTITION BY q_idx ORDER BY p DESC, s1_idx) AS p_qrank, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, q_idx) AS p_srank, max(p) OVER (PARTITION BY q_idx) AS b, p - max(p) OVER (PARTITION BY s1_idx) AS sg, count(*) OVER (PARTITION BY q_idx) AS pr_q_n, count(*) OVER (PARTITION BY s1_idx) AS pr_s_n, sum(CASE WHEN p - 0.5 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY s1_idx) AS npos FROM pairs),
+ s AS (SELECT *, max(CASE WHEN p_qrank = 2 THEN p END) OVER (PARTITION BY q_idx) AS b2 FROM r)
+ SELECT q_idx, s1_idx, p_qrank, p_srank, round(sg, 6) AS p_sgap, round(p - CASE WHEN p_qrank = 1 THEN coalesce(b2, -20) ELSE b END, 6) AS p_qmargin, pr_q_n, pr_s_n, CAST(npos AS BIGINT) AS xe_s_npos FROM s""")
+def competition_feats(spark: SparkSession, d: str) -> DataFrame:
+    out = knn.group_sizes(knn.competition(pairs(spark, d).select("q_idx", "s1_idx", "p"), "p", "p").withColumn("xe", F.col("p") - 0.5))
+    return rounded(out.drop("p", "xe").withColumns({c: F.col(c).cast("long") for c in ("p_qrank", "p_srank")}), 6, "p_sgap", "p_qmargin")
+
+
+@query(f"WITH {EMB}, {KNN.format('sims')}, m AS (SELECT *, greatest(max(cos*10) OVER (PARTITION BY q_idx), 0) AS top FROM cands) SELECT q_idx, s1_idx, round(exp(cos*10 - top)/(sum(exp(cos*10 - top)) OVER (PARTITION BY q_idx) + exp(0 - top)), 6) AS p FROM m")
+def listwise_softmax(spark: SparkSession, d: str) -> DataFrame:
+    out = knn.softmax_with_none(embedding_candidates(spark, d).withColumn("z", F.col("cos") * 10), "z")
+    return rounded(out.select("q_idx", "s1_idx", "p"), 6, "p")
+
+
+# -- assignment and decisions -----------------------------------------------------------------------------------------
+@query(f"WITH {PAIRS}, {BEST} SELECT q_idx, s1_idx, p, flag, src FROM best")
+def best_per_query(spark: SparkSession, d: str) -> DataFrame:
+    return decide.best_per_query(pairs(spark, d))
+
+
+@query(f"WITH {PAIRS} SELECT q_idx, s1_idx, p FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY p DESC, s1_idx) AS r FROM pairs) WHERE r <= 4 AND p >= 0.1")
+def prune_topk(spark: SparkSession, d: str) -> DataFrame:
+    return decide.prune(pairs(spark, d).select("q_idx", "s1_idx", "p"), 4, 0.1)
+
+
+@query(f"WITH {PAIRS}, {BEST} SELECT q_idx, s1_idx, p FROM best WHERE p >= 0.75")
+def threshold_links(spark: SparkSession, d: str) -> DataFrame:
+    return decide.threshold_links(decide.best_per_query(pairs(spark, d)), 0.75).select("q_idx", "s1_idx", "p")
+
+
+@query(f"WITH {PAIRS}, {BEST} SELECT q_idx, s1_idx, p FROM best JOIN supplier ON s_suppkey = s1_idx WHERE p >= CASE s_nationkey WHEN 1 THEN 0.9 WHEN 2 THEN 0.4 ELSE 0.75 END")
+def country_threshold(spark: SparkSession, d: str) -> DataFrame:
+    best = decide.best_per_query(pairs(spark, d)).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("s1_idx"), F.col("s_nationkey").alias("country")), "s1_idx")
+    return decide.country_threshold_links(best, spark.createDataFrame([(1, 0.9), (2, 0.4)], "country int, t double"), 0.75).select("q_idx", "s1_idx", "p")
+
+
+_SCORES = f"""pred AS (SELECT q_idx, s1_idx FROM best WHERE p >= 0.75),
+ tp AS (SELECT s1_idx, count(*) AS tp FROM pred JOIN truth USING (q_idx, s1_idx) GROUP BY 1), np AS (SELECT s1_idx, count(*) AS n_pred FROM pred GROUP BY 1), nt AS (SELECT s1_idx, count(*) AS n_true FROM truth GROUP BY 1),
+ u AS (SELECT s1_idx, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM universe LEFT JOIN tp USING (s1_idx) LEFT JOIN np USING (s1_idx) LEFT JOIN nt USING (s1_idx)),
+ uf AS (SELECT *, {F05} AS f FROM u)"""
+
+
+@query(f"WITH {PAIRS}, {BEST}, {TRUTH}, {UNIVERSE}, {_SCORES} SELECT s1_idx, tp, n_pred, n_true, round(f, 9) AS f FROM uf")
+def f05_entities(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    out = decide.entity_scores(decide.threshold_links(decide.best_per_query(p), 0.75), truth(p), universe(p))
+    return rounded(out, 9, "f")
+
+
+@query(f"WITH {PAIRS}, {BEST}, {TRUTH}, {UNIVERSE}, {_SCORES} SELECT count(*) AS n_entities, round(avg(f), 9) AS macro_f05, round(sum(tp)/sum(n_pred), 9) AS micro_p, round(sum(tp)/sum(n_true), 9) AS micro_r, round(avg(CASE WHEN n_true = 0 THEN f END), 9) AS f_singletons, round(avg(CASE WHEN n_true <> 0 THEN f END), 9) AS f_others FROM uf")
+def f05_macro(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    out = decide.macro_f05(decide.threshold_links(decide.best_per_query(p), 0.75), truth(p), universe(p))
+    return rounded(out, 9, "macro_f05", "micro_p", "micro_r", "f_singletons", "f_others")
+
+
+@query(f"""WITH {PAIRS}, {BEST}, {TRUTH}, {UNIVERSE}, grid AS (SELECT CAST(round(0.05 + 0.01*i, 2) AS DOUBLE) AS t FROM range(91) x(i)),
+ b AS (SELECT best.q_idx, s1_idx, p, CASE WHEN truth.q_idx IS NULL THEN 0 ELSE 1 END AS hit FROM best JOIN universe USING (s1_idx) LEFT JOIN truth USING (q_idx, s1_idx)),
+ k AS (SELECT t, s1_idx, sum(hit) AS tp, count(*) AS n_pred FROM grid JOIN b ON p >= t GROUP BY 1, 2), nt AS (SELECT s1_idx, count(*) AS n_true FROM truth GROUP BY 1),
+ u AS (SELECT t, s1_idx, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM grid CROSS JOIN universe LEFT JOIN k USING (t, s1_idx) LEFT JOIN nt USING (s1_idx))
+ SELECT t, round(avg({F05}), 9) AS macro_f05 FROM u GROUP BY t""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    return rounded(decide.threshold_sweep(decide.best_per_query(p), truth(p), universe(p)), 9, "macro_f05")
+
+
+@query()
+def ef_select(spark: SparkSession, d: str) -> DataFrame:
+    return decide.ef_select(decide.best_per_query(pairs(spark, d)), 1.0, 0.05)
+
+
+@query()
+def ef_sweep(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    return decide.ef_sweep(decide.best_per_query(p), truth(p), universe(p), (0.8, 1.25), (0.0, 0.15))
+
+
+@query(f"WITH {PAIRS} SELECT q_idx, s1_idx, src, p FROM (SELECT *, row_number() OVER (PARTITION BY s1_idx, src ORDER BY p DESC, q_idx) AS r FROM pairs) WHERE r <= CASE src WHEN 2 THEN 5 WHEN 3 THEN 6 ELSE 99 END")
+def cap_rule(spark: SparkSession, d: str) -> DataFrame:
+    return rules.cap_rule(pairs(spark, d)).select("q_idx", "s1_idx", "src", "p")
+
+
+@query("WITH many AS (SELECT p_type AS country, p_name AS ntok FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 2) SELECT p_partkey AS q_idx FROM part WHERE p_partkey % 2 = 1 AND NOT (p_size < 25 AND EXISTS (SELECT 1 FROM many WHERE country = p_type AND ntok = p_name))")
+def namesake_rule(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("q_idx"), F.col("p_type").alias("country"), F.col("p_name").alias("ntok"), (F.col("p_size") < 25).alias("amiss"))
+    return rules.namesake_rule(part.filter("q_idx % 2 = 1"), part.filter("q_idx % 2 = 0")).select("q_idx")
+
+
+_DECOYS = """n AS (SELECT c_custkey AS q_idx, s_suppkey AS s1_idx, CAST(c_custkey % 60 AS VARCHAR) AS qn, CAST(s_suppkey % 60 AS VARCHAR) AS sn, c_custkey % 3 = 0 AS leg FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("q_idx"), F.col("c_nationkey").alias("country"), F.array((F.col("c_custkey") % 60).cast("string")).alias("q_num"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("blue"), F.lit("group"))).otherwise(F.array(F.lit("blue"))).alias("q_tok"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("s1_idx"), F.col("s_nationkey").alias("country"), F.array((F.col("s_suppkey") % 60).cast("string")).alias("s_num"), F.array(F.lit("blue")).alias("s_tok"))
+    return c.join(s, "country")
+
+
+@query(f"WITH {_DECOYS} SELECT q_idx, s1_idx FROM n WHERE NOT (leg AND qn <> sn AND NOT contains(qn, sn) AND NOT contains(sn, qn) AND CAST(qn AS INTEGER) - CAST(sn AS INTEGER) IN (1,2,3,4,5,7,9,11,13,21))")
+def veto_rule(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    t = _numbered(spark, d).withColumn("decoy", P.decoy(c("s_tok"), c("q_tok"), c("s_num"), c("q_num"), F.array_except("q_tok", "s_tok")))
+    return rules.veto_rule(t).select("q_idx", "s1_idx")
+
+
+@query("""WITH p AS (SELECT CAST(l_linenumber % 4 AS VARCHAR) AS extra, CAST(l_suppkey % 5 AS VARCHAR) AS missing, l_linenumber <= 5 AS same_number FROM lineitem),
+ g AS (SELECT missing AS word, count(*) AS removed FROM p WHERE same_number GROUP BY 1), c AS (SELECT extra AS word, count(*) AS added FROM p WHERE same_number GROUP BY 1)
+ SELECT word FROM g JOIN c USING (word) WHERE removed >= 20 AND added >= 0.2*removed AND added <= 5*removed""")
+def swap_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select(F.array((F.col("l_linenumber") % 4).cast("string")).alias("extra"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("missing"), (F.col("l_linenumber") <= 5).alias("same_number"))
+    return rules.swap_vocabulary(rows, 20)
+
+
+@query(f"""WITH {EMB}, {KNN.format('sims')}, top AS (SELECT q_idx, s1_idx FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY cos DESC, s1_idx) AS r FROM cands) WHERE r = 1),
+ q AS (SELECT id, id % 10 AS fold, CASE WHEN id % 3 = 0 THEN id - 1 END AS t FROM vecs WHERE is_query)
+ SELECT id AS q_idx, CAST(CASE WHEN t IS NULL AND s1_idx IS NOT NULL THEN (s1_idx + 3) % 10 ELSE fold END AS BIGINT) AS fold FROM q LEFT JOIN top ON q_idx = id""")
+def refold(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    q = e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("q_idx"), (F.col("vec_id") % 10).alias("fold"), F.when(F.col("vec_id") % 3 == 0, F.col("vec_id") - 1).alias("true_s1"))
+    s = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("s1_idx"), ((F.col("vec_id") + 3) % 10).alias("fold"))
+    return rules.refold(q, embedding_candidates(spark, d), s).select("q_idx", "fold")
+
+
+@query()
+def val_fold(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", textnorm.fold_of(F.col("doc_id")).alias("fold"))
+
+
+# -- evaluation -------------------------------------------------------------------------------------------------------
+@query(f"WITH {DOCS}, {TFIDF}, {KNN.format('wsims')}, {SAME}, h AS (SELECT coalesce(rq, 255) AS rq FROM same LEFT JOIN cands USING (q_idx, s1_idx)) SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rq < k THEN 1.0 ELSE 0.0 END), 9) AS recall FROM h, (VALUES (1), (3), (5), (10), (20)) v(k) GROUP BY k")
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    records = docs(spark, d)
+    return rounded(evaluate.recall_at(linkage.same_text_truth(records), linkage.candidates_by_words(records)), 9, "recall")
+
+
+_MISS = """pruned AS (SELECT q_idx, s1_idx, p FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY p DESC, s1_idx) AS r FROM pairs) WHERE r <= 2 AND p >= 0.2), cand AS (SELECT q_idx, s1_idx FROM pairs WHERE s1_idx % 7 <> 0),
+ best2 AS (SELECT q_idx, s1_idx, p FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY p DESC, s1_idx) AS r FROM pruned) WHERE r = 1), links AS (SELECT q_idx, s1_idx, p FROM best2 WHERE p >= 0.6)"""
+
+
+def _stages(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    p = pairs(spark, d)
+    pruned = decide.prune(p.select("q_idx", "s1_idx", "p"), 2, 0.2)
+    best = decide.best_per_query(pruned)
+    return p, truth(p), p.filter("s1_idx % 7 <> 0"), pruned, best, decide.threshold_links(best, 0.6)
+
+
+@query(f"""WITH {PAIRS}, {TRUTH}, {_MISS} SELECT t.q_idx, t.s1_idx, CASE WHEN c.q_idx IS NULL THEN 'lost_in_blocking' WHEN u.q_idx IS NULL THEN 'lost_in_pruning' WHEN coalesce(b.s1_idx <> t.s1_idx, true) THEN 'other_s1_won' ELSE 'below_threshold' END AS stage
+ FROM truth t LEFT JOIN cand c ON t.q_idx = c.q_idx AND t.s1_idx = c.s1_idx LEFT JOIN pruned u ON t.q_idx = u.q_idx AND t.s1_idx = u.s1_idx LEFT JOIN best2 b ON t.q_idx = b.q_idx WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.q_idx = t.q_idx AND l.s1_idx = t.s1_idx)""")
+def miss_attribution(spark: SparkSession, d: str) -> DataFrame:
+    _, t, c, u, b, links = _stages(spark, d)
+    return evaluate.miss_stages(t, c, u, b, links)
+
+
+@query(f"""WITH {PAIRS}, {TRUTH}, {UNIVERSE}, {_MISS}, gt AS (SELECT q_idx, s1_idx FROM truth JOIN universe USING (s1_idx)), own AS (SELECT q_idx, s1_idx, p FROM links JOIN universe USING (s1_idx)),
+ it AS (SELECT g.q_idx, g.s1_idx, CASE WHEN o.q_idx IS NOT NULL THEN 'e' WHEN b.s1_idx = g.s1_idx THEN 'd' WHEN u.q_idx IS NOT NULL THEN 'c' WHEN c.q_idx IS NOT NULL THEN 'b' ELSE 'a' END AS cat FROM gt g LEFT JOIN own o ON o.q_idx = g.q_idx AND o.s1_idx = g.s1_idx LEFT JOIN pruned u ON u.q_idx = g.q_idx AND u.s1_idx = g.s1_idx LEFT JOIN cand c ON c.q_idx = g.q_idx AND c.s1_idx = g.s1_idx LEFT JOIN best2 b ON b.q_idx = g.q_idx),
+ items AS (SELECT s1_idx, cat, CASE WHEN cat = 'e' THEN 0 ELSE 1 END AS dtp, CASE WHEN cat = 'e' THEN 0 ELSE 1 END AS dnp FROM it UNION ALL SELECT s1_idx, CASE WHEN s1_idx IN (SELECT s1_idx FROM gt) THEN 'f' ELSE 'g' END, 0, -1 FROM own o WHERE NOT EXISTS (SELECT 1 FROM gt g WHERE g.q_idx = o.q_idx AND g.s1_idx = o.s1_idx)),
+ tp AS (SELECT s1_idx, count(*) AS tp FROM own JOIN gt USING (q_idx, s1_idx) GROUP BY 1), np AS (SELECT s1_idx, count(*) AS n_pred FROM own GROUP BY 1), nt AS (SELECT s1_idx, count(*) AS n_true FROM gt GROUP BY 1),
+ u0 AS (SELECT s1_idx, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM universe LEFT JOIN tp USING (s1_idx) LEFT JOIN np USING (s1_idx) LEFT JOIN nt USING (s1_idx)), uf AS (SELECT *, {F05} AS f FROM u0),
+ per AS (SELECT cat, s1_idx, count(*) AS n, sum(dtp) AS dtp, sum(dnp) AS dnp FROM items GROUP BY 1, 2), ch AS (SELECT cat, s1_idx, n, f, uf.tp + dtp AS tp, uf.n_pred + dnp AS n_pred, n_true FROM per JOIN uf USING (s1_idx))
+ SELECT cat, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT s1_idx) AS n_s1, round(sum({F05} - f)/(SELECT count(*) FROM universe), 9) AS gain FROM ch GROUP BY cat""")
+def loss_budget(spark: SparkSession, d: str) -> DataFrame:
+    p, t, c, u, b, links = _stages(spark, d)
+    return rounded(evaluate.loss_budget(t, c, u, b, links, universe(p)), 9, "gain")
+
+
+_EDGES = "(VALUES " + ", ".join(f"({a}, {b}, '{a:.2f}-{min(b, 1):.2f}')" for a, b in zip(P.BANDS, P.BANDS[1:], strict=False)) + ") e(lo, hi, band)"
+
+
+@query(f"WITH {PAIRS}, {BEST}, {TRUTH} SELECT band, count(*) AS links, round(avg(CASE WHEN truth.q_idx IS NULL THEN 0.0 ELSE 1.0 END), 9) AS precision FROM best JOIN {_EDGES} ON p >= lo AND p < hi LEFT JOIN truth ON truth.q_idx = best.q_idx AND truth.s1_idx = best.s1_idx GROUP BY band")
+def band_precision(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    return rounded(evaluate.band_precision(decide.best_per_query(p), truth(p)), 9, "precision")
+
+
+@query(f"WITH {PAIRS} SELECT src, count(*) AS links, round(avg(CASE WHEN p < 0.5 THEN 1.0 ELSE 0 END), 9) AS low, round(avg(CASE WHEN flag = 'R' THEN 1.0 ELSE 0 END), 9) AS is_r FROM pairs GROUP BY src")
+def link_profile(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.profile(pairs(spark, d).withColumn("is_r", F.col("flag") == "R"), ["is_r"], ["src"])
+    return out.select("src", "links", F.round("`p_0.00`", 9).alias("low"), F.round("is_r", 9).alias("is_r"))
+
+
+@query(f"""WITH {EMB}, {KNN.format('sims')}, top AS (SELECT a.q_idx, a.s1_idx, a.cos, a.cos - coalesce(b.cos, -1) AS margin FROM cands a LEFT JOIN (SELECT q_idx, cos FROM cands WHERE rq = 1) b ON a.q_idx = b.q_idx WHERE a.rq = 0) SELECT q_idx, s1_idx, cos, round(margin, 6) AS margin FROM top""")
+def dense_top2(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.dense_top2(embedding_candidates(spark, d)), 6, "margin")
+
+
+@query()
+def dense_grid(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("s1_idx")).filter("s1_idx % 2 = 0")
+    gt = e.select((F.col("s1_idx") + 1).alias("q_idx"), "s1_idx")
+    return evaluate.dense_grid(evaluate.dense_top2(embedding_candidates(spark, d)), gt, e)
+
+
+@query("SELECT p_type AS country, count(*) AS entities, CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS BIGINT) AS links, sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END)/count(*) AS per_entity FROM part GROUP BY 1")
+def links_per_entity(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "part").select(F.col("p_partkey").alias("s1_idx"), F.col("p_type").alias("country"), "p_size")
+    return evaluate.links_per_entity(e.filter("p_size > 25").select("s1_idx"), e)
+
+
+@query("""WITH g AS (SELECT p_type AS country, p_name AS ntok, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) SELECT p_partkey AS q_idx, CASE WHEN p_size >= 25 THEN 'addr' WHEN coalesce(n, 0) >= 2 THEN 'noaddr-namesake' ELSE 'noaddr-unique' END AS addr FROM part LEFT JOIN g ON country = p_type AND ntok = p_name WHERE p_partkey % 2 = 1""")
+def address_class(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("q_idx"), F.col("p_type").alias("country"), F.col("p_name").alias("ntok"), (F.col("p_size") < 25).alias("amiss"))
+    return evaluate.address_class(part.filter("q_idx % 2 = 0"), part.filter("q_idx % 2 = 1")).select("q_idx", "addr")
+
+
+@query(f"WITH {PAIRS}, a AS (SELECT flag, avg(p) AS p, avg(CAST(src AS DOUBLE)) AS src FROM pairs GROUP BY flag) SELECT feature, round(max(CASE WHEN flag = 'A' THEN m END), 9) AS \"A\", round(max(CASE WHEN flag = 'N' THEN m END), 9) AS \"N\", round(max(CASE WHEN flag = 'R' THEN m END), 9) AS \"R\" FROM (SELECT flag, 'p' AS feature, p AS m FROM a UNION ALL SELECT flag, 'src', src FROM a) GROUP BY feature")
+def compare_groups(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.compare_groups(pairs(spark, d), "flag", ["p", "src"]), 9, "A", "N", "R")
+
+
+# -- relational pieces ------------------------------------------------------------------------------------------------
+@query("SELECT o_orderkey AS sid, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS x FROM lineitem WHERE l_orderkey = o_orderkey)), '') AS ids FROM orders")
+def string_agg_links(spark: SparkSession, d: str) -> DataFrame:
+    links = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("sid"), F.col("l_suppkey").cast("string").alias("qid"))
+    return sinks.link_lists(links, read(spark, d, "orders").select(F.col("o_orderkey").alias("sid")))
+
+
+@query("SELECT c_custkey, 'with' AS kind FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) UNION ALL SELECT c_custkey, 'without' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def semi_anti_subset(spark: SparkSession, d: str) -> DataFrame:
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    some = c.join(o.filter("o_totalprice > 200000"), "c_custkey", "left_semi").select("c_custkey", F.lit("with").alias("kind"))
+    return some.unionByName(c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit("without").alias("kind")))
+
+
+@query(f"WITH {PAIRS}, {BEST} SELECT q_idx, s1_idx FROM best WHERE s1_idx % 50 = 0")
+def subset_check(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d)
+    return sinks.outside(decide.best_per_query(p), p.filter("s1_idx % 50 <> 0"), ["q_idx", "s1_idx"])
+
+
+@query("WITH k AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_orderkey, n FROM orders JOIN k USING (o_custkey, o_orderpriority)")
+def group_back_join(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return read(spark, d, "orders").select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey", "o_orderpriority")).alias("n"))
+
+
+@query("SELECT s_suppkey AS sid, x AS qid FROM (SELECT s_suppkey, unnest(string_split(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat(s_suppkey, ',,', s_suppkey + 1) END, ',')) AS x FROM supplier) WHERE x <> ''")
+def explode_links(spark: SparkSession, d: str) -> DataFrame:
+    from knotwork.sources.tables import explode_links as explode
+
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("sid"), F.when(F.col("s_suppkey") % 3 != 0, F.concat_ws(",", "s_suppkey", F.lit(""), F.col("s_suppkey") + 1)).alias("ids"))
+    return explode(s, "sid", "ids", "qid")
+
+
+# -- dictionaries and frequencies -------------------------------------------------------------------------------------
+@query("""WITH l AS (SELECT DISTINCT p_partkey AS idx, p_type AS country, unnest(string_split(p_name, ' ')) AS loc FROM part), n AS (SELECT country, loc, count(*) AS n FROM l GROUP BY 1, 2), c AS (SELECT p_type AS country, count(*) AS n_c FROM part GROUP BY 1),
+ r AS (SELECT idx, loc, n, n_c, row_number() OVER (PARTITION BY idx ORDER BY n, loc) AS r FROM l JOIN n USING (country, loc) JOIN c USING (country))
+ SELECT idx, coalesce(max(CASE WHEN r = 1 THEN loc END), '') AS afine1, coalesce(max(CASE WHEN r = 2 THEN loc END), '') AS afine2, round(max(CASE WHEN r = 1 THEN n/n_c END), 9) AS afine1_share FROM r GROUP BY idx""")
+def rare_locality(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("country"), F.array_distinct(F.split("p_name", " ")).alias("aloc"))
+    return rounded(learn.rare_localities(s), 9, "afine1_share")
+
+
+@query("SELECT p_partkey AS s1_idx, round(ln(1 + count(*) OVER (PARTITION BY p_type, p_name)), 9) AS freq FROM part")
+def name_freq(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "part").select(F.col("p_partkey").alias("s1_idx"), F.col("p_type").alias("country"), "p_name")
+    return rounded(knn.name_frequency(s, F.col("p_name")).select("s1_idx", "freq"), 9, "freq")
+
+
+@query("SELECT p_partkey AS s1_idx, round(ln(1 + count(*) OVER (PARTITION BY p_type, list_sort(list_distinct(string_split(p_name, ' '))))), 9) AS freq FROM part")
+def fullname_freq(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "part").select(F.col("p_partkey").alias("s1_idx"), F.col("p_type").alias("country"), "p_name")
+    return rounded(knn.name_frequency(s, knn.full_name_key(F.split("p_name", " "))).select("s1_idx", "freq"), 9, "freq")
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT q_idx, s1_idx, CASE WHEN q_idx % 4 <> 0 THEN q_idx % 7 END AS q_fn, CASE WHEN s1_idx % 6 <> 0 THEN s1_idx % 7 END AS s_fn FROM pairs), m AS (SELECT *, coalesce(CASE WHEN q_fn = s_fn THEN 1 ELSE 0 END, 0) AS same FROM n)
+ SELECT q_idx, s1_idx, CAST(CASE WHEN q_fn IS NULL THEN -1 ELSE count(*) OVER (PARTITION BY s1_idx, q_fn) - 1 END AS BIGINT) AS cl_same_qnum, CAST(CASE WHEN s_fn IS NULL THEN -1 ELSE sum(same) OVER (PARTITION BY s1_idx) - same END AS BIGINT) AS cl_same_snum, count(*) OVER (PARTITION BY s1_idx) AS cl_n FROM m""")
+def cluster_feats(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d).select("q_idx", "s1_idx", F.when(F.col("q_idx") % 4 != 0, F.col("q_idx") % 7).alias("q_fn"), F.when(F.col("s1_idx") % 6 != 0, F.col("s1_idx") % 7).alias("s_fn"))
+    return knn.cluster_counts(p).drop("q_fn", "s_fn").withColumns({c: F.col(c).cast("long") for c in ("cl_same_qnum", "cl_same_snum")})
+
+
+@query("""WITH r AS (SELECT quality = 1 AS y, unnest(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS word FROM documents JOIN labels USING (doc_id)), t AS (SELECT greatest(count(*) FILTER (quality = 1), 1) AS tp, greatest(count(*) FILTER (quality <> 1), 1) AS tn FROM documents JOIN labels USING (doc_id)),
+ c AS (SELECT word, count(*) FILTER (y) AS n_pos, count(*) FILTER (NOT y) AS n_neg FROM r GROUP BY 1 HAVING count(*) >= 20) SELECT word, n_pos, n_neg, round(ln((n_pos + 2)/(tp + 2.0)) - ln((n_neg + 2)/(tn + 2.0)), 9) AS lo FROM c, t""")
+def logodds_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select("doc_id", "text").join(read(spark, d, "labels"), "doc_id").select((F.col("quality") == 1).alias("y"), tfidf.word_terms(F.col("text")).alias("words"))
+    return rounded(learn.word_log_odds(rows, "words", "y"), 9, "lo")
+
+
+@query()
+def translit_votes(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select(F.array(F.lower("c_mktsegment"), F.lit("x")).alias("s_tok"), F.array(F.translate(F.lower("c_mktsegment"), "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"), F.lit("x")).alias("q_tok"))
+    return learn.translit_votes(c)
+
+
+@query("""WITH a AS (SELECT p_type AS country, p_name AS core, p_size AS fn FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2, 3 HAVING count(*) = 1)
+ SELECT q.p_partkey AS qid, s.p_partkey AS sid, q.p_type AS country FROM part q JOIN part s ON q.p_type = s.p_type AND q.p_name = s.p_name AND q.p_size = s.p_size JOIN a ON a.country = s.p_type AND a.core = s.p_name AND a.fn = s.p_size WHERE q.p_partkey % 2 = 1 AND s.p_partkey % 2 = 0 AND len(list_intersect(string_split(q.p_brand, '#'), string_split(s.p_brand, '#'))) > 0""")
+def silver_join(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("country"), F.split("p_name", " ").alias("ncore"), F.array(F.col("p_size").cast("string")).alias("anum"), F.split("p_brand", "#").alias("astreet"), F.split("p_name", " ").alias("atok"))
+    return rules.silver_pairs(r.filter("entity_id % 2 = 0"), r.filter("entity_id % 2 = 1"))
+
+
+# -- features ---------------------------------------------------------------------------------------------------------
+_PART_DOCS = "docs AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS text FROM part)"
+_PART_PAIRS = "ab AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)"
+_COS = """idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs))/(1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term), nw AS (SELECT id, sqrt(sum(idf*idf)) AS norm FROM tt JOIN idf USING (term) GROUP BY id), w AS (SELECT id, term, idf/norm AS w FROM tt JOIN idf USING (term) JOIN nw USING (id)),
+ dots AS (SELECT a, b, round(sum(x.w*y.w), 6) AS cos FROM ab JOIN w x ON x.id = a JOIN w y ON y.id = b AND x.term = y.term GROUP BY 1, 2) SELECT a, b, coalesce(cos, 0.0) AS cos FROM ab LEFT JOIN dots USING (a, b)"""
+
+
+def _part_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = read(spark, d, "part")
+    b = part.select(F.col("p_partkey").alias("b"), "p_type", "p_size", F.col("p_name").alias("nb"), F.col("p_brand").alias("bb"))
+    ab = part.select(F.col("p_partkey").alias("a"), "p_type", "p_size", F.col("p_name").alias("na"), F.col("p_brand").alias("ba")).join(b, ["p_type", "p_size"]).filter("a < b")
+    return ab, part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+
+
+@query(f"WITH {_PART_DOCS}, {_PART_PAIRS}, tt AS (SELECT DISTINCT id, unnest(string_split(text, ' ')) AS term FROM docs), {_COS}")
+def tfidf_word_cosine(spark: SparkSession, d: str) -> DataFrame:
+    ab, records = _part_pairs(spark, d)
+    return tfidf.pair_cosines(ab.select("a", "b"), tfidf.weights(records, tfidf.word_terms(F.col("text"))), "cos")
+
+
+@query(f"WITH {_PART_DOCS}, {_PART_PAIRS}, ws AS (SELECT DISTINCT id, ' ' || unnest(string_split(text, ' ')) || ' ' AS x FROM docs), tt AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS term FROM ws), {_COS}")
+def tfidf_char3_cosine(spark: SparkSession, d: str) -> DataFrame:
+    ab, records = _part_pairs(spark, d)
+    return tfidf.pair_cosines(ab.select("a", "b"), tfidf.weights(records, tfidf.char3_terms(F.col("text"))), "cos")
+
+
+@query(f"WITH {_PART_PAIRS} SELECT a, b, round(jaro_winkler_similarity(x.p_name, y.p_name), 9) AS jw, levenshtein(x.p_name, y.p_name) AS lev FROM ab JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b")
+def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
+    ab, _ = _part_pairs(spark, d)
+    return ab.select("a", "b", F.round(similarity.udfs()["jaro_winkler"](F.col("na"), F.col("nb")), 9).alias("jw"), F.levenshtein("na", "nb").cast("long").alias("lev"))
+
+
+@query()
+def fuzz_ratios(spark: SparkSession, d: str) -> DataFrame:
+    ab, _ = _part_pairs(spark, d)
+    u = similarity.udfs()
+    return ab.select("a", "b", *[u[k](F.col("na"), F.col("nb")).alias(k) for k in ("lcs_ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "osa")], F.size(similarity.extra_udf()(F.split("na", " "), F.split("nb", " "))).alias("n_extra"))
+
+
+@query(f"SELECT c_custkey, {NUMS.format('c_name')} AS nums FROM customer")
+def number_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select("c_custkey", textnorm.numbers_col(F.col("c_name")).alias("nums"))
+
+
+_NUM = f"""qn AS (SELECT c_custkey AS q_idx, c_nationkey AS k, list_distinct({NUMS.format("c_name || ' ' || CAST(CAST(round(abs(c_acctbal)) AS INTEGER) % 40 AS VARCHAR)")}) AS q, {NUMS.format("c_name || ' ' || CAST(CAST(round(abs(c_acctbal)) AS INTEGER) % 40 AS VARCHAR)")} AS ql FROM customer),
+ sn AS (SELECT s_suppkey AS s1_idx, s_nationkey AS k, list_distinct({NUMS.format("s_name || ' ' || CAST(CAST(round(abs(s_acctbal)) AS INTEGER) % 40 AS VARCHAR)")}) AS s, {NUMS.format("s_name || ' ' || CAST(CAST(round(abs(s_acctbal)) AS INTEGER) % 40 AS VARCHAR)")} AS sl FROM supplier),
+ nn AS (SELECT q_idx, s1_idx, q, s, ql[1] AS b, sl[1] AS a, len(list_intersect(q, s)) AS inter FROM qn JOIN sn USING (k))"""
+
+
+def _number_pairs(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda n, a: F.concat_ws(" ", n, (F.round(F.abs(a)).cast("int") % 40).cast("string"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("q_idx"), F.col("c_nationkey").alias("k"), textnorm.numbers_col(text("c_name", "c_acctbal")).alias("q"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("s1_idx"), F.col("s_nationkey").alias("k"), textnorm.numbers_col(text("s_name", "s_acctbal")).alias("s"))
+    return c.join(s, "k")
+
+
+@query(f"WITH {_NUM} SELECT q_idx, s1_idx, CAST(inter AS BIGINT) AS num_inter, round(inter/(len(q) + len(s) - inter), 9) AS num_jac, CASE WHEN a = b THEN 1 ELSE 0 END AS num_first_eq, CAST(len(s) AS BIGINT) AS s_nnum, CAST(len(q) AS BIGINT) AS q_nnum FROM nn")
+def number_overlap(spark: SparkSession, d: str) -> DataFrame:
+    f = P.number_overlap(F.col("s"), F.col("q"))
+    return rounded(_number_pairs(spark, d).select("q_idx", "s1_idx", *[(v.cast("long") if k in ("num_inter", "s_nnum", "q_nnum") else v).alias(k) for k, v in f.items()]), 9, "num_jac")
+
+
+@query(f"""WITH {_NUM} SELECT q_idx, s1_idx, CAST(a = b AS DOUBLE) AS hn_eq, CAST(a <> b AND (contains(a, b) OR contains(b, a)) AS DOUBLE) AS hn_contain, round(ln(1 + abs(CAST(b AS INTEGER) - CAST(a AS INTEGER))), 9) AS hn_gap, CAST(greatest(-100000, least(100000, CAST(b AS INTEGER) - CAST(a AS INTEGER))) AS DOUBLE) AS hn_signed,
+ CAST(inter = 0 AND len(list_filter(list_transform(s, lambda x: len(list_filter(q, lambda y: contains(x, y) OR contains(y, x)))), lambda n: n > 0)) = 0 AS DOUBLE) AS hn_conflict, round(inter/len(s), 9) AS s_nums_in_q, round(inter/len(q), 9) AS q_nums_in_s, CAST(inter AS DOUBLE) AS num_shared FROM nn""")
+def house_number_feats(spark: SparkSession, d: str) -> DataFrame:
+    f = P.house_numbers(F.col("s"), F.col("q"))
+    return rounded(_number_pairs(spark, d).select("q_idx", "s1_idx", *[v.alias(k) for k, v in f.items()]), 9, "hn_gap", "s_nums_in_q", "q_nums_in_s")
+
+
+@query(f"""WITH {_NUM}, x AS (SELECT q_idx, s1_idx, unnest(s) AS x FROM nn), y AS (SELECT q_idx, s1_idx, unnest(q) AS y FROM nn), st AS (SELECT q_idx, s1_idx, CAST(y AS INTEGER) - CAST(x AS INTEGER) AS d FROM x JOIN y USING (q_idx, s1_idx) JOIN nn USING (q_idx, s1_idx) WHERE NOT list_contains(q, x) AND NOT list_contains(s, y) AND NOT contains(x, y) AND NOT contains(y, x)),
+ b AS (SELECT q_idx, s1_idx, d FROM (SELECT *, row_number() OVER (PARTITION BY q_idx, s1_idx ORDER BY abs(d), d) AS r FROM st) WHERE r = 1) SELECT q_idx, s1_idx, CAST(coalesce(d <> 0 AND abs(d) <= 50, false) AS DOUBLE) AS num_move, CASE WHEN abs(d) <= 50 THEN CAST(d AS DOUBLE) ELSE 0.0 END AS num_move_signed FROM nn LEFT JOIN b USING (q_idx, s1_idx)""")
+def moved_number(spark: SparkSession, d: str) -> DataFrame:
+    f = P.moved_number(F.col("s"), F.col("q"))
+    return _number_pairs(spark, d).select("q_idx", "s1_idx", *[v.alias(k) for k, v in f.items()])
+
+
+_LEGAL = "[" + ", ".join(f"'{w}'" for w in sorted(L.LEGAL_WORDS)) + "]"
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS id, p_type, string_split(p_name, ' ') AS t, CASE p_partkey % 4 WHEN 0 THEN ['ltd'] WHEN 1 THEN ['group', 'llc'] WHEN 2 THEN ['corp'] ELSE [] END AS leg FROM part),
+ j AS (SELECT a.id AS s1_idx, b.id AS q_idx, list_filter(b.leg, lambda x: NOT list_contains(a.leg, x)) AS ad, list_filter(a.leg, lambda x: NOT list_contains(b.leg, x)) AS mi FROM e a JOIN e b ON a.p_type = b.p_type AND a.id < b.id AND b.id - a.id < 40)
+ SELECT s1_idx, q_idx, CAST(len(ad) AS DOUBLE) AS leg_add_n, CAST(len(mi) AS DOUBLE) AS leg_miss_n, CAST(list_contains(ad, 'group') AS DOUBLE) AS leg_add_strong, CAST(len(list_filter(ad, lambda x: x <> 'group')) > 0 AND len(list_filter(mi, lambda x: x <> 'group')) > 0 AS DOUBLE) AS leg_form_conflict FROM j""")
+def legal_words(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id") % 4
+    own = F.when(k == 0, F.array(F.lit("ltd"))).when(k == 1, F.array(F.lit("group"), F.lit("llc"))).when(k == 2, F.array(F.lit("corp"))).otherwise(F.array().cast("array<string>"))
+    e = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", F.split("p_name", " ").alias("t")).withColumn("t", F.concat("t", own))
+    j = e.select(F.col("id").alias("s1_idx"), "p_type", F.col("t").alias("s")).join(e.select(F.col("id").alias("q_idx"), "p_type", F.col("t").alias("q")), "p_type").filter("s1_idx < q_idx and q_idx - s1_idx < 40")
+    return j.select("s1_idx", "q_idx", *[v.alias(n) for n, v in P.legal_words(F.col("s"), F.col("q")).items()])
+
+
+# -- normalisation ----------------------------------------------------------------------------------------------------
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Beta ' || s_suppkey WHEN 1 THEN 'Acme' ELSE 'Gamma f/k/a ' END AS main FROM supplier")
+def alias_split(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("s_suppkey") % 3, F.col("s_suppkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("Acme Trading DBA Beta "), n)).when(k == 1, "Acme").otherwise("Gamma f/k/a ")
+    return read(spark, d, "supplier").select("s_suppkey", textnorm.main_name_col(name).alias("main"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN c_custkey || ' Elm Rd, Springfield' ELSE '' END AS addr FROM customer")
+def clean_address(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(" Elm Rd, NULL, , Springfield , n/a"))).otherwise(F.lit("-, None,"))
+    return read(spark, d, "customer").select("c_custkey", textnorm.clean_address_col(raw).alias("addr"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ['sarl', 'x1', 'z'] ELSE ['ab', 'cd'] END AS toks, ['blue', 'fern'] AS core FROM part")
+def merge_and_core(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.array(*map(F.lit, ["s", "a", "r", "l", "x1", "z"]))).otherwise(F.array(F.lit("ab"), F.lit("cd")))
+    core = F.array(*map(F.lit, "the blue fern fern group llc 42".split()))
+    return read(spark, d, "part").select("p_partkey", textnorm.merge_letters_col(raw).alias("toks"), textnorm.core_col(core).alias("core"))
+
+
+@query()
+def normalise_records(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.concat_ws(" ", "c_mktsegment", "c_name", F.lit("Limited")).alias("business_name"), F.concat(F.lit("N°"), F.col("c_custkey").cast("string"), F.lit(" bis Anenue du Général, "), F.col("c_mktsegment"), F.lit(", NULL")).alias("business_address"))
+    return textnorm.normalise(c)
+
+
+# -- learned models ---------------------------------------------------------------------------------------------------
+@query()
+def gbt_prune_oof(spark: SparkSession, d: str) -> DataFrame:
+    seen = knn.context_windows(embedding_candidates(spark, d)).withColumn("y", F.abs(F.col("q_idx") - F.col("s1_idx")) < 60).withColumn("fold", textnorm.fold_of(F.col("q_idx")))
+    kept, _ = models.prune_out_of_fold(seen, ["cos", "rq", "rs", "q_rank", "s_rank", "margin_q", "gap_s_best"], rounds=4)
+    return kept.select("q_idx", "s1_idx", "p_a", "fold")
+
+
+@query()
+def pair_scorer(spark: SparkSession, d: str) -> DataFrame:
+    seen = knn.context_windows(embedding_candidates(spark, d)).withColumn("y", F.col("cos") > 0.2)
+    scored = models.LogisticScorer(["cos", "rq", "rs"]).fit(seen).score(seen)
+    return knn.softmax_with_none(scored, "xe").select("q_idx", "s1_idx", "xe", "p")
+
+
+@query()
+def char_embedder(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("country"), F.col("p_name").alias("mtext"))
+    e = models.CharEmbedder(width=128).fit(r).transform(r)
+    return knn.ranked(knn.knn_blocks(e.filter("id % 2 = 1"), e.filter("id % 2 = 0"), 5, 0), "q_idx", "cos", "s1_idx", 5, "rq")
