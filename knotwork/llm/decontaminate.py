@@ -181,12 +181,12 @@ def blocks_of(benchmark: DataFrame, block_words: int, key: str, text: str) -> li
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs with n_words, n_hit, item_ids, longest_match and spans of the maximal verbatim matches."""
-    keep = keep if keep is not None else ["doc_id"]
+def _matched(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str, item_key: str, block_words: int) -> DataFrame:
+    """The named columns as _c0, _c1, ... (so that no name can clash), and HITS."""
     blocks = blocks_of(benchmark, block_words, item_key, "text")
-    fields = docs.select(*keep).schema
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], F.col(text).cast("binary").alias("_text"))
+    keep = rows.columns[:-1]
+    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
     schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest_match", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("item_id", pa.string()), ("item_begin", pa.int64())])))])
 
     def one(block: list[tuple[str, list[bytes]]], rows: DataFrame, names: list[str], ddl: str) -> DataFrame:
@@ -202,7 +202,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
 
         return rows.mapInArrow(run, ddl + HITS)
 
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     if len(blocks) == 1:
         return one(blocks[0], rows, keep, head)
     from knotwork.llm.common import materialize
@@ -218,6 +217,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
     return base.drop("_text").join(merged.withColumn("n_hit", sweep["n"]), "_row").select(*keep, "n_words", "n_hit", "item_ids", "longest_match", "spans")
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000, key: str = "doc_id") -> DataFrame:
+    """The key with n_words, n_hit, item_ids, longest_match and spans of the maximal verbatim matches."""
+    return _matched(docs, benchmark, [key], text, item_key, block_words).withColumnRenamed("_c0", key)
+
+
 def contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
@@ -231,7 +235,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs, all their columns, that are not contaminated."""
-    return matches(docs, benchmark, keep=docs.columns).filter(~contaminated()).select(*docs.columns)
+    kept = _matched(docs, benchmark, docs.columns, "text", "item_id", 2_000_000).filter(~contaminated())
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[int, int, list[str]]]:

@@ -105,10 +105,15 @@ def fit(rows: list[tuple[str, np.ndarray]], per_lang: int = 4, slack: float = 0.
     """rows: language and counts of each training text."""
     if not rows:
         return Model(np.ones(DIM), np.zeros((0, DIM)), [], np.zeros(0))
-    n = np.stack([r[1] for r in rows]).astype(np.float32)
-    model = Model(np.log((1 + len(n)) / (1.0 + (n > 0).sum(0))) + 1, np.zeros((0, DIM)), [], np.zeros(0))
-    x = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * model.idf.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.empty((len(rows), DIM), np.float32)
+    df = np.zeros(DIM)
+    for k, (_, n) in enumerate(rows):
+        df += n > 0
+        x[k] = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0)
+    model = Model(np.log((1 + len(x)) / (1.0 + df)) + 1, np.zeros((0, DIM)), [], np.zeros(0))
+    for row in x:  # in place: one copy of the sample is all that the driver holds
+        row *= model.idf
+        row /= max(float(np.linalg.norm(row)), 1e-12)
     lang = np.array([r[0] for r in rows])
     found, least = [], []
     for name in sorted(set(lang)):
@@ -132,26 +137,32 @@ def train(docs: DataFrame, per_language: int = 800, held_out: F.Column | None =
         for b in it:
             d = b.to_pydict()
             got = [(k, counts(t)) for k, t in zip(d["lang"], d["text"], strict=True)]
-            got = [(k, n.astype(np.float32).tobytes()) for k, n in got if n is not None]
+            got = [(k, np.minimum(n, 65535).astype(np.uint16).tobytes()) for k, n in got if n is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["lang", "n"])
 
-    got = picked.select("lang", "text").mapInArrow(run, "lang string, n binary").collect()
-    return fit(sorted(((r[0], np.frombuffer(bytes(r[1]), np.float32)) for r in got), key=lambda r: (r[0], r[1].tobytes())))
+    got = sorted((r[0], bytes(r[1])) for r in picked.select("lang", "text").mapInArrow(run, "lang string, n binary").toLocalIterator())
+    return fit([(k, np.frombuffer(n, np.uint16)) for k, n in got])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with lang_pred, score, rejected."""
-    keep = keep if keep is not None else ["doc_id"]
+def _predicted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The kept columns as _c0, _c1, ... (so that no name can clash) with lang_pred, score, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of centroids of fixed width a language
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    names = rows.columns[:-1]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in it:
             got = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, head + "lang_pred string, score double, rejected boolean")
+    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*names).schema)
+    return rows.mapInArrow(run, head + "lang_pred string, score double, rejected boolean")
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, rejected."""
+    return _predicted(docs, model, ["doc_id"]).withColumnRenamed("_c0", "doc_id")
 
 
 def held_out() -> F.Column:
@@ -165,4 +176,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """Rows of docs, all their columns, whose language is not rejected."""
-    return identify(docs, train(docs), keep=docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    kept = _predicted(docs, train(docs), docs.columns).filter(~F.col("rejected"))
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

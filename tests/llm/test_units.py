@@ -1,0 +1,265 @@
+"""Operators' kernels against brute force, exact round trips and held-out accuracy; no Spark."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import random
+import re
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from knotwork.llm import boosting, decontaminate, htmlcrf, imatch, jaccard_join, langid, pii, quality, sentencepiece_codec, toxicity
+
+# -- SentencePiece ----------------------------------------------------------------------------------------------------
+TEXTS = ["", " ", "a", "  a b  c ", "\n", "a\n b", "▁a ▁", "é漢\x00字", "ａｂ ﬁ​\xa0x", "<s> </s> <unk> <0x41>", "힣 😀😀", "�", " " * 100, "ab" * 5000, None]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+
+
+def same(codec, library, t):
+    ids = library.encode(t or "", add_eos=True)
+    got, begins, ends = codec.encode(t)
+    assert got.tolist() == ids
+    assert codec.decode([i for i in ids if i != codec.eos]) == library.decode(ids)
+    n, a, b, covered = next(codec.digests([t]))
+    assert (n, a, b) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    assert covered == len((t or "").encode())
+    assert begins[0] == 0 and (begins[1:] == ends[:-1]).all()  # spans follow each other without gaps
+
+
+@pytest.mark.parametrize("t", TEXTS)
+def test_codec_cases(codec, library, t):
+    same(codec, library, t)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é漢\n▁😀1", max_size=40))
+def test_codec_like_the_library(codec, library, t):
+    same(codec, library, t)
+
+
+def test_codec_forgets(library):
+    small = sentencepiece_codec.Codec(sentencepiece_codec.model_path(), cache=3)
+    for t in ("one two three four five", "six seven one two", "one"):
+        same(small, library, t)
+
+
+def trie(rules: dict[bytes, bytes]) -> bytes:
+    """A compiled character map for a few rules: a double array laid out by first fit."""
+    pool = b"".join(v + b"\0" for v in rules.values())
+    at, place = {}, 0
+    for k, v in rules.items():
+        at[k] = place
+        place += len(v) + 1
+    units = [0] * 4096
+    used = {0}
+
+    def put(node: int, prefix: bytes) -> None:
+        edges = sorted({k[len(prefix)] for k in rules if k.startswith(prefix) and len(k) > len(prefix)})
+        leaf = prefix in rules
+        base = next(b for b in range(1, 2048) if b ^ node < 1 << 21 and all(b ^ c not in used for c in [*edges, *([0] if leaf else [])]))
+        for c in [*edges, *([0] if leaf else [])]:
+            used.add(base ^ c)
+        units[node] |= (base ^ node) << 10 | 256 * leaf
+        if leaf:
+            units[base] = 1 << 31 | at[prefix]
+        for c in edges:
+            units[base ^ c] |= c
+            put(base ^ c, prefix + bytes([c]))
+
+    put(0, b"")
+    raw = struct.pack("<4096I", *units)
+    return struct.pack("<I", len(raw)) + raw + pool
+
+
+def test_character_map_takes_the_longest_prefix(codec):
+    m = sentencepiece_codec.CharsMap(trie({b"a": b"x", b"ab": b"yy", b"abc": b"", "é".encode(): b"e"}))
+    assert m.prefix(b"abd", 0) == (2, b"yy") and m.prefix(b"abc", 0) == (3, b"") and m.prefix(b"za", 0) is None and m.prefix(b"za", 1) == (1, b"x")
+    own = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    own.map, own.squeeze = m, True
+    text, offsets = own.normalize("  é ab  zabc ")
+    assert text == "▁e▁yy▁z"
+    # every normalised character knows the source bytes it came from; deleted ones (abc, at 10 to 12) go with the character before
+    assert offsets.tolist() == [0, 2, 4, 5, 5, 7, 9, 13]
+
+
+# -- decontamination --------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(40))
+def test_suffixes_find_what_brute_force_finds(seed):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(r.choice([2, 3, 8]))]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(str(i), text(r.choice([0, 1, 2, 3, 5, 13, 14, 20]))) for i in range(r.choice([0, 1, 3, 6]))]
+    docs = [text(r.choice([0, 1, 4, 13, 30, 60])) for _ in range(6)] + [None, ""]
+    docs += [f"{text(5)} {r.choice(items)[1].upper()}, zz-{text(4)}" for _ in range(3) if items]
+    window = r.choice([13, 4, 5])
+    s = decontaminate.Suffixes([(i, decontaminate.words_of(t.encode())) for i, t in items], window)
+    got = decontaminate.scan([d if d is None else d.encode() for d in docs], s)
+    for g, w in zip(got, decontaminate.brute_force(docs, items, window), strict=True):
+        assert (g[0], g[1], sorted(g[2])) == w
+        assert g[3] == max((e - b for b, e, _, _ in g[4]), default=0)
+
+
+# -- Jaccard join -----------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(40))
+def test_links_are_exact(seed):
+    r = random.Random(seed)
+    universe = list(range(r.choice([12, 30, 60])))
+    base = [set(r.sample(universe, r.randint(3, 10))) for _ in range(3)]
+    sets = []
+    for _ in range(r.randint(2, 30)):
+        s = set(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            s ^= {r.choice(universe)}
+        if s:
+            sets.append(frozenset(s))
+    df = {v: sum(v in s for s in sets) for v in universe}
+    rows = [(i, len(s), np.array([df[v] * 1000 + v for v in sorted((v for v in s if df[v] > 1), key=lambda v: (df[v], v))], "<u8").tobytes()) for i, s in enumerate(sets)]
+    got = jaccard_join.link_group(rows, 75)
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+    assert got == {i: min(j for j in range(len(sets)) if group[j] == group[i]) for i in range(len(sets))}
+
+
+def test_similar_sets_are_skipped():
+    """A group of near copies is decided with a few comparisons a set, not with all pairs."""
+    links = jaccard_join.Links(75)
+    common = list(range(1000, 1200))
+    for i in range(400):
+        links.add(200, [t for t in common if t % 97 != i % 97])
+    assert len({links.find(x) for x in range(400)}) == 1
+    assert links.computed + links.derived < 400 * 8 and links.skipped > 400
+
+
+def test_packing():
+    t = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 1000).astype(np.uint64))
+    a, b = jaccard_join.unpack(jaccard_join.pack(t, np.arange(len(t))))
+    assert (a == t).all() and (b == np.arange(len(t))).all()
+
+
+# -- personal data ----------------------------------------------------------------------------------------------------
+def naive(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_fixed_spans():
+    r = random.Random(5)
+    pieces = ["1", "23", "4539578763621486", "@", "@", ".", ".", "a", "b-", "+", " ", "-", "(", ")", "255", "300", "0", "a@b.c", "é", "\n"]
+    for _ in range(20000):
+        t = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        assert pii.fixed_spans(t) == naive(t), t
+
+
+def test_field_finds_new_sentences_and_keeps_fixed_spans():
+    model = pii.train()
+    right = total = 0
+    for text, spans in pii.sentences(300, 99):
+        got = pii.all_spans(text, model)
+        assert set(pii.fixed_spans(text)) <= set(got)
+        right, total = right + (got == spans), total + 1
+    assert right / total > 0.93
+    assert pii.mask("mail a.b@c.de now", pii.all_spans("mail a.b@c.de now", model)) == "mail <EMAIL> now"
+    assert pii.all_spans("", model) == [] and pii.all_spans("no numbers at all", model) == []
+
+
+# -- language, toxicity, quality --------------------------------------------------------------------------------------
+def test_centroids_tell_languages_apart():
+    r = random.Random(2)
+    text = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(n))
+    sound = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ber"], "cc": ["eau", "ou", "è"]}
+    model = langid.fit([(k, langid.counts(text(v, 30))) for k, v in sound.items() for _ in range(30)])
+    assert all(model.predict(text(v, 12))[0] == k for k, v in sound.items() for _ in range(10))
+    assert model.predict(None) == ("und", 0.0, True) and model.predict("123 !!")[0] == "und"
+    assert model.predict("ЖЖЖ ЩЩЩ ЫЫЫ")[2]
+    assert langid.fit([]).predict("abc") == ("und", 0.0, True)
+
+
+def test_boosting_and_calibration():
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    trees, iso = boosting.fit_calibrated(x[:400], y[:400])
+    p = iso(trees.raw(x[400:]))
+    assert ((p >= 0.5) == y[400:]).mean() > 0.9 and (0 <= p).all() and (p <= 1).all()
+    s = np.sort(rng.random(50))
+    assert (np.diff(iso(s)) >= 0).all()
+    assert boosting.fit_trees(x[:0], y[:0]).raw(x[:2]).tolist() == [0.0, 0.0]
+
+
+def test_toxic_features():
+    lex = toxicity.Lexicon([b"zork", b"blargh*"])
+    f = dict(zip(toxicity.NAMES, toxicity.features("You 1d10t zork blarghing YOU", lex), strict=True))
+    assert f["disguised"] >= 1 and f["learned"] > 0 and f["near_second"] == 2
+    assert toxicity.features(None, lex) == toxicity.features("", lex) == [0.0] * len(toxicity.NAMES)
+    assert dict(zip(toxicity.NAMES, toxicity.features("i d i o t", lex), strict=True))["disguised"] == 1
+
+
+def test_convolution_by_hand_and_learning():
+    net = quality.start(1)
+    data = quality.bytes_of(b"hello convolution, " * 400)
+    got = quality.describe(net, data)
+    steps = (len(data) - quality.WIDTH) // quality.STRIDE + 1
+    out = np.stack([net.embed[data[i * quality.STRIDE : i * quality.STRIDE + quality.WIDTH]].ravel() @ net.filters for i in range(steps)])
+    assert np.allclose(got[: quality.FILTERS], np.maximum(out.max(0), 0), atol=1e-4)
+    r = random.Random(1)
+    bad = [b" ".join(r.choice([b"ab***", b"cd$$$"]) for _ in range(60)) for _ in range(60)]
+    good = [b" ".join(r.choice([b"ab", b"cd", b"ef."]) for _ in range(60)) for _ in range(60)]
+    y = np.array([0] * 40 + [1] * 40, np.float32)
+    p = quality.predict(quality.fit(bad[:40] + good[:40], y), [*bad[40:], *good[40:], b"", None, b"x"])
+    assert (p[:20] < 0.5).all() and (p[20:40] >= 0.5).all() and ((0 <= p) & (p <= 1)).all()
+
+
+def test_chunks_cover_every_block():
+    for n in (1, 7, 8, 9, 15, 16, 100):
+        at = quality.chunk_starts(n)
+        assert {min(b, n - 1) for a in at for b in range(a, a + quality.CHUNK)} == set(range(n))
+
+
+# -- pages ------------------------------------------------------------------------------------------------------------
+def test_pages_not_seen_in_training():
+    chain = htmlcrf.train()
+    right = total = 0
+    for page, main in htmlcrf.pages(150, 77):
+        own, left = htmlcrf.blocks(page), list(main)
+        for b, k in zip(own, chain.label(own), strict=True):
+            hit = bool(left) and b.text == " ".join(html.unescape(left[0]).split())
+            left = left[1:] if hit else left
+            right, total = right + (hit == bool(k)), total + 1
+    assert right / total > 0.98
+    assert chain.text(None) == chain.text("") == "" and chain.text("<script>x</script>") == ""
+
+
+def test_blocks_of_broken_pages():
+    texts = [b.text for b in htmlcrf.blocks("<body><p>a &lt;b&gt;&nbsp;c<p>d<br>e<!-- x --><script>if(a<b)</script><li>f<li>g</ul></p>h < i")]
+    assert texts == ["a <b> c", "d e", "f", "g", "h < i"]
+    assert htmlcrf.blocks("<" * 3000 + 'a "' * 1000)
+
+
+def test_cuckoo():
+    keys = random.Random(1).sample(range(-(1 << 62), 1 << 62), 5000)
+    table = imatch.cuckoo(keys)
+    assert all(k in (table[k & (len(table) - 1)], table[k >> 24 & (len(table) - 1)]) for k in keys)
