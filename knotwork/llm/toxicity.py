@@ -34,7 +34,7 @@ _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CUT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _MIXED = re.compile(rb"[a-z][0-9@$!*|._-]{1,2}(?=[a-z])")
 _TOKEN_END = re.compile(rb"\s")
-_LEET = bytes.maketrans(b"0134578@$!|", b"oleastbasil")
+_LEET = [bytes.maketrans(b"0134578@$!|", b"o" + i + b"eastbas" + i + i) for i in (b"i", b"l")]  # 1, ! and | stand for i or l
 NAMES = ("words", "built_in", "learned", "hits", "dense", "second", "near_second", "capitals", "capital_words", "exclamations", "punctuation", "digits", "mixed", "disguised", "repeats", "word_length")
 
 
@@ -82,7 +82,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             end = _TOKEN_END.search(low, m.end())
             last = end.start() if end else len(low)
             token = low[begin : min(last, begin + 60)].strip(_PUNCT)
-            disguised += lexicon[token.translate(_LEET)] > 0 or lexicon[token.translate(None, _PUNCT)] > 0 or lexicon[token.translate(_LEET).translate(None, _PUNCT)] > 0
+            disguised += any(lexicon[w] or lexicon[w.translate(None, _PUNCT)] for w in (token, *(token.translate(t) for t in _LEET)))
     single = [len(w) == 1 for w in words]
     if sum(single) >= 4:  # letters parted by blanks
         at = 0
