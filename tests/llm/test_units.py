@@ -260,6 +260,7 @@ def test_blocks_of_broken_pages():
 
 
 def test_cuckoo():
-    keys = random.Random(1).sample(range(-(1 << 62), 1 << 62), 5000)
+    r = random.Random(1)
+    keys = [r.randrange(-(1 << 62), 1 << 62) for _ in range(5000)]
     table = imatch.cuckoo(keys)
     assert all(k in (table[k & (len(table) - 1)], table[k >> 24 & (len(table) - 1)]) for k in keys)
