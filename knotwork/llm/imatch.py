@@ -119,10 +119,9 @@ def with_next(rows: DataFrame, bounds: list[int], columns: list[str]) -> DataFra
     places = F.when(F.col("_key") == top, F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("_part") + 1, F.lit(len(bounds))).alias("p"), F.lit(1).alias("guest"))))
     laid = rows.withColumn("_key", key).withColumn("_part", part)
     laid = laid.withColumn("_at", F.explode(places.otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("guest"))))))
-    w = Window.partitionBy("_at.p").orderBy(F.col("_at.guest"), F.col("_key").desc(), F.xxhash64("text"))
-    for c in columns:
-        laid = laid.withColumn(f"next_{c}", F.lead(c).over(w))
-    return laid.filter("_at.guest = 0").drop("_key", "_part", "_at")
+    laid = laid.select(*rows.columns, "_key", F.col("_at.p").alias("_p"), F.col("_at.guest").alias("_guest"), F.xxhash64("text").alias("_tie"))
+    w = Window.partitionBy("_p").orderBy("_guest", F.col("_key").desc(), "_tie")  # one sort, and one exchange, for all columns
+    return laid.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("_guest = 0").drop("_key", "_p", "_guest", "_tie")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
