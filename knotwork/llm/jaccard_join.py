@@ -89,7 +89,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """bucket, chunk, kind, data: kind 0 lists a chunk's rows (ids, set sizes, signatures), kind 1 its tokens of a bucket."""
+    """bucket, chunk, kind, data: kind 0 lists a chunk's rows (ids, set sizes, signatures, the first row of the chunk with the same set), kind 1 its tokens of a bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -97,9 +97,9 @@ def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 24
         words = _Words()
 
-        def flush(ids: list, sizes: list, sigs: list, sets: list, owners: list) -> pa.RecordBatch:
+        def flush(ids: list, sizes: list, sigs: list, firsts: list, sets: list, owners: list) -> pa.RecordBatch:
             nonlocal chunk
-            meta = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n", "sig"])
+            meta = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.int64())], ["doc_id", "n", "sig", "first"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, meta.schema) as w:
                 w.write_batch(meta)
@@ -117,7 +117,7 @@ def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
             chunk += 1
             return out
 
-        ids, sizes, sigs, sets, owners, seen, total = [], [], [], [], [], {}, 0
+        ids, sizes, sigs, firsts, sets, owners, seen, total = [], [], [], [], [], [], {}, 0
         for b in it:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, k, words)
@@ -127,14 +127,15 @@ def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     sets.append(s)
                     owners.append(len(ids))
                     total += len(s)
+                firsts.append(seen[sig] if len(s) else len(ids))
                 ids.append(doc)
                 sizes.append(len(s))
                 sigs.append(sig)
                 if total >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
-                    yield flush(ids, sizes, sigs, sets, owners)
-                    ids, sizes, sigs, sets, owners, seen, total = [], [], [], [], [], {}, 0
+                    yield flush(ids, sizes, sigs, firsts, sets, owners)
+                    ids, sizes, sigs, firsts, sets, owners, seen, total = [], [], [], [], [], [], {}, 0
         if ids:
-            yield flush(ids, sizes, sigs, sets, owners)
+            yield flush(ids, sizes, sigs, firsts, sets, owners)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "bucket int, chunk long, kind int, data binary")
 
@@ -194,8 +195,9 @@ def _filter(percent: int):  # noqa: ANN202
                 k = int(o[i])
                 if n[k] - (j - i) < prefix_size(int(n[k]), percent):
                     tokens[k] = c[i:j].tobytes()
-        node = (int(pdf.chunk.iloc[0]) << 16) + np.arange(len(n))
-        return pd.DataFrame({"node": node, "doc_id": pd.array(ids, "Int64"), "n": n, "sig": sig, "tokens": tokens})
+        base, first = int(pdf.chunk.iloc[0]) << 16, meta["first"].to_numpy()
+        low = pd.Series(pd.array(ids, "Int64")).groupby(first).min().reindex(first).array  # least id of the chunk's copies
+        return pd.DataFrame({"node": base + np.arange(len(n)), "first": base + first, "doc_id": pd.array(ids, "Int64"), "low": low, "n": n, "sig": sig, "tokens": tokens})
 
     return run
 
@@ -344,7 +346,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 4000
     spark: SparkSession = docs.sparkSession
     bits = max(6, min(20, math.ceil(math.log2(2 * max(1, docs.rdd.getNumPartitions())))))
     counted = tokenise(docs, k, bits).groupBy("bucket").applyInPandas(_count, "chunk long, kind int, data binary")
-    sets = materialize(counted.groupBy("chunk").applyInPandas(_filter(percent), "node long, doc_id long, n long, sig binary, tokens binary"), "sets")
+    sets = materialize(counted.groupBy("chunk").applyInPandas(_filter(percent), "node long, first long, doc_id long, low long, n long, sig binary, tokens binary"), "sets")
 
     live = sets.filter("tokens is not null").select("node", "n", "tokens")
     postings = live.mapInArrow(_prefix_tokens(percent), "node long, token long")
@@ -365,12 +367,15 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 4000
         merged = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
         found = found.select("node").distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
-    classes = sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    by_sig = found.join(sets.select("node", "sig"), "node").select("sig", "root").distinct()
+    # one row a chunk stands for all its copies of a set, so copies of any number meet as few rows
+    firsts = sets.filter("sig is not null and node = first").select("node", "sig", "low")
+    classes = firsts.groupBy("sig").agg(F.min("low").alias("rep"))
+    by_sig = found.join(firsts.select("node", "sig"), "node").select("sig", "root").distinct()
     roots = by_sig.join(classes, "sig").groupBy("root").agg(F.min("rep").alias("comp"))
     joined = by_sig.join(roots, "root").groupBy("sig").agg(F.min("comp").alias("comp"))
     label = classes.join(joined, "sig", "left").select("sig", F.coalesce("comp", "rep").alias("component"))
-    return sets.select("doc_id", "n", "sig").join(label, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_first = firsts.join(label, "sig").select(F.col("node").alias("first"), "component")
+    return sets.select("doc_id", "n", "first").join(by_first, "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
