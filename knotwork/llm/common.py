@@ -46,11 +46,15 @@ def id_crc(doc_id: str = "doc_id") -> Column:
 def bounded_ids(df: DataFrame, per_class: int, label: str, seed: int = 7) -> list[tuple[int, object]]:
     """(doc_id, label) of at most per_class rows of each label: those of the lowest hash, so the choice depends on neither order nor partitions.
 
-    The rank window becomes a WindowGroupLimit: each task sends on per_class rows of a label at most, whatever the input's size.
+    Counts by label tell under which hash about twice as many rows lie; only those are ranked, so no task ranks a whole label.
     """
     from pyspark.sql import Window
 
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id")))
+    n = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    place = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    low = F.pmod(place, F.lit(1 << 30)) < (1 << 30) * ((2.0 * per_class + 200) / F.col("_n"))
+    few = df.join(n, F.col(label) == F.col("_label")).filter(low).select("doc_id", label, F.pmod(place, F.lit(1 << 30)).alias("_place"))
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_place", "doc_id")))
     return [(r[0], r[1]) for r in ranked.filter(F.col("_r") <= per_class).select("doc_id", label).collect()]
 
 
