@@ -42,30 +42,107 @@ def _chunked(side: DataFrame, label: str, size: int, name: str) -> tuple[DataFra
     return side.join(n, label).withColumn(f"c_{name}", chunk).drop(f"n_{name}"), n
 
 
+NO_PAIRS = pd.DataFrame({"q_idx": pd.Series(dtype="int64"), "s1_idx": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
+
+
+def nearest_pairs(sims: np.ndarray, k: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what can be among the k best of a row or the r best of a column; -inf is no pair. Ties to the lower index."""
+    keep = np.zeros(sims.shape, bool)
+    for m, most, mine in ((sims, k, keep), (sims.T, r, keep.T)):
+        most = min(most, m.shape[1])
+        if most:
+            order = np.argsort(-m, axis=1, kind="stable")[:, :most]
+            np.put_along_axis(mine, order, True, axis=1)
+    return np.nonzero(keep & (sims > -np.inf))
+
+
+def _meeting(q: DataFrame, s: DataFrame, label: str, size: int, columns: list[str]):  # noqa: ANN202
+    """Both sides dealt in chunks within their labels, each chunk laid out for every chunk of the other side."""
+    qs, nq = _chunked(q.select("id", label, *columns), label, size, "q")
+    ss, ns = _chunked(s.select("id", label, *columns), label, size, "s")
+    left = qs.join(ns, label).select(F.col(label).alias("q_label"), F.col("c_q").alias("q_cq"), F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)).alias("q_cs"), F.col("id").alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in columns])
+    right = ss.join(nq, label).select(F.col(label).alias("s_label"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("s_cq"), F.col("c_s").alias("s_cs"), F.col("id").alias("s_id"), *[F.col(c).alias(f"s_{c}") for c in columns])
+    return left.groupBy("q_label", "q_cq", "q_cs").cogroup(right.groupBy("s_label", "s_cq", "s_cs"))
+
+
 def knn_blocks(q: DataFrame, s: DataFrame, k: int, r: int, label: str = "country", size: int = 4096) -> DataFrame:
     """q, s: id, label, vec (unit vectors). q_idx, s1_idx, cos: every pair that can be among the k of a query or the r of an
     entity. Labels that one side lacks give none."""
-    qs, nq = _chunked(q.select("id", label, "vec"), label, size, "q")
-    ss, ns = _chunked(s.select("id", label, "vec"), label, size, "s")
-    # each chunk meets every chunk of the other side in its label
-    left = qs.join(ns, label).select(F.col(label).alias("q_label"), F.col("c_q").alias("q_cq"), F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)).alias("q_cs"), F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-    right = ss.join(nq, label).select(F.col(label).alias("s_label"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("s_cq"), F.col("c_s").alias("s_cs"), F.col("id").alias("s_id"), F.col("vec").alias("s_vec"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q_idx": pd.Series(dtype="int64"), "s1_idx": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
-            return none
+            return NO_PAIRS
         a, b = a.sort_values("q_id"), b.sort_values("s_id")
         sims = np.stack(a.q_vec.to_list()).astype(np.float64) @ np.stack(b.s_vec.to_list()).astype(np.float64).T
-        keep = set()
-        for m, most, turn in ((sims, k, False), (sims.T, r, True)):
-            order = np.argsort(-m, axis=1, kind="stable")[:, :most]  # stable: ties to the lower id
-            rows = np.repeat(np.arange(len(m)), order.shape[1])
-            keep |= set(zip(order.ravel().tolist(), rows.tolist(), strict=True)) if turn else set(zip(rows.tolist(), order.ravel().tolist(), strict=True))
-        i, j = (np.array(x) for x in zip(*sorted(keep), strict=True))
+        i, j = nearest_pairs(sims, k, r)
+        return pd.DataFrame({"q_idx": a.q_id.to_numpy()[i], "s1_idx": b.s_id.to_numpy()[j], "cos": sims[i, j]})
+
+    return _meeting(q, s, label, size, ["vec"]).applyInPandas(meet, "q_idx long, s1_idx long, cos double")
+
+
+def sparse_product(a_terms: list[np.ndarray], a_w: list[np.ndarray], b_terms: list[np.ndarray], b_w: list[np.ndarray]) -> np.ndarray:
+    """Inner products of sparse rows; -inf where two rows share no term. Terms that many rows have go through dense blocks, the
+    others pair by pair, so neither memory nor work grows with the vocabulary's square."""
+    n, m = len(a_terms), len(b_terms)
+    flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0)
+    at, bt = flat(a_terms), flat(b_terms)
+    shared = np.intersect1d(at, bt)
+    if not len(shared):
+        return np.full((n, m), -np.inf)
+
+    def part(terms: np.ndarray, ws: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, w = np.repeat(np.arange(len(sizes)), sizes), flat(ws)
+        code = np.searchsorted(shared, terms)
+        ok = shared[np.minimum(code, len(shared) - 1)] == terms
+        order = np.argsort(code[ok], kind="stable")
+        return code[ok][order], row[ok][order], w[ok][order]
+
+    ca, ra, wa = part(at, a_w, [len(t) for t in a_terms])
+    cb, rb, wb = part(bt, b_w, [len(t) for t in b_terms])
+    ia, ib = (np.searchsorted(c, np.arange(len(shared) + 1)) for c in (ca, cb))
+    na, nb = np.diff(ia), np.diff(ib)
+    heavy = na * nb * 200 > n * m
+    out, seen = np.zeros((n, m)), np.zeros(n * m, bool)
+    terms = np.flatnonzero(heavy)
+    for k in range(0, len(terms), 256):
+        own = terms[k : k + 256]
+        left, right = np.zeros((n, len(own))), np.zeros((m, len(own)))
+        for c, t in enumerate(own):
+            left[ra[ia[t] : ia[t + 1]], c] = wa[ia[t] : ia[t + 1]]
+            right[rb[ib[t] : ib[t + 1]], c] = wb[ib[t] : ib[t + 1]]
+        out += left @ right.T
+    flat_out = out.ravel()
+    seen |= flat_out > 0
+    light = np.flatnonzero(~heavy)
+    pairs = np.cumsum(na[light] * nb[light])
+    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.unique([0, *np.searchsorted(pairs, np.arange(4_000_000, pairs[-1] if len(pairs) else 0, 4_000_000)), len(light)])), strict=True):
+        t = light[lo:hi]
+        # every row of a with every row of b that has the term
+        reps = np.repeat(nb[t], na[t])
+        x = np.concatenate([np.arange(ia[v], ia[v + 1]) for v in t]) if len(t) else np.zeros(0, np.int64)
+        first = np.repeat(np.repeat(ib[t], na[t]), reps)
+        y = first + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        x = np.repeat(x, reps)
+        place = ra[x] * m + rb[y]
+        flat_out += np.bincount(place, wa[x] * wb[y], n * m)
+        seen[place] = True
+    return np.where(seen.reshape(n, m), out, -np.inf)
+
+
+def sparse_knn_blocks(q: DataFrame, s: DataFrame, k: int, r: int, label: str = "country", size: int = 2048, digits: int = 6) -> DataFrame:
+    """The same for sparse vectors: terms (array of long) and ws (array of double). Pairs without a common term are none; cosines are
+    rounded before they are ranked, so that equal ones tie."""
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return NO_PAIRS
+        a, b = a.sort_values("q_id"), b.sort_values("s_id")
+        arrays = lambda x, kind: [np.asarray(v, kind) for v in x]
+        sims = np.round(sparse_product(arrays(a.q_terms, np.int64), arrays(a.q_ws, np.float64), arrays(b.s_terms, np.int64), arrays(b.s_ws, np.float64)), digits)
+        i, j = nearest_pairs(sims, k, r)
         return pd.DataFrame({"q_idx": a.q_id.to_numpy()[i], "s1_idx": b.s_id.to_numpy()[j], "cos": sims[i, j]})
 
-    return left.groupBy("q_label", "q_cq", "q_cs").cogroup(right.groupBy("s_label", "s_cq", "s_cs")).applyInPandas(meet, "q_idx long, s1_idx long, cos double")
+    return _meeting(q, s, label, size, ["terms", "ws"]).applyInPandas(meet, "q_idx long, s1_idx long, cos double")
 
 
 def context_windows(pairs: DataFrame) -> DataFrame:

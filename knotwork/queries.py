@@ -60,9 +60,7 @@ TFIDF = """terms AS (SELECT DISTINCT id, label, is_query, unnest(regexp_split_to
  idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs))/(1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
  nw AS (SELECT id, sqrt(sum(idf*idf)) AS norm FROM tt JOIN idf USING (term) GROUP BY id),
  w AS (SELECT id, label, is_query, term, idf/norm AS w FROM tt JOIN idf USING (term) JOIN nw USING (id)),
- rare AS (SELECT label, term FROM w GROUP BY 1, 2 HAVING count(*) <= 12),
- near AS (SELECT DISTINCT q.id AS q_idx, s.id AS s1_idx FROM w q JOIN rare USING (label, term) JOIN w s USING (label, term) WHERE q.is_query AND NOT s.is_query),
- wsims AS (SELECT q_idx, s1_idx, round(sum(a.w*b.w), 6) AS cos FROM near JOIN w a ON a.id = q_idx JOIN w b ON b.id = s1_idx AND a.term = b.term GROUP BY 1, 2)"""
+ wsims AS (SELECT a.id AS q_idx, b.id AS s1_idx, round(sum(a.w*b.w), 6) AS cos FROM w a JOIN w b USING (label, term) WHERE a.is_query AND NOT b.is_query GROUP BY 1, 2)"""
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:

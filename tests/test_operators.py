@@ -35,6 +35,19 @@ def test_knn_blocks_against_numpy(spark):
     assert {(r.q_idx, r.s1_idx): [r.rq, r.rs] for r in got} == want
 
 
+def test_sparse_products():
+    rng = np.random.default_rng(5)
+    for heavy in (2, 40):
+        a, b = (rng.random((n, 30)) * (rng.random((n, 30)) < 0.2) for n in (25, 17))
+        a[:, :heavy % 30] = rng.random((25, heavy % 30))
+        rows = lambda x: ([np.flatnonzero(r) for r in x], [r[r > 0] for r in x])
+        got = knn.sparse_product(*rows(a), *rows(b))
+        want = np.where((a > 0).astype(int) @ (b > 0).T > 0, a @ b.T, -np.inf)
+        assert np.allclose(got, want)
+    none = knn.sparse_product([np.array([1])], [np.array([1.0])], [np.array([2])], [np.array([1.0])])
+    assert none.tolist() == [[-np.inf]]
+
+
 def test_margins(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.7), (1, 3, 0.4), (2, 1, 0.5)], "q_idx long, s1_idx long, cos double")
     got = {(r.q_idx, r.s1_idx): round(r.margin_q, 9) for r in knn.context_windows(df).collect()}
