@@ -8,7 +8,7 @@
 3. filter: rarest tokens first, two sets of Jaccard >= t share one of the first n - ceil(t n) + 1. A set whose prefix consists of
    tokens nobody else holds has no partner and ends here; most documents do.
 4. candidates: star edges from the least holder of each prefix token; their connected components are closed under links.
-5. verify: each component's sets meet in one task, in blocks when it is large (every pair of blocks meets then), and links are
+5. verify: each component's sets meet in one task, in blocks of bounded size when it is large (every pair of blocks meets then), and links are
    decided exactly. Index lists are blocks of postings sorted by position; a block is skipped when its positions leave too few
    tokens for the overlap, its sizes do not fit, or all its sets are linked to the probing set already. A set that is highly similar
    to one answered before derives its overlaps from that set's: bounds by the sizes of the two differences decide most, and only the
@@ -341,8 +341,9 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 4000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text). block: sets that meet in one task at most."""
+def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text). block: about how many tokens each of the two sides
+    that meet in a task has, if a group is larger than both."""
     spark: SparkSession = docs.sparkSession
     bits = max(6, min(20, math.ceil(math.log2(2 * max(1, docs.rdd.getNumPartitions())))))
     counted = tokenise(docs, k, bits).groupBy("bucket").applyInPandas(_count, "chunk long, kind int, data binary")
@@ -354,14 +355,14 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 4000
     star = postings.join(least, "token").filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     near = materialize(connected_components(star), "candidates")
 
-    sizes = near.groupBy("root").agg(F.count("*").alias("members"))
-    big = F.col("members") > block
-    member = near.join(sizes, "root").join(live, "node")
-    parts = F.ceil(F.col("members") / block).cast("int")
+    member = near.join(live, "node")
+    sizes = member.groupBy("root").agg(F.sum(F.octet_length("tokens") / 8).alias("weight"))
+    big = F.col("weight") > 2 * block
+    parts = F.ceil(F.col("weight") / block).cast("int")
     # a small group is one cell; a large one is dealt in parts, and each pair of parts meets in a cell
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     cells = F.when(big, F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))))
-    laid = member.withColumn("cell", F.explode(cells)).select(F.xxhash64("root", "cell.a", "cell.b").alias("g"), "node", "n", "tokens")
+    laid = member.join(sizes, "root").withColumn("cell", F.explode(cells)).select(F.xxhash64("root", "cell.a", "cell.b").alias("g"), "node", "n", "tokens")
     found = materialize(laid.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(percent), "node long, root long"), "links")
     if sizes.filter(big).limit(1).count():  # parts of one group answer apart: join their answers
         merged = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
