@@ -355,14 +355,14 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_00
     star = postings.join(least, "token").filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     near = materialize(connected_components(star), "candidates")
 
-    member = near.join(live, "node")
-    sizes = member.groupBy("root").agg(F.sum(F.octet_length("tokens") / 8).alias("weight"))
+    light = live.select("node", (F.octet_length("tokens") / 8).alias("own"))  # token lists are joined once, after their groups are weighed
+    sizes = near.join(light, "node").groupBy("root").agg(F.sum("own").alias("weight"))
     big = F.col("weight") > 2 * block
     parts = F.ceil(F.col("weight") / block).cast("int")
     # a small group is one cell; a large one is dealt in parts, and each pair of parts meets in a cell
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     cells = F.when(big, F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))))
-    laid = member.join(sizes, "root").withColumn("cell", F.explode(cells)).select(F.xxhash64("root", "cell.a", "cell.b").alias("g"), "node", "n", "tokens")
+    laid = near.join(sizes, "root").join(live, "node").withColumn("cell", F.explode(cells)).select(F.xxhash64("root", "cell.a", "cell.b").alias("g"), "node", "n", "tokens")
     found = materialize(laid.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(percent), "node long, root long"), "links")
     if sizes.filter(big).limit(1).count():  # parts of one group answer apart: join their answers
         merged = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
