@@ -3,7 +3,9 @@
 Texts become vectors of hashed letter n-grams (one to three lower-cased letters; every run of other characters is one blank),
 weighted by 1 + ln tf times idf and scaled to length one. Spherical k-means gives each language several centroids, and a text goes
 to the language of the centroid of greatest cosine. A text is rejected if it lies further from its centroid than all but a
-thousandth of that language's training texts, with slack, or has no letter.
+thousandth of that language's training texts lie from centroids fitted without them (each half of the distinct texts is measured
+against the other half's centroids), or has no letter. As cosines grow with the number of different n-grams, a text is held against
+training texts of about as many or more. A language of a single distinct text takes the least limits of the others.
 
 The classifier is fitted on at most per_language texts of each language (those of the lowest id hash), counted on the executors;
 prediction reads every whole text, in one map without a shuffle. Null and letterless texts give `und`, score 0, rejected. Rows
@@ -24,6 +26,7 @@ from knotwork.llm.common import bounded_ids, id_crc, with_ids
 
 BITS = 12
 DIM = 1 << BITS
+FEW = 50
 _MUL = np.uint32(2654435761)
 _tables: list[np.ndarray] = []
 
@@ -67,6 +70,11 @@ def counts(text: str | None) -> np.ndarray | None:
     return out + np.bincount(one >> shift, minlength=DIM)
 
 
+def band(n: np.ndarray) -> int:
+    """Number of different n-grams as a power of two."""
+    return int(np.count_nonzero(n)).bit_length() - 1
+
+
 def centroids(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; at most k unit vectors."""
     rng = np.random.default_rng(seed)
@@ -86,7 +94,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]  # of each centroid
-    least: np.ndarray  # cosine under which a centroid's text is rejected
+    least: np.ndarray  # centroids x bands: cosine under which a text is rejected
 
     def vector(self, n: np.ndarray) -> np.ndarray:
         v = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * self.idf
@@ -98,31 +106,53 @@ class Model:
             return "und", 0.0, True
         cos = self.centroids @ self.vector(n)
         j = int(cos.argmax())
-        return self.langs[j], float(min(1.0, max(0.0, cos[j]))), bool(cos[j] < self.least[j])
+        return self.langs[j], float(min(1.0, max(0.0, cos[j]))), bool(cos[j] < self.least[j, band(n)])
+
+
+def unseen(own: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Cosine of each text to the nearest centroid of the half of the texts without it; copies fall in one half. Empty for one text."""
+    number: dict[bytes, int] = {}
+    half = np.array([number.setdefault(v.tobytes(), len(number)) % 2 for v in own])
+    out = np.zeros(len(own) if len(number) > 1 else 0)
+    for h in (0, 1) if len(out) else ():
+        out[half == h] = (own[half == h] @ centroids(own[half != h], k, seed).T).max(1)
+    return out
+
+
+def limits(cos: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """For each band the 0.001 quantile of the cosines of texts from the band below upwards; where they are few, that of the band below."""
+    out = np.full(BITS + 1, np.inf)
+    for b in range(BITS + 1):
+        own = cos[bands >= b - 1]
+        out[b] = out[b - 1] if b and len(own) < FEW else np.quantile(own, 0.001) if len(own) else np.inf
+    return out
 
 
-def fit(rows: list[tuple[str, np.ndarray]], per_lang: int = 4, slack: float = 0.25, seed: int = 5) -> Model:
+def fit(rows: list[tuple[str, np.ndarray]], per_lang: int = 4, seed: int = 5) -> Model:
     """rows: language and counts of each training text."""
     if not rows:
-        return Model(np.ones(DIM), np.zeros((0, DIM)), [], np.zeros(0))
+        return Model(np.ones(DIM), np.zeros((0, DIM)), [], np.zeros((0, BITS + 1)))
     x = np.empty((len(rows), DIM), np.float32)
     df = np.zeros(DIM)
     for k, (_, n) in enumerate(rows):
         df += n > 0
         x[k] = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0)
-    model = Model(np.log((1 + len(x)) / (1.0 + df)) + 1, np.zeros((0, DIM)), [], np.zeros(0))
+    model = Model(np.log((1 + len(x)) / (1.0 + df)) + 1, np.zeros((0, DIM)), [], np.zeros((0, BITS + 1)))
     for row in x:  # in place: one copy of the sample is all that the driver holds
         row *= model.idf
         row /= max(float(np.linalg.norm(row)), 1e-12)
-    lang = np.array([r[0] for r in rows])
+    lang, bands = np.array([r[0] for r in rows]), np.array([band(r[1]) for r in rows])
     found, least = [], []
     for name in sorted(set(lang)):
         own = x[lang == name]
         c = centroids(own, per_lang, seed)
         found.append(c)
         model.langs += [str(name)] * len(c)
-        least += [slack * float(np.quantile((own @ c.T).max(1), 0.001))] * len(c)
+        cos = unseen(own, per_lang, seed)
+        least += [limits(cos, bands[lang == name][: len(cos)])] * len(c)
     model.centroids, model.least = np.vstack(found).astype(np.float64), np.array(least)
+    known = model.least.min(0)
+    model.least = np.where(np.isfinite(model.least), model.least, np.where(np.isfinite(known), known, 0.0))
     return model
 
 
