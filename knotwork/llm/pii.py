@@ -2,12 +2,12 @@
 
 Fixed spans (leftmost, not overlapping within a kind, dropped when their check fails): email, ip, card, phone. They always stay.
 
-The random field reads regions around digits, at signs and their spelled-out forms. A region is a row of tokens (letters, digits,
-one other character); a candidate segment is a stretch of at most MAX_TOKENS tokens, and its features look at the whole of it: digit
-count and groups, separators, Luhn and octet checks, domain shape, hexadecimal length, and the words around. Dynamic programming
-over segment ends chooses boundaries and kinds together (Viterbi); weights are trained by gradient ascent on the conditional
-likelihood (forward-backward over segments) on generated sentences, a fixed number of them. Found segments that touch no fixed
-span are added; the kinds are those above and `secret` (keys and tokens).
+The random field reads regions around digits, at signs and their spelled-out forms, whole spelled-out addresses included. A region
+is a row of tokens (letters, digits, one other character); a candidate segment is a whole spelled-out address or a stretch of at most
+MAX_TOKENS tokens, and its features look at the whole of it: digit count and groups, separators, Luhn and octet checks, domain shape,
+hexadecimal length, and the words around. Dynamic programming over segment ends chooses boundaries and kinds together (Viterbi);
+weights are trained by gradient ascent on the conditional likelihood (forward-backward over segments) on generated sentences, a
+fixed number of them. Found segments that touch no fixed span are added; the kinds are those above and `secret` (keys and tokens).
 
 Null texts count as empty and give no span. One row out for each row in, repeated rows too; further columns pass or are ignored.
 Memory is bounded by one text and its regions.
@@ -82,24 +82,36 @@ _TOKEN = re.compile(r"[0-9a-fA-F]{24,}|[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
 REACH = 28
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around seeds; neighbouring ones are joined."""
-    begin = end = -1
+_LABELS = r"[^\W_]++(?:[._-]++[^\W_]++)*+"
+_MORE = re.compile(rf" ?[(\[{{ ](?:dot|DOT)[)\]}} ] ?{_LABELS}")
+_SPELLED = re.compile(rf"[\w.%+-]++ ?[(\[{{ ](?:at|AT)[)\]}} ] ?{_LABELS}(?:{_MORE.pattern})++")
+_HOST = re.compile(rf"\s?{_LABELS}(?:\s?[(\[{{ ](?:dot|DOT)[)\]}} ]\s?{_LABELS})++")
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Stretches around seeds, whole spelled-out addresses among them; neighbouring ones are joined."""
+    near = []
     for m in _SEED.finditer(text):
-        if m[0][0] not in "0123456789@" and not re.match(r"\s?[\w.-]+\s?[(\[{ ](?:dot|DOT)[)\]} ]", text[m.end() : m.end() + 64]):
-            continue
-        if m.start() - REACH <= end:
-            end = min(len(text), m.end() + REACH)
-            continue
-        if end >= 0:
-            yield begin, end
-        begin, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-    if end >= 0:
-        yield begin, end
+        begin, end = m.span()
+        if m[0][0] not in "0123456789@":
+            host = _HOST.match(text, end)
+            if not host:
+                continue
+            begin, end = begin - (text[begin - 1 : begin] == " "), host.end()
+            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.%+-"):
+                begin -= 1
+        near.append((max(0, min(begin, m.start() - REACH)), min(len(text), max(end, m.end() + REACH))))
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(near):
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((begin, end))
+    return out
 
 
 CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "telephone"}, "email": {"mail", "email", "contact", "write"}, "card": {"card", "visa", "pay", "credit"}, "ip": {"ip", "host", "server", "address"}, "secret": {"token", "key", "secret", "password", "apikey"}}
-_FORMS = (("hex", re.compile(r"[0-9a-fA-F]{24,}")), ("dotted", re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")), ("address", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")), ("spelled", re.compile(r"[\w.%+-]+ ?[(\[{ ](?:at|AT)[)\]} ] ?[\w-]+(?: ?[(\[{ ](?:dot|DOT)[)\]} ] ?[\w-]+)+")), ("bracketed", re.compile(r"\(\d{3}\) ?\d{3}[ .-]\d{4}")), ("grouped", re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}")), ("plus", re.compile(r"\+\d[ ().\d-]+\d")), ("fours", re.compile(r"\d{4}(?:[ -]?\d{4}){2,3}(?:[ -]?\d{1,3})?")), ("plain", re.compile(r"\d+")), ("decimal", re.compile(r"\d+[.,]\d+")), ("date", re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}")))
+_FORMS = (("hex", re.compile(r"[0-9a-fA-F]{24,}")), ("dotted", re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")), ("address", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")), ("spelled", _SPELLED), ("bracketed", re.compile(r"\(\d{3}\) ?\d{3}[ .-]\d{4}")), ("grouped", re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}")), ("plus", re.compile(r"\+\d[ ().\d-]+\d")), ("fours", re.compile(r"\d{4}(?:[ -]?\d{4}){2,3}(?:[ -]?\d{1,3})?")), ("plain", re.compile(r"\d+")), ("decimal", re.compile(r"\d+[.,]\d+")), ("date", re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}")))
 
 
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
@@ -108,9 +120,11 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     s = text[a:b]
     if s[0].isspace() or s[-1].isspace() or not (s[-1].isalnum() or s[-1] == ")") or not any(c in "0123456789@" for c in s) and " dot " not in s and "dot" not in s.lower():
         return None
-    if "\n" in s or b - a > 80:
+    if "\n" in s or b - a > 80 and not _SPELLED.fullmatch(s):
         return None
     form = next((n for n, r in _FORMS if r.fullmatch(s)), "none")
+    if form == "spelled" and _MORE.match(text, b):  # not the whole address
+        return None
     d = _DIGITS.sub("", s)
     out = ["1", f"form={form}", f"digits={min(len(d), 20) if form in ('plain', 'fours', 'plus') else min(len(d) // 4, 5)}", f"{form} spaces={min(s.count(' '), 4)}"]
     left, right = text[a - 1 : a], text[b : b + 1]
@@ -142,11 +156,14 @@ class Field:
     def lattice(self, text: str, begin: int, end: int, grow: bool = False) -> Lattice:
         out = Lattice([(m.start(), m.end()) for m in _TOKEN.finditer(text, begin, end)])
         n = len(out.tokens)
+        first, beyond = ({t[k]: i for i, t in enumerate(out.tokens)} for k in (0, 1))
+        whole = {first[m.start()]: beyond[m.end()] + 1 for m in _SPELLED.finditer(text, begin, end) if m.start() in first and m.end() in beyond}
         out.ending = [[] for _ in range(n + 1)]
         for i in range(n):
             if text[out.tokens[i][0]].isspace():
                 continue
-            for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
+            ends = range(i + 1, min(n, i + MAX_TOKENS) + 1)
+            for j in [*ends, whole[i]] if whole.get(i, 0) > i + MAX_TOKENS else ends:
                 f = features(text, out.tokens, i, j)
                 if f and (grow or "form=none" not in f):
                     out.ending[j].append(len(out.segments))

@@ -9,7 +9,7 @@ import zlib
 import pyarrow.parquet as pq
 import pytest
 
-from knotwork.llm import langid
+from knotwork.llm import langid, pii
 
 POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
 
@@ -33,3 +33,21 @@ def test_limits_of_a_few_texts():
     n = langid.counts("one text of this language")
     assert not langid.fit([("en", n)]).predict("one text of this language")[2]
     assert not langid.fit([("en", n), ("en", n), ("fr", langid.counts("un texte")), ("fr", langid.counts("deux textes"))]).predict("one text of this language")[2]
+
+
+@pytest.mark.parametrize(
+    "address",
+    [
+        "anna at students dot physics dot uni-heidelberg dot de",
+        "max.mustermann (at) wirtschaftsinformatik-fakultaet (dot) de",
+        "john.doe (at) mail.example (dot) co (dot) uk",
+        "max [at] a [dot] b [dot] c [dot] d [dot] e [dot] org",
+        "a.very.long.local.part.with.many.pieces.in.it (at) host (dot) org",
+        "x1y2z3" * 12 + "(at)" + "y" * 70 + "(dot)x-y(dot)org",
+    ],
+)
+def test_spelled_out_addresses_are_masked_whole(address):
+    model = pii.train()
+    for left, right in (("", ""), ("Write to ", ", or call."), ("x\n", ".\nNo 12")):
+        text = left + address + right
+        assert pii.mask(text, pii.all_spans(text, model)) == f"{left}<EMAIL>{right}"
