@@ -11,7 +11,8 @@ per document afterwards. So what a task holds of the benchmark is bounded.
 
 Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A window is 13 consecutive words of an item; an item of fewer, but
 not none, is one window. Null and empty texts have no words, items without words no window. Repeated rows give repeated rows; with
-no benchmark rows nothing is hit; further columns are ignored.
+no benchmark rows nothing is hit; further columns are ignored. An item_id on several benchmark rows is one item; all rows
+without item_id are one more, null in item_ids and left out of the digest.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Suffixes:
     """Test suffixes of one block of items."""
 
-    items: list[tuple[str, list[bytes]]]
+    items: list[tuple[str | None, list[bytes]]]
     window: int = WINDOW
     number: dict[bytes, int] = field(default_factory=dict)
 
@@ -132,7 +133,7 @@ class Suffixes:
         return length
 
 
-def scan(texts: list[bytes | None], suffixes: Suffixes) -> list[tuple[int, int, list[str], int, list[tuple[int, int, str, int]]]]:
+def scan(texts: list[bytes | None], suffixes: Suffixes) -> list[tuple[int, int, list[str], int, list[tuple[int, int, str | None, int]]]]:
     """For each text: words, words hit, items with occurring windows, words of the longest match, maximal matches with places in text and item."""
     get, flat, starts = suffixes.number.get, [], []
     for t in texts:
@@ -151,8 +152,12 @@ def scan(texts: list[bytes | None], suffixes: Suffixes) -> list[tuple[int, int,
         return out
     doc = np.searchsorted(begin, place, side="right") - 1
     item = suffixes.item[test]
+    listed = set()
     for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
-        out[d][2].append(suffixes.items[i][0])
+        name = suffixes.items[i][0]
+        if (d, name) not in listed:
+            listed.add((d, name))
+            out[d][2].append(name)
     # of the occurrences on one diagonal of text and item only the first of a run starts a maximal match
     diagonal = place - suffixes.place[test]
     order = np.lexsort((place, diagonal, item))
@@ -167,7 +172,7 @@ def scan(texts: list[bytes | None], suffixes: Suffixes) -> list[tuple[int, int,
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_words: int, key: str, text: str) -> list[list[tuple[str, list[bytes]]]]:
+def blocks_of(benchmark: DataFrame, block_words: int, key: str, text: str) -> list[list[tuple[str | None, list[bytes]]]]:
     """The query set, read in blocks of bounded size."""
     out, size = [[]], 0
     for r in benchmark.select(F.col(key).cast("string"), F.col(text).cast("binary")).toLocalIterator():
@@ -176,8 +181,7 @@ def blocks_of(benchmark: DataFrame, block_words: int, key: str, text: str) -> li
             out.append([])
             size = 0
         size += len(words)
-        if r[0] is not None:
-            out[-1].append((r[0], words))
+        out[-1].append((r[0], words))
     return out
 
 
@@ -189,7 +193,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str,
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
     schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest_match", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("item_id", pa.string()), ("item_begin", pa.int64())])))])
 
-    def one(block: list[tuple[str, list[bytes]]], rows: DataFrame, names: list[str], ddl: str) -> DataFrame:
+    def one(block: list[tuple[str | None, list[bytes]]], rows: DataFrame, names: list[str], ddl: str) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +243,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[int, int, list[str]]]:
+def brute_force(texts: list[str | None], items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[tuple[int, int, list[str]]]:
     """Word by word; for tests."""
     out = []
     for t in texts:
@@ -253,7 +257,7 @@ def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], wi
                     if words[q : q + n] == own[p : p + n]:
                         hit |= set(range(q, q + n))
                         found.add(i)
-        out.append((len(words), len(hit), sorted(found)))
+        out.append((len(words), len(hit), sorted(found, key=lambda i: (i is None, i or ""))))
     return out
 
 

@@ -6,10 +6,12 @@ import random
 import string
 import zlib
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 
-from knotwork.llm import langid, pii
+from knotwork.llm import decontaminate, langid, pii
+from knotwork.llm.queries import OP2
 
 POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
 
@@ -51,3 +53,20 @@ def test_spelled_out_addresses_are_masked_whole(address):
     for left, right in (("", ""), ("Write to ", ", or call."), ("x\n", ".\nNo 12")):
         text = left + address + right
         assert pii.mask(text, pii.all_spans(text, model)) == f"{left}<EMAIL>{right}"
+
+
+@pytest.mark.parametrize("block_words", [10**6, 12])
+def test_repeated_and_null_item_ids(spark, block_words):
+    part = [" ".join(f"{c}{i}" for i in range(15)) for c in "abcd"]
+    docs = spark.createDataFrame([(1, f"{part[0]} x {part[1]}"), (2, f"y {part[2]}"), (3, part[3]), (4, f"{part[0]} {part[2]}")], "doc_id long, text string")
+    items = [("7", part[0]), ("7", part[1]), ("7", part[0]), (None, part[2]), ("8", "a0 b0 c0")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r.item_ids, key=str)) for r in decontaminate.matches(docs, bench, block_words=block_words).collect()}
+    assert got == {1: (31, 30, ["7"]), 2: (16, 15, [None]), 3: (15, 0, []), 4: (30, 30, ["7", None])}
+    assert [got[i] for i in (1, 2, 3, 4)] == decontaminate.brute_force([r.text for r in docs.orderBy("doc_id").collect()], items)
+    duck = duckdb.connect()
+    for name, t in (("documents", docs), ("benchmark", bench)):
+        duck.register(name, t.toArrow())
+    want = duck.execute(OP2)
+    report = decontaminate.report(docs, bench).select(*[c[0] for c in want.description])
+    assert sorted(map(tuple, report.collect())) == sorted(want.fetchall())
