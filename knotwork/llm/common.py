@@ -10,24 +10,54 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts reach 100 kB and more, so batches stay small enough for a Python worker of a few hundred MB.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Texts reach 100 kB and more, so batches stay small enough for a Python worker of a few hundred MB.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
+#: Labels that a classifier can have; their counts are gathered and broadcast, so a table with more is refused.
+MOST_LABELS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine (local master) may go without."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + os.path.join(tempfile.gettempdir(), "knotwork-shared")
     return got.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet below the shared folder and reads it back, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/knotwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Deletes a folder that nothing reads any more."""
+    if path:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cuts lineage: df written as Parquet below the shared folder and read back, so a lost executor costs no recomputation; and its path."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The table alone, for results that read it until the application ends."""
+    return written(df, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def id_crc(doc_id: str = "doc_id") -> Column:
@@ -43,26 +74,47 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
-def bounded_ids(df: DataFrame, per_class: int, label: str, seed: int = 7) -> list[tuple[int, object]]:
-    """(doc_id, label) of at most per_class rows of each label: those of the lowest hash, so the choice depends on neither order nor partitions.
+def label_counts(rows: DataFrame, label: str) -> DataFrame:
+    """_label, _n: one row a label, MOST_LABELS at most (more are an error), so it may be broadcast."""
+    got = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")).limit(MOST_LABELS + 1)
+    kind = rows.schema[label].dataType.simpleString()
+    found = got.collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different values of {label}")
+    return rows.sparkSession.createDataFrame([tuple(r) for r in found], f"_label {kind}, _n long")
 
-    Counts by label tell under which hash about twice as many rows lie; only those are ranked, so no task ranks a whole label.
-    """
-    from pyspark.sql import Window
 
-    n = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    place = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    low = F.pmod(place, F.lit(1 << 30)) < (1 << 30) * ((2.0 * per_class + 200) / F.col("_n"))
-    few = df.join(n, F.col(label) == F.col("_label")).filter(low).select("doc_id", label, F.pmod(place, F.lit(1 << 30)).alias("_place"))
-    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_place", "doc_id")))
-    return [(r[0], r[1]) for r in ranked.filter(F.col("_r") <= per_class).select("doc_id", label).collect()]
+def sample(docs: DataFrame, rows: DataFrame, per_class: int, label: str, most_bytes: int, seed: int = 7) -> DataFrame:
+    """doc_id, text, label: a sample of docs that depends on neither order nor partitions.
 
+    rows: doc_id, label. At most per_class ids of each label are taken, those of the lowest hash, as long as their texts together stay
+    within most_bytes a label (a text that would pass it is left out whole). An id met there with two labels is not taken; of an
+    id's different texts the one of least hash is. Counts by label tell under which hash about twice as many rows lie; only those leave the scan, so no
+    task ranks a whole label, and ids and lengths of twice the sample are all that is gathered.
+    """
+    from pyspark.sql import Window
 
-def with_ids(docs: DataFrame, pairs: list[tuple[int, object]], label: str, kind: str) -> DataFrame:
-    """Rows of docs whose id is among the sampled ones (a bounded list, so a broadcast join), with their label."""
     spark = docs.sparkSession
-    side = spark.createDataFrame(sorted(set(pairs), key=str), f"doc_id long, {label} {kind}").dropDuplicates(["doc_id"])
-    return docs.drop(label).join(F.broadcast(side), "doc_id")
+    kind = rows.schema[label].dataType.simpleString()
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
+    low = place < (1 << 30) * ((2.0 * per_class + 200) / F.col("_n"))
+    few = rows.join(F.broadcast(label_counts(rows, label)), F.col(label) == F.col("_label")).filter(low)
+    few = few.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_other")).filter(F.col(label) == F.col("_other"))
+    ranked = few.select("doc_id", label, place.alias("_place")).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_place", "doc_id")))
+    ids = [(r[0], r[1], r[2]) for r in ranked.filter(F.col("_r") <= per_class).select("doc_id", label, "_r").collect()]
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
+    # a bounded list of ids, so a broadcast
+    one = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(ids, f"doc_id {id_kind}, {label} {kind}, _r int")), "doc_id")
+    sizes = one.groupBy("doc_id").agg(F.first(label).alias(label), F.first("_r").alias("_r"), F.min_by(F.octet_length("text"), F.xxhash64("text")).alias("_size"), F.min(F.xxhash64("text")).alias("_hash"))
+    taken, spent = [], {}
+    for r in sorted(sizes.collect(), key=lambda r: r["_r"]):
+        size = spent.get(r[label], 0) + (r["_size"] or 0)
+        if size <= most_bytes:
+            spent[r[label]] = size
+            taken.append((r["doc_id"], r[label], r["_hash"]))
+    side = spark.createDataFrame(taken, f"doc_id {id_kind}, {label} {kind}, _hash long")
+    got = docs.select("doc_id", "text").join(F.broadcast(side), "doc_id").filter(F.xxhash64("text") == F.col("_hash"))
+    return got.groupBy("doc_id").agg(F.first("text").alias("text"), F.first(label).alias(label))
 
 
 def batches(it: Iterator, size: int) -> Iterator[list]:

@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import materialize
+from knotwork.llm.common import discard, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges: u, v long. Returns node, root (least node of the component) for every node of an edge between different nodes."""
+    """edges: u, v long. Returns node, root (least node of the component) for every node of an edge between different nodes.
+
+    Rounds grow with the logarithm of the longest path in practice; if max_rounds do not settle them, the run ends with an error,
+    never with a partial answer. A round's table goes as soon as the next one is written.
+    """
+    spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    e = materialize(e, "edges")
+    e, path = written(e, "edges")
     last = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u goes to the least of u and its neighbours
@@ -25,7 +30,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
+        e, after = written(small, "edges")
+        discard(spark, path)
+        path = after
         state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -7,7 +7,8 @@ thousandth of that language's training texts lie from centroids fitted without t
 against the other half's centroids), or has no letter. As cosines grow with the number of different n-grams, a text is held against
 training texts of about as many or more. A language of a single distinct text takes the least limits of the others.
 
-The classifier is fitted on at most per_language texts of each language (those of the lowest id hash), counted on the executors;
+The classifier is fitted on at most per_language texts of each language (those of the lowest id hash, of language_bytes bytes together at
+most; an id of two languages is left out), counted on the executors;
 prediction reads every whole text, in one map without a shuffle. Null and letterless texts give `und`, score 0, rejected. Rows
 come out as often as they go in; an empty table, or one without labelled texts, gives `und` throughout; other columns are ignored.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import bounded_ids, id_crc, with_ids
+from knotwork.llm.common import id_crc, sample
 
 BITS = 12
 DIM = 1 << BITS
@@ -156,22 +157,22 @@ def fit(rows: list[tuple[str, np.ndarray]], per_lang: int = 4, seed: int = 5) ->
     return model
 
 
-def train(docs: DataFrame, per_language: int = 800, held_out: F.Column | None = None) -> Model:
+def train(docs: DataFrame, per_language: int = 800, held_out: F.Column | None = None, language_bytes: int = 64 << 20) -> Model:
     """Fits on labelled rows that are not held out; what reaches the driver is bounded by per_language vectors a language."""
     rows = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if held_out is not None:
         rows = rows.filter(~held_out)
-    picked = with_ids(docs.select("doc_id", "text"), bounded_ids(rows, per_language, "lang"), "lang", "string")
+    picked = sample(docs, rows, per_language, "lang", language_bytes)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             d = b.to_pydict()
             got = [(k, counts(t)) for k, t in zip(d["lang"], d["text"], strict=True)]
-            got = [(k, np.minimum(n, 65535).astype(np.uint16).tobytes()) for k, n in got if n is not None]
+            got = [(k, n.astype("<u4").tobytes()) for k, n in got if n is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["lang", "n"])
 
     got = sorted((r[0], bytes(r[1])) for r in picked.select("lang", "text").mapInArrow(run, "lang string, n binary").toLocalIterator())
-    return fit([(k, np.frombuffer(n, np.uint16)) for k, n in got])
+    return fit([(k, np.frombuffer(n, "<u4")) for k, n in got])
 
 
 def _predicted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

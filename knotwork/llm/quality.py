@@ -6,8 +6,8 @@ mean and least chunk value (the least tells repetition: a chunk in which little
 a probability of that. Trained end to end by Adam on the logistic loss: as pooling passes gradients only to the steps that won,
 a step back costs little more than the steps it touches.
 
-Fitted on at most per_class labelled texts of each class (lowest id hash), whole texts, sent to the driver as bytes; scoring is one
-map. Memory is bounded: long texts are convolved in slabs. Null and empty texts are one blank. Without labels every score is 0.5.
+Fitted on at most per_class labelled texts of each class (lowest id hash), whole texts, of class_bytes bytes together at most, sent to
+the driver as bytes; an id labelled both ways is left out. Scoring is one map. Memory is bounded: long texts are convolved in slabs. Null and empty texts are one blank. Without labels every score is 0.5.
 Rows come out as often as they go in; other columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.boosting import sigmoid
-from knotwork.llm.common import bounded_ids, id_crc, with_ids
+from knotwork.llm.common import id_crc, sample
 
 WIDTH, STRIDE, BLOCK, CHUNK, DIM, FILTERS, HIDDEN = 8, 2, 32, 8, 8, 24, 16
 SLAB = 1 << 15  # steps convolved at once, a multiple of BLOCK
@@ -165,11 +165,11 @@ def fit(texts: list[bytes | None], y: np.ndarray, epochs: int = 6, batch: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, held_out: F.Column | None = None, label: str = "quality") -> Net:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, held_out: F.Column | None = None, label: str = "quality", class_bytes: int = 24 << 20) -> Net:
     rows = labels.select("doc_id", label).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out is not None:
         rows = rows.filter(~held_out)
-    picked = with_ids(docs.select("doc_id", "text"), bounded_ids(rows, per_class, label), label, "int")
+    picked = sample(docs, rows, per_class, label, class_bytes)
     got = sorted((r[0], r[1], bytes(r[2] or b"")) for r in picked.select("doc_id", label, F.col("text").cast("binary")).collect())
     return fit([r[2] for r in got], np.array([r[1] for r in got], np.float32))
 

@@ -6,7 +6,7 @@ parted by symbols, single letters in a row) and how many of them are in the lexi
 takes terms that are in far more toxic than other training texts; training texts are described by the lexicon of the half that they
 are not in, so it does not flatter itself.
 
-Fitted on at most per_class labelled texts of each class (lowest id hash); term counts are summed on the executors, and
+Fitted on at most per_class labelled texts of each class (lowest id hash), of class_bytes bytes together at most; term counts are summed on the executors, and
 LEXICON terms at most reach the driver. Scoring is one map over whole texts. Null and empty texts have features of zero and a score
 like any other; without labels every score is 0.5. Rows come out as often as they go in; other columns are ignored.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.boosting import Isotonic, Trees, fit_calibrated
-from knotwork.llm.common import bounded_ids, id_crc, with_ids
+from knotwork.llm.common import id_crc, sample
 
 LEXICON = 400
 BEGINNINGS = (5, 6, 7, 8)
@@ -126,11 +126,11 @@ def pick(counts: list[tuple[bytes, int, int]], toxic: int, other: int, most: int
     return [w for _, _, w in got[:most]]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, held_out: F.Column | None = None, label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, held_out: F.Column | None = None, label: str = "toxic", class_bytes: int = 64 << 20) -> Model:
     rows = labels.select("doc_id", label).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out is not None:
         rows = rows.filter(~held_out)
-    picked = with_ids(docs.select("doc_id", "text"), bounded_ids(rows, per_class, label), label, "int").select("text", F.col(label).alias("y"), (F.xxhash64("doc_id") % 2 == 0).alias("half"), F.xxhash64("doc_id").alias("place"))
+    picked = sample(docs, rows, per_class, label, class_bytes).select("text", F.col(label).cast("int").alias("y"), (F.xxhash64("doc_id") % 2 == 0).alias("half"), F.xxhash64("doc_id").alias("place"))
 
     def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
