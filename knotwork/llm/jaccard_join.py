@@ -2,7 +2,8 @@
 
 1. tokenise: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+, a document's set its distinct k-word shingles (hashed to 64 bits). A map
    task packs the sets of a run of documents (a chunk; copies within it once) by token bucket: sorted 40-bit remainders as
-   low words under a table of high bytes, with 16-bit document numbers. One shuffle of about six bytes a shingle.
+   low words under a table of high bytes, with 16-bit document numbers. One shuffle of about six bytes a shingle. What a chunk
+   knows of its rows (ids, sizes, signatures) is a group of its own there and meets no other chunk's.
 2. count: a bucket's task counts how many chunk members hold each token. Tokens that only one holds can link nothing; the others
    go back to their chunks with a frequency class. Second, smaller shuffle.
 3. filter: rarest tokens first, two sets of Jaccard >= t share one of the first n - ceil(t n) + 1. A set whose prefix consists of
@@ -14,6 +15,10 @@
    to one answered before derives its overlaps from that set's: bounds by the sizes of the two differences decide most, and only the
    differing tokens are looked up for the rest. Links that cannot change the components are not expanded.
 
+Shingles are told apart by 46 to 60 bits of their hash (40 and those of the bucket): among 5e9 shingles and 49 bits some 20,000 of
+them share a token by chance, spread over as many sets, and a link is wrong only where the true overlap is within that one token of
+the threshold. Everything after the hash is exact.
+
 Sets without words are empty and linked with nothing; fewer than k words make one shingle of the sequence. Null texts count as
 empty. Equal sets always link. Repeated rows and rows without id each keep their row; component_id is the least doc_id of the
 component. An empty table gives an empty result; further columns are ignored. No partner or candidate is capped or sampled.
@@ -89,7 +94,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """bucket, chunk, kind, data: kind 0 lists a chunk's rows (ids, set sizes, signatures, the first row of the chunk with the same set), kind 1 its tokens of a bucket."""
+    """bucket, chunk, kind, data: kind 0 lists a chunk's rows (ids, text hashes, set sizes, signatures, the first row of the chunk with
+    the same set) under a bucket of its own, kind 1 its tokens of a bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -97,13 +103,13 @@ def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 24
         words = _Words()
 
-        def flush(ids: list, sizes: list, sigs: list, firsts: list, sets: list, owners: list) -> pa.RecordBatch:
+        def flush(ids: list, hashes: list, sizes: list, sigs: list, firsts: list, sets: list, owners: list) -> pa.RecordBatch:
             nonlocal chunk
-            meta = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.int64())], ["doc_id", "n", "sig", "first"])
+            meta = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.int64())], ["doc_id", "h", "n", "sig", "first"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, meta.schema) as w:
                 w.write_batch(meta)
-            rows = [(chunk & ((1 << bits) - 1), 0, sink.getvalue().to_pybytes())]
+            rows = [((1 << bits) + chunk, 0, sink.getvalue().to_pybytes())]
             if sets:
                 tok = np.concatenate(sets) >> np.uint64(64 - REST - bits)
                 own = np.repeat(np.array(owners), [len(s) for s in sets])
@@ -113,13 +119,13 @@ def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
                 tok &= np.uint64((1 << REST) - 1)
                 rows += [(b, 1, pack(tok[i:j], own[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "chunk", "kind", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "chunk", "kind", "data"])
             chunk += 1
             return out
 
-        ids, sizes, sigs, firsts, sets, owners, seen, total = [], [], [], [], [], [], {}, 0
+        ids, hashes, sizes, sigs, firsts, sets, owners, seen, total = [], [], [], [], [], [], [], {}, 0
         for b in it:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = shingles(text, k, words)
                 sig = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 if len(s) and sig not in seen:
@@ -129,24 +135,24 @@ def tokenise(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     total += len(s)
                 firsts.append(seen[sig] if len(s) else len(ids))
                 ids.append(doc)
+                hashes.append(h)
                 sizes.append(len(s))
                 sigs.append(sig)
                 if total >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
-                    yield flush(ids, sizes, sigs, firsts, sets, owners)
-                    ids, sizes, sigs, firsts, sets, owners, seen, total = [], [], [], [], [], [], {}, 0
+                    yield flush(ids, hashes, sizes, sigs, firsts, sets, owners)
+                    ids, hashes, sizes, sigs, firsts, sets, owners, seen, total = [], [], [], [], [], [], [], {}, 0
         if ids:
-            yield flush(ids, sizes, sigs, firsts, sets, owners)
+            yield flush(ids, hashes, sizes, sigs, firsts, sets, owners)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "bucket int, chunk long, kind int, data binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(run, "bucket long, chunk long, kind int, data binary")
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the tokens that several chunk members hold, with their frequency class, for each chunk; kind 0 passes."""
-    plain = pdf[pdf.kind == 0]
+    """One bucket: the tokens that several chunk members hold, with their frequency class, for each chunk; a chunk's own group passes."""
+    plain, packed = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
     rows = [(c, 0, d) for c, d in zip(plain.chunk, plain.data, strict=True)]
-    packed = pdf[pdf.kind == 1]
     if len(packed):
-        bucket = np.uint64(int(pdf.bucket.iloc[0]))
+        bucket = np.uint64(int(packed.bucket.iloc[0]))
         got = [unpack(d) for d in packed.data]
         sizes = [len(t) for t, _ in got]
         tok, own = np.concatenate([t for t, _ in got]), np.concatenate([o for _, o in got])
@@ -196,8 +202,12 @@ def _filter(percent: int):  # noqa: ANN202
                 if n[k] - (j - i) < prefix_size(int(n[k]), percent):
                     tokens[k] = c[i:j].tobytes()
         base, first = int(pdf.chunk.iloc[0]) << 16, meta["first"].to_numpy()
-        low = pd.Series(pd.array(ids, "Int64")).groupby(first).min().reindex(first).array  # least id of the chunk's copies
-        return pd.DataFrame({"node": base + np.arange(len(n)), "first": base + first, "doc_id": pd.array(ids, "Int64"), "low": low, "n": n, "sig": sig, "tokens": tokens})
+        doc, h = pd.array(ids, "Int64"), meta.h.to_numpy()
+        # the least of the chunk's copies, by id (rows without one last) and text
+        order = np.lexsort((h, doc.fillna(0).to_numpy(np.int64), doc.isna()))
+        kinds, at = np.unique(first[order], return_index=True)
+        least = order[at][np.searchsorted(kinds, first)]
+        return pd.DataFrame({"node": base + np.arange(len(n)), "first": base + first, "doc_id": doc, "h": h, "low": doc[least], "low_h": h[least], "n": n, "sig": sig, "tokens": tokens})
 
     return run
 
@@ -341,13 +351,12 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text). block: about how many tokens each of the two sides
-    that meet in a task has, if a group is larger than both."""
+def _classed(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """doc_id, h (hash of the text), n, component_id, and the least row (low, low_h) of the component, of every row of docs."""
     spark: SparkSession = docs.sparkSession
     bits = max(6, min(20, math.ceil(math.log2(2 * max(1, docs.rdd.getNumPartitions())))))
     counted = tokenise(docs, k, bits).groupBy("bucket").applyInPandas(_count, "chunk long, kind int, data binary")
-    sets = materialize(counted.groupBy("chunk").applyInPandas(_filter(percent), "node long, first long, doc_id long, low long, n long, sig binary, tokens binary"), "sets")
+    sets = materialize(counted.groupBy("chunk").applyInPandas(_filter(percent), "node long, first long, doc_id long, h long, low long, low_h long, n long, sig binary, tokens binary"), "sets")
 
     live = sets.filter("tokens is not null").select("node", "n", "tokens")
     postings = live.mapInArrow(_prefix_tokens(percent), "node long, token long")
@@ -369,20 +378,41 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_00
         found = found.select("node").distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
     # one row a chunk stands for all its copies of a set, so copies of any number meet as few rows
-    firsts = sets.filter("sig is not null and node = first").select("node", "sig", "low")
+    firsts = sets.filter("sig is not null and node = first").select("node", "sig", F.struct(F.col("low").isNull().alias("none"), "low", "low_h").alias("low"))
     classes = firsts.groupBy("sig").agg(F.min("low").alias("rep"))
     by_sig = found.join(firsts.select("node", "sig"), "node").select("sig", "root").distinct()
     roots = by_sig.join(classes, "sig").groupBy("root").agg(F.min("rep").alias("comp"))
     joined = by_sig.join(roots, "root").groupBy("sig").agg(F.min("comp").alias("comp"))
-    label = classes.join(joined, "sig", "left").select("sig", F.coalesce("comp", "rep").alias("component"))
-    by_first = firsts.join(label, "sig").select(F.col("node").alias("first"), "component")
-    return sets.select("doc_id", "n", "first").join(by_first, "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    label = classes.join(joined, "sig", "left").select("sig", F.coalesce("comp", "rep").alias("least"))
+    by_first = firsts.join(label, "sig").select(F.col("node").alias("first"), "least")
+    return sets.select("doc_id", "h", "n", "first").join(by_first, "first", "left").select("doc_id", "h", "n", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.low")).alias("component_id"), F.col("least.low").alias("low"), F.col("least.low_h").alias("low_h"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, that are the first of their component (rows without id stay)."""
-    gone = components(docs).filter("doc_id > component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text). block: about how many tokens each of the two sides
+    that meet in a task has, if a group is larger than both."""
+    return _classed(docs, k, percent, block).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_000_000) -> DataFrame:
+    """One row of docs, all its columns, of each component: the least by doc_id (rows without id last), then by a hash of the text.
+
+    Decided by id and text together, so rows that share an id but not a text have each their own answer. Of several rows with the id
+    and text that stay, the one of the least hash of all columns does. Rows without words are linked with nothing and stay.
+    """
+    rows = materialize(_classed(docs, k, percent, block).filter("n > 0"), "near")
+    key = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("low_h"))
+    gone = rows.filter(~key).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    h = F.xxhash64("text")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h"))
+    kept = docs.join(gone, match, "left_anti")
+    again = rows.filter(key).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    # combined before the shuffle, so any number of equal rows is one row a task
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(again, match, "left_semi").groupBy(F.col("doc_id").alias("_id"), h.alias("_h")).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("_row"))
+    return kept.join(again, match, "left_anti").select(*docs.columns).unionByName(once.select("_row.*"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 75) -> list[tuple[int, int, int]]:
