@@ -1,13 +1,17 @@
 """Benchmark decontamination by suffix arrays.
 
 Each shard (an Arrow batch of documents) becomes one array of word numbers, 0 for words that no benchmark item has and between
-documents. Its suffixes that begin as some item passage does (their first words are a benchmark n-gram) are sorted: a sparse suffix
-array, as no other suffix can match. Every test suffix (a place in an item with a whole window before the item's end) is
-binary-searched; the suffixes between its two bounds are all its occurrences in the shard, and from each the longest verbatim match
-is followed word by word. No text is shuffled and nothing is gathered from the documents.
-
-A benchmark is cut into blocks of at most block_words words; with several blocks each is searched for itself, and hits are joined
-per document afterwards. So what a task holds of the benchmark is bounded.
+documents, and the suffixes that begin with a known word are sorted by rank doubling over as many words as the longest item has
+(beyond that, or beyond an unknown word, no test suffix can tell them apart). Every test suffix, that is every place of every item,
+is binary-searched word by word: the suffixes between its two bounds after d words are all the places in the shard that match it for
+d words, and the last bounds that are not empty give its longest verbatim match there. So each document's longest match with any
+item is known, whatever its length; matches of at least span_words words (or a whole shorter item) are listed with their places in
+text and item, and windows give the words that count as hit. No text is shuffled and nothing is gathered from the documents.
+
+A benchmark is read in blocks of at most block_words words (an item of more is a block of its own), and only one block is held at a
+time; with several blocks each is searched for itself, in one pass over the documents, and hits are joined per document afterwards.
+So what a task holds of the benchmark is bounded. A pass costs about a tokenisation of the documents, so up to some tens of blocks
+(1e8 benchmark words) this is cheaper than shuffling every document word to a join; beyond, join on hashed windows first.
 
 Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A window is 13 consecutive words of an item; an item of fewer, but
 not none, is one window. Null and empty texts have no words, items without words no window. Repeated rows give repeated rows; with
@@ -27,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-SEED = 4  # words by which candidate suffixes are found
+SPAN_WORDS = 8  # matches from this length on are listed
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
-HITS = "n_words long, n_hit long, item_ids array<string>, longest_match long, spans array<struct<begin:long,end:long,item_id:string,item_begin:long>>"
+HITS = "n_words long, n_hit long, item_ids array<string>, longest_match long, spans array<struct<begin:long,end:long,item_id:string,item_begin:long>>, hits array<struct<begin:long,end:long>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -39,169 +43,191 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Suffixes:
-    """Test suffixes of one block of items."""
+    """Test suffixes of one block of items: every place of every item, in one array of word numbers with -1 between items."""
 
     items: list[tuple[str | None, list[bytes]]]
     window: int = WINDOW
+    span_words: int = SPAN_WORDS
     number: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.items = [(i, w) for i, w in self.items if w]
-        for _, words in self.items:
-            for w in words:
-                self.number.setdefault(w, len(self.number) + 1)
-        rows, self.item, self.place, self.length = [], [], [], []
         flat: list[int] = []
-        self.start = [0] * len(self.items)
-        for k, (_, words) in enumerate(self.items):
-            ids = [self.number[w] for w in words]
-            self.start[k] = len(flat)
-            flat += [*ids, -1]
-            n = min(self.window, len(ids))
-            for p in range(len(ids) - n + 1):
-                rows.append(ids[p : p + n] + [0] * (self.window - n))
-                self.item.append(k)
-                self.place.append(p)
-                self.length.append(n)
+        for _, words in self.items:
+            flat += [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            flat.append(-1)
         self.flat = np.array([*flat, -1], np.int64)
-        self.rows = np.array(rows, np.int64).reshape(-1, self.window)
-        self.item, self.place, self.length, self.start = (np.array(x, np.int64) for x in (self.item, self.place, self.length, self.start))
-        # equal windows are searched once
-        _, first, self.group = np.unique(self.rows, axis=0, return_index=True, return_inverse=True) if len(rows) else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.group = self.group.ravel()
-        self.distinct, self.distinct_len = self.rows[first], self.length[first] if len(rows) else np.zeros(0, np.int64)
-        self.members = np.argsort(self.group, kind="stable")
-        self.member_at = np.searchsorted(self.group[self.members], np.arange(len(first) + 1))
-        base = len(self.number) + 1
-        self.base = base
-        long = self.distinct[self.distinct_len >= SEED]
-        self.pairs = np.unique(np.concatenate([long[:, j] * base + long[:, j + 1] for j in (0, 2)])) if len(long) else np.zeros(0, np.int64)
-        rank = lambda a, b: np.searchsorted(self.pairs, a * base + b)
-        self.seeds = np.unique(rank(long[:, 0], long[:, 1]) * (len(self.pairs) + 1) + rank(long[:, 2], long[:, 3])) if len(long) else self.pairs
-        self.short = np.unique(self.distinct[self.distinct_len < SEED][:, 0]) if len(rows) else self.pairs
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Places whose suffixes begin as a window does."""
-        keep = np.zeros(len(ids), bool)
-        if len(self.short):
-            keep |= np.isin(ids, self.short)
-        if len(self.seeds) and len(ids) > SEED:
-            at = np.flatnonzero((ids[:-3] > 0) & (ids[1:-2] > 0) & (ids[2:-1] > 0) & (ids[3:] > 0))
-            rank = []
-            for j in (0, 2):
-                code = ids[at + j] * self.base + ids[at + j + 1]
-                r = np.searchsorted(self.pairs, code)
-                ok = self.pairs[np.minimum(r, len(self.pairs) - 1)] == code
-                at, r = at[ok], r[ok]
-                rank = [x[ok] for x in rank] + [r]
-            code = rank[0] * (len(self.pairs) + 1) + rank[1]
-            r = np.minimum(np.searchsorted(self.seeds, code), len(self.seeds) - 1)
-            keep[at[self.seeds[r] == code]] = True
-        return np.flatnonzero(keep)
-
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(test suffix, place in ids) of every occurrence of a window."""
-        none = np.zeros(0, np.int64)
-        sa = self.candidates(ids)
-        if not len(sa):
-            return none, none
-        padded = np.concatenate([ids, np.zeros(self.window, np.int64)])
-        key = lambda rows: np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.window}").ravel()
-        suffixes = key(padded[sa[:, None] + np.arange(self.window)])
-        order = np.argsort(suffixes, kind="stable")
-        sa, suffixes = sa[order], suffixes[order]
-        above = self.distinct.copy()
-        above[np.arange(len(above)), self.distinct_len - 1] += 1  # the least row above all that begin with the window
-        lo, hi = np.searchsorted(suffixes, key(self.distinct)), np.searchsorted(suffixes, key(above))
-        found = np.flatnonzero(hi > lo)
-        n = hi[found] - lo[found]
-        which = np.repeat(found, n)
-        place = sa[np.repeat(lo[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        m = self.member_at[which + 1] - self.member_at[which]
-        test = self.members[np.repeat(self.member_at[which] - np.cumsum(m) + m, m) + np.arange(m.sum())]
-        return test, np.repeat(place, m)
-
-    def extend(self, ids: np.ndarray, test: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Words of the longest verbatim match from each occurrence on."""
-        length = self.length[test].copy()
-        at = self.start[self.item[test]] + self.place[test]
-        padded = np.append(ids, 0)
-        live = np.arange(len(test))
-        while len(live):
-            live = live[self.flat[at[live] + length[live]] == padded[np.minimum(place[live] + length[live], len(ids))]]
-            length[live] += 1
-        return length
-
-
-def scan(texts: list[bytes | None], suffixes: Suffixes) -> list[tuple[int, int, list[str], int, list[tuple[int, int, str | None, int]]]]:
-    """For each text: words, words hit, items with occurring windows, words of the longest match, maximal matches with places in text and item."""
-    get, flat, starts = suffixes.number.get, [], []
+        size = np.array([len(w) for _, w in self.items], np.int64)
+        self.longest = int(size.max()) if len(size) else 0
+        self.item = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(self.item)) - np.repeat(np.cumsum(size) - size, size)
+        self.at = self.place + np.repeat(np.cumsum(size + 1) - size - 1, size)  # of each test suffix, in flat
+        self.left = size[self.item] - self.place  # words to the item's end
+        self.need = np.minimum(self.window, size)[self.item]
+        self.least = np.minimum(self.span_words, size)[self.item]
+
+
+def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the known words, sorted by the words that follow, up to `depth` of them or the first unknown one (0)."""
+    sa = np.flatnonzero(ids)
+    sa = sa[np.argsort(ids[sa], kind="stable")]
+    if not len(sa):
+        return sa
+    rank = np.zeros(len(ids) + depth + 1, np.int64)  # a suffix's first place among those not yet told apart from it, from 1; 0: nothing
+    word = ids[sa]
+    new = np.concatenate([[True], word[1:] != word[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0))
+    rank[sa] = first + 1
+    slots = np.flatnonzero(~new | ~np.append(new[1:], True))  # places in sa that share their rank with another
+    first, known = first[slots], 1
+    while known < depth and len(slots):
+        own = sa[slots]
+        after = rank[own + known]
+        order = np.lexsort((after, first))
+        sa[slots] = own = own[order]
+        after = after[order]  # first is sorted already
+        new = np.ones(len(slots), bool)
+        new[1:] = (after[1:] != after[:-1]) | (first[1:] != first[:-1])
+        first = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        rank[own] = first + 1
+        tied = (~new | ~np.append(new[1:], True)) & (after > 0)  # equal up to an unknown word stays equal
+        slots, first, known = slots[tied], first[tied], 2 * known
+    return sa
+
+
+def _bound(words: np.ndarray, sa: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, want: np.ndarray, beyond: bool) -> np.ndarray:
+    """Binary search of all test suffixes at once: of the suffixes low to high, sorted by the word at `depth`, the first whose word there
+    is not below (or is beyond) the wanted one."""
+    low, high = low.copy(), high.copy()
+    live = np.arange(len(low))
+    while len(live := live[low[live] < high[live]]):
+        mid = (low[live] + high[live]) >> 1
+        w = words[sa[mid] + depth]
+        up = w <= want[live] if beyond else w < want[live]
+        low[live[up]] = mid[up] + 1
+        high[live[~up]] = mid[~up]
+    return low
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place) of all places of the ranges low to high."""
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
+
+
+def search(ids: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """longest: of each word of the shard, how many words from it on match some test suffix; (test suffix, place) of every occurrence of
+    a window; (test suffix, place) of every match of span length."""
+    sa = suffix_array(ids, tests.longest)
+    padded = np.concatenate([ids, np.zeros(tests.longest + 1, np.int64)])
+    longest = np.zeros(len(ids), np.int64)
+    windows, spans = [], []
+    live = np.arange(len(tests.item))
+    low, high = np.zeros(len(live), np.int64), np.full(len(live), len(sa), np.int64)
+    for depth in range(tests.longest):
+        keep = tests.left[live] > depth
+        live, low, high = live[keep], low[keep], high[keep]
+        want = tests.flat[tests.at[live] + depth]
+        low = _bound(padded, sa, low, high, depth, want, False)
+        high = _bound(padded, sa, low, high, depth, want, True)
+        keep = high > low
+        live, low, high = live[keep], low[keep], high[keep]
+        if not len(live):
+            break
+        if (high - low).sum() > len(sa):  # many and overlapping: mark the ranges' ends
+            edge = np.bincount(low, minlength=len(sa) + 1) - np.bincount(high, minlength=len(sa) + 1)
+            longest[sa[np.cumsum(edge[:-1]) > 0]] = depth + 1
+        else:
+            longest[sa[_spread(low, high)[1]]] = depth + 1
+        for out, length in ((windows, tests.need), (spans, tests.least)):
+            if len(now := np.flatnonzero(length[live] == depth + 1)):
+                which, at = _spread(low[now], high[now])
+                out.append((live[now[which]], sa[at]))
+    none = np.zeros(0, np.int64)
+    pair = lambda out: tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
+    return longest, *pair(windows), *pair(spans)
+
+
+def follow(ids: np.ndarray, tests: Suffixes, test: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Words that the given test suffixes and places have in common."""
+    length = tests.least[test].copy()
+    padded = np.append(ids, 0)
+    live = np.arange(len(test))
+    while len(live):
+        live = live[tests.flat[tests.at[test[live]] + length[live]] == padded[np.minimum(place[live] + length[live], len(ids))]]
+        length[live] += 1
+    return length
+
+
+def scan(texts: list[bytes | None], tests: Suffixes) -> list[tuple[int, int, list[str], int, list[tuple[int, int, str | None, int]], list[tuple[int, int]]]]:
+    """For each text: words, words hit, items with occurring windows, words of the longest match, maximal matches of span length with their
+    places in text and item, and the runs of words that are hit."""
+    get, flat, starts = tests.number.get, [], []
     for t in texts:
         starts.append(len(flat))
         flat += [get(w, 0) for w in words_of(t)]
         flat.append(0)
     ids, begin = np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
-    test, place = suffixes.search(ids) if len(suffixes.rows) else (np.zeros(0, np.int64),) * 2
-    edge = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(edge, place, 1)
-    np.add.at(edge, place + suffixes.length[test], -1)
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+    longest, test, place, span, at = search(ids, tests)
+    edge = np.bincount(place, minlength=len(ids) + 1) - np.bincount(place + tests.need[test], minlength=len(ids) + 1)
+    covered = np.concatenate([[False], np.cumsum(edge[:-1]) > 0])
+    hit = np.cumsum(covered)
     n_hit = hit[begin[1:]] - hit[begin[:-1]]
-    out = [(int(n), int(h), [], 0, []) for n, h in zip(np.diff(begin) - 1, n_hit, strict=True)]
-    if not len(test):
-        return out
-    doc = np.searchsorted(begin, place, side="right") - 1
-    item = suffixes.item[test]
-    listed = set()
-    for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
-        name = suffixes.items[i][0]
-        if (d, name) not in listed:
-            listed.add((d, name))
-            out[d][2].append(name)
-    # of the occurrences on one diagonal of text and item only the first of a run starts a maximal match
-    diagonal = place - suffixes.place[test]
-    order = np.lexsort((place, diagonal, item))
-    test, place, doc, item, diagonal = test[order], place[order], doc[order], item[order], diagonal[order]
-    first = np.ones(len(test), bool)
-    first[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
-    length = suffixes.extend(ids, test[first], place[first])
-    for d, i, t, p, n in zip(doc[first].tolist(), item[first].tolist(), test[first], place[first].tolist(), length.tolist(), strict=True):
-        words, hits, items, longest, spans = out[d]
-        spans.append((p - starts[d], p - starts[d] + n, suffixes.items[i][0], int(suffixes.place[t])))
-        out[d] = words, hits, items, max(longest, n), spans
+    most = np.maximum.reduceat(longest, begin[:-1]) if len(texts) else longest
+    out = [(int(n), int(h), [], int(m), [], []) for n, h, m in zip(np.diff(begin) - 1, n_hit, most, strict=True)]
+    turns = np.flatnonzero(np.diff(np.append(covered, False)))  # no run reaches over the end of a text
+    for d, a, b in zip((np.searchsorted(begin, turns[::2], side="right") - 1).tolist(), turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+        out[d][5].append((a - starts[d], b - starts[d]))
+    if len(test):
+        doc = np.searchsorted(begin, place, side="right") - 1
+        listed = set()
+        for d, i in np.unique(np.stack([doc, tests.item[test]], 1), axis=0).tolist():
+            name = tests.items[i][0]
+            if (d, name) not in listed:
+                listed.add((d, name))
+                out[d][2].append(name)
+    # a match is maximal where the words before it differ
+    before = tests.flat[np.maximum(tests.at[span] - 1, 0)]
+    first = (tests.place[span] == 0) | (at == 0) | (before != ids[np.maximum(at - 1, 0)])
+    span, at = span[first], at[first]
+    doc = np.searchsorted(begin, at, side="right") - 1
+    for d, t, p, n in sorted(zip(doc.tolist(), span.tolist(), at.tolist(), follow(ids, tests, span, at).tolist(), strict=True)):
+        out[d][4].append((p - starts[d], p - starts[d] + n, tests.items[tests.item[t]][0], int(tests.place[t])))
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_words: int, key: str, text: str) -> list[list[tuple[str | None, list[bytes]]]]:
-    """The query set, read in blocks of bounded size."""
-    out, size = [[]], 0
+def blocks_of(benchmark: DataFrame, block_words: int, key: str, text: str) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The query set, read in blocks of bounded size, one at a time."""
+    out, size = [], 0
     for r in benchmark.select(F.col(key).cast("string"), F.col(text).cast("binary")).toLocalIterator():
         words = words_of(bytes(r[1]) if r[1] is not None else None)
-        if size + len(words) > block_words and out[-1]:
-            out.append([])
-            size = 0
+        if size + len(words) > block_words and out:
+            yield out
+            out, size = [], 0
         size += len(words)
-        out[-1].append((r[0], words))
-    return out
+        out.append((r[0], words))
+    yield out
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str, item_key: str, block_words: int) -> DataFrame:
+def _matched(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str, item_key: str, block_words: int, span_words: int = SPAN_WORDS) -> DataFrame:
     """The named columns as _c0, _c1, ... (so that no name can clash), and HITS."""
-    blocks = blocks_of(benchmark, block_words, item_key, "text")
+    spark = docs.sparkSession
+    # a broadcast block lies on disk, not in the driver's memory
+    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, block_words, item_key, "text")]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], F.col(text).cast("binary").alias("_text"))
     keep = rows.columns[:-1]
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
-    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest_match", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("item_id", pa.string()), ("item_begin", pa.int64())])))])
-
-    def one(block: list[tuple[str | None, list[bytes]]], rows: DataFrame, names: list[str], ddl: str) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(block)
+    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("longest_match", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("item_id", pa.string()), ("item_begin", pa.int64())]))), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
+    def one(shared, rows: DataFrame, names: list[str], ddl: str) -> DataFrame:  # noqa: ANN001
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            suffixes = Suffixes(shared.value)
+            tests = Suffixes(shared.value, span_words=span_words)
             for b in it:
-                got = scan(b.column(b.num_columns - 1).to_pylist(), suffixes)
+                got = scan(b.column(b.num_columns - 1).to_pylist(), tests)
                 spans = [[dict(zip(("begin", "end", "item_id", "item_begin"), s, strict=True)) for s in g[4]] for g in got]
-                columns = [[g[j] for g in got] for j in range(4)] + [spans]
+                hits = [[{"begin": x, "end": y} for x, y in g[5]] for g in got]
+                columns = [[g[j] for g in got] for j in range(4)] + [spans, hits]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], [*names, *schema.names])
 
         return rows.mapInArrow(run, ddl + HITS)
@@ -215,15 +241,17 @@ def _matched(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str,
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("longest_match").alias("longest_match"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    # spans are sorted: words hit are those beyond the furthest end so far
-    sweep = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["begin"], a["end"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))
-    return base.drop("_text").join(merged.withColumn("n_hit", sweep["n"]), "_row").select(*keep, "n_words", "n_hit", "item_ids", "longest_match", "spans")
+    whole = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
+    merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("longest_match").alias("longest_match"), whole("spans"), whole("hits"))
+    # runs are sorted: words hit are those beyond the furthest end so far
+    sweep = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["begin"], a["end"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))
+    return base.drop("_text").join(merged.withColumn("n_hit", sweep["n"]), "_row").select(*keep, "n_words", "n_hit", "item_ids", "longest_match", "spans", "hits")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000, key: str = "doc_id") -> DataFrame:
-    """The key with n_words, n_hit, item_ids, longest_match and spans of the maximal verbatim matches."""
-    return _matched(docs, benchmark, [key], text, item_key, block_words).withColumnRenamed("_c0", key)
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", block_words: int = 2_000_000, key: str = "doc_id", span_words: int = SPAN_WORDS) -> DataFrame:
+    """The key with n_words, n_hit, item_ids, longest_match, spans of the maximal verbatim matches of at least span_words words (or of a
+    whole shorter item), and hits: the runs of words that windows cover (with several blocks they may overlap)."""
+    return _matched(docs, benchmark, [key], text, item_key, block_words, span_words).withColumnRenamed("_c0", key)
 
 
 def contaminated() -> F.Column:
@@ -231,10 +259,12 @@ def contaminated() -> F.Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, and locations: the listed matches as
+    begin:end:item_id:begin in the item, by begin, comma-joined."""
     m = matches(docs, benchmark)
     ids = F.array_join(F.array_sort("item_ids"), ",")
-    return m.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest_match")
+    where = F.array_join(F.transform(F.array_sort("spans"), lambda s: F.concat_ws(":", s["begin"], s["end"], F.coalesce(s["item_id"], F.lit("")), s["item_begin"])), ",")
+    return m.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest_match", where.alias("locations"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -243,21 +273,25 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def brute_force(texts: list[str | None], items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[tuple[int, int, list[str]]]:
+def brute_force(texts: list[str | None], items: list[tuple[str | None, str | None]], window: int = WINDOW, span_words: int = SPAN_WORDS) -> list[tuple[int, int, list[str], int, list[tuple[int, int, str | None, int]]]]:
     """Word by word; for tests."""
     out = []
     for t in texts:
         words = words_of((t or "").encode())
-        hit, found = set(), set()
+        hit, found, spans, longest = set(), set(), [], 0
         for i, x in items:
             own = words_of((x or "").encode())
             n = min(window, len(own))
-            for p in range(len(own) - n + 1) if n else ():
-                for q in range(len(words) - n + 1):
-                    if words[q : q + n] == own[p : p + n]:
+            for p in range(len(own)):
+                for q in range(len(words)):
+                    same = next((k for k, (u, v) in enumerate(zip(words[q:], own[p:], strict=False)) if u != v), min(len(words) - q, len(own) - p))
+                    longest = max(longest, same)
+                    if same >= n:
                         hit |= set(range(q, q + n))
                         found.add(i)
-        out.append((len(words), len(hit), sorted(found, key=lambda i: (i is None, i or ""))))
+                    if same >= min(span_words, len(own)) and not (p and q and own[p - 1] == words[q - 1]):
+                        spans.append((q, q + same, i, p))
+        out.append((len(words), len(hit), sorted(found, key=lambda i: (i is None, i or "")), longest, sorted(spans, key=str)))
     return out
 
 

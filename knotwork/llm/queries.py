@@ -92,9 +92,12 @@ OP2 = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), iw AS (SELEC
  hits AS (SELECT doc_id, q, n, item_id, p FROM dk JOIN win USING (n, k)),
  nh AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(q, q + n)) AS x FROM hits) GROUP BY 1),
  ni AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1),
- runs AS (SELECT doc_id, n, q - row_number() OVER (PARTITION BY doc_id, item_id, q - p ORDER BY q) AS g, item_id, q - p AS diagonal FROM hits),
- lm AS (SELECT doc_id, max(m) AS longest FROM (SELECT doc_id, count(*) + max(n) - 1 AS m FROM runs GROUP BY doc_id, item_id, diagonal, g) GROUP BY 1)
- SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20*coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+ it AS (SELECT i, item_id, n, unnest(w) AS x, unnest(range(1, n + 1)) AS p FROM (SELECT row_number() OVER () AS i, item_id, w, len(w) AS n FROM iw WHERE len(w) > 0)),
+ one AS (SELECT doc_id, q, i, item_id, n, p FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM dw) JOIN it USING (x)),
+ runs AS (SELECT doc_id, i, coalesce(CAST(item_id AS VARCHAR), '') AS item_id, n, p, q, q - row_number() OVER (PARTITION BY doc_id, i, q - p ORDER BY q) AS g FROM one),
+ mm AS (SELECT doc_id, item_id, n, min(q) - 1 AS b, min(p) - 1 AS s, count(*) AS m FROM runs GROUP BY doc_id, i, item_id, n, q - p, g),
+ lm AS (SELECT doc_id, max(m) AS longest, string_agg(concat_ws(':', b, b + m, item_id, s), ',' ORDER BY b, b + m, item_id, s) FILTER (m >= least(8, n)) AS places FROM mm GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20*coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match, coalesce(places, '') AS locations
  FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id) LEFT JOIN lm USING (doc_id)"""
 
 OP9 = rf"""WITH RECURSIVE dw AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),

@@ -71,11 +71,11 @@ def test_decontamination(spark, docs, block_words):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = decontaminate.brute_force([t for _, t in rows], [(str(i), t) for i, t in items])
     for (i, _), w in zip(rows, want, strict=True):
-        assert (got[i].n_words, got[i].n_hit, sorted(got[i].item_ids)) == w
+        assert (got[i].n_words, got[i].n_hit, sorted(got[i].item_ids), got[i].longest_match, sorted(map(tuple, got[i].spans), key=str)) == w
     out = decontaminate.report(docs, bench).collect()
     assert len(out) == len(rows)
     for r in out:
-        n, h, own = want[[i for i, _ in rows].index(r.doc_id)]
+        n, h, own, *_ = want[[i for i, _ in rows].index(r.doc_id)]
         assert r.items_sha256 == decontaminate.items_digest(own) and r.contaminated == (h > 0 and 20 * h >= n)
     kept = decontaminate.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in out)

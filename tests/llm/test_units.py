@@ -107,12 +107,33 @@ def test_suffixes_find_what_brute_force_finds(seed):
     items = [(str(i), text(r.choice([0, 1, 2, 3, 5, 13, 14, 20]))) for i in range(r.choice([0, 1, 3, 6]))]
     docs = [text(r.choice([0, 1, 4, 13, 30, 60])) for _ in range(6)] + [None, ""]
     docs += [f"{text(5)} {r.choice(items)[1].upper()}, zz-{text(4)}" for _ in range(3) if items]
-    window = r.choice([13, 4, 5])
-    s = decontaminate.Suffixes([(i, decontaminate.words_of(t.encode())) for i, t in items], window)
+    if items:  # parts of items below the window, from the middle and from the end
+        w = r.choice(items)[1].split()
+        docs += [f"{text(3)} {' '.join(w[1:7])} x {text(3)} {' '.join(w[-3:])} {text(2)}"]
+    window, least = r.choice([13, 4, 5]), r.choice([8, 3, 1])
+    s = decontaminate.Suffixes([(i, decontaminate.words_of(t.encode())) for i, t in items], window, least)
     got = decontaminate.scan([d if d is None else d.encode() for d in docs], s)
-    for g, w in zip(got, decontaminate.brute_force(docs, items, window), strict=True):
-        assert (g[0], g[1], sorted(g[2])) == w
-        assert g[3] == max((e - b for b, e, _, _ in g[4]), default=0)
+    for g, w in zip(got, decontaminate.brute_force(docs, items, window, least), strict=True):
+        assert (g[0], g[1], sorted(g[2]), g[3], sorted(g[4], key=str)) == w
+        assert sum(e - b for b, e in g[5]) == g[1]
+
+
+def test_suffix_array_by_sorting():
+    r = random.Random(8)
+    for _ in range(60):
+        ids = np.array([r.choice([0, 1, 1, 2, 3]) for _ in range(r.randint(0, 80))], np.int64)
+        depth = r.choice([1, 2, 5, 40])
+        known = lambda i: list(ids[i : i + depth]) + [0]  # noqa: E731, B023
+        cut = lambda i: tuple(known(i)[: known(i).index(0)])  # noqa: E731, B023
+        sa = decontaminate.suffix_array(ids, depth).tolist()
+        assert sorted(sa) == np.flatnonzero(ids).tolist() and [cut(i) for i in sa] == sorted(cut(i) for i in sa)
+
+
+def test_matches_below_the_window():
+    item = [f"w{i}" for i in range(30)]
+    tests = decontaminate.Suffixes([("1", [w.encode() for w in item])])
+    got = decontaminate.scan([b"x " + " ".join(item[4:16]).encode() + b" y", " ".join(item[-10:]).encode(), b"w3 w4 x"], tests)
+    assert [(g[1], g[3], g[4]) for g in got] == [(0, 12, [(1, 13, "1", 4)]), (0, 10, [(0, 10, "1", 20)]), (0, 2, [])]
 
 
 # -- Jaccard join -----------------------------------------------------------------------------------------------------
