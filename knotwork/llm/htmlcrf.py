@@ -1,15 +1,18 @@
 """Main text of web pages: a linear-chain conditional random field over the DOM's leaf blocks.
 
-A page is read once, left to right: tags keep a stack of open elements (with the implied ends of p, li, td and the like), scripts,
-styles, comments and hidden parts are skipped, and text gathers in the leaf block of the innermost block element. Each block gets
-features of its ancestors' tags, of the words of their class, id and role, and of its text and links. The field labels the blocks
-jointly, main text or not (Viterbi), and the main blocks' texts are joined in page order.
-
-It is trained on generated pages with known labels: several layouts, with semantic elements and without, whose menus, headers,
-footers, sidebars, notices, adverts, forms, related links and reader comments are known, a fixed number of them.
-
-Null and empty pages give the empty text. One row out for each row in, whatever its id; other columns are ignored. Work is linear in
-the page, memory bounded by one page.
+A page is cut into tags and text once, left to right, then read with a stack of open elements (with the implied ends of p, li, td and
+the like); text gathers in the leaf block of the innermost block element. Comments and scripts, styles and other raw text are no text.
+Elements that are no running text (SKIP) and hidden ones (`hidden`, `aria-hidden`, `display:none`) are left out with all that they
+hold, if they are closed before the block around them is; of others only the tag is. Each block gets features of its ancestors' tags,
+of the words of their class, id and role, and of its text and links. The field labels the blocks jointly, main text or not (Viterbi),
+and the main blocks' texts are joined in page order.
+
+It is trained on generated pages with known labels: several layouts, with semantic elements and without, running text in any kind of
+block, whose menus, headers, footers, sidebars, notices, adverts, forms, related links and reader comments are known, a fixed number
+of them.
+
+Null and empty pages give the empty text. One row out for each row in, whatever its id, repeated rows too; other columns are ignored.
+Work is linear in the page, broken ones included; memory is bounded by one page.
 """
 
 from __future__ import annotations
@@ -25,11 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+)>""")
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # quotes mean nothing: for pages in which they do not close
+_ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none")
 _WORD = re.compile(r"[a-z]+")
+DEEP = 256  # elements around a block that are looked at; deeper nesting than that is no layout
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style noscript template iframe svg math object head title textarea select option button datalist canvas audio video".split())
+RAW = {n: re.compile(rf"</{n}\b[^>]*+>", re.I) for n in "script style textarea title iframe".split()}
+SKIP = frozenset("noscript template svg object select option button datalist canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption center".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 FENCE = frozenset("ul ol dl table div article section aside body td".split())
@@ -44,6 +51,84 @@ class Block:
     linked: int  # characters within links
 
 
+Token = tuple[int, str, str, int, int]  # 0 text, 1 start tag, 2 end tag; name; attributes; place in the page
+
+
+def tokens(page: str) -> list[Token]:
+    """Tags and text in order, without comments and raw text. Every character is looked at a bounded number of times."""
+    out: list[Token] = []
+    at = text = 0
+    last, tag = page.rfind(">") + 1, _TAG
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1 : at + 2]
+        name, kind, attributes = "", 1, ""
+        if sign in ("!", "?"):
+            end = page.find("-->", at + 4) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            end = end + 1 if end > at else len(page)
+        elif at < last and (sign == "/" or sign.isalpha()):
+            m = tag.match(page, at, last)
+            if not m and tag is _TAG:
+                tag = _BARE
+                m = tag.match(page, at, last)
+            if not m:
+                at += 1
+                continue
+            name, kind, attributes, end = m[2].lower(), 2 if m[1] else 1, m[3], m.end()
+        else:
+            at += 1
+            continue
+        if at > text:
+            out.append((0, "", "", text, at))
+        if kind == 1 and name in RAW and not attributes.endswith("/"):
+            close = RAW[name].search(page, end)
+            end = close.end() if close else len(page)
+        elif name:
+            out.append((kind, name, attributes, at, end))
+        at = text = end
+    if text < len(page):
+        out.append((0, "", "", text, len(page)))
+    return out
+
+
+def attributes_of(text: str) -> tuple[frozenset[str], bool]:
+    """Hint words of class, id and role; whether the element is hidden."""
+    hints, unseen = set(), False
+    for a in _ATTR.finditer(text):
+        key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        if key == "hidden":
+            # of "aria-hidden" and "data-hidden" only the former counts, by its value
+            unseen |= not text[a.start() - 1 : a.start()].endswith("-")
+        elif key == "aria-hidden":
+            unseen |= value.strip() == "true"
+        elif key == "style":
+            unseen |= _UNSEEN.search(value) is not None
+        else:
+            hints |= HINTS.intersection(_WORD.findall(value))
+    return frozenset(hints), unseen
+
+
+def left_out(page: list[Token]) -> dict[int, int]:
+    """Start tags of elements that are left out, each with its end tag: those that close before a block around them does."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # open elements; start token of those to leave out, else -1
+    count: dict[str, int] = {}  # open elements by name
+    for k, (kind, name, attributes, _, _) in enumerate(page):
+        if kind == 1 and name not in VOID:
+            gone = not attributes.endswith("/") and (name in SKIP or ("hidden" in attributes or "none" in attributes) and attributes_of(attributes)[1])
+            if gone or name in BLOCK or count.get(name):
+                stack.append((name, k if gone else -1))
+                count[name] = count.get(name, 0) + 1
+        elif kind == 2 and count.get(name):
+            while True:
+                own, start = stack.pop()
+                count[own] -= 1
+                if own == name:
+                    break
+            if start >= 0:
+                out[start] = k
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks that have text, in page order."""
     out: list[Block] = []
@@ -51,8 +136,10 @@ def blocks(page: str | None) -> list[Block]:
     path: tuple[str, ...] = ()
     words: frozenset[str] = frozenset()
     buffer: list[str] = []
-    link = linked = at = 0
+    link = linked = 0
     page = page or ""
+    own = tokens(page)
+    gone = left_out(own)
 
     def flush() -> None:
         nonlocal buffer, linked
@@ -61,45 +148,34 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(path, words, text, min(linked, len(text))))
         buffer, linked = [], 0
 
-    def see(text: str) -> None:
-        nonlocal linked
-        if text:
-            buffer.append(text)
-            linked += len(text) if link else 0
-
     def opened() -> None:
         nonlocal path, words
-        path = tuple(t for t, _ in stack)
-        words = frozenset().union(*(w for _, w in stack[-6:]))
-
-    while True:
-        m = _TAG.search(page, at)
-        if not m:
-            see(page[at:])
-            break
-        see(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        path = tuple(t for t, _ in stack[-DEEP:])
+        words = stack[-1][1] if stack else frozenset()
+
+    k = -1
+    while (k := k + 1) < len(own):
+        kind, name, attributes, begin, end = own[k]
+        if not kind:
+            buffer.append(page[begin:end])
+            linked += end - begin if link else 0
             continue
-        if m[1] or m[4]:  # an end tag
+        if kind == 2:
             if name == "a":
                 link = 0
             elif name in BLOCK:
-                if name == "p" and not any(t == "p" for t, _ in stack):
+                if name == "p" and not any(t == "p" for t, _ in stack[-DEEP:]):
                     flush()
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if k >= 0:
+                if any(t == name for t, _ in stack[-DEEP:]):
                     flush()
-                    del stack[k:]
+                    while stack.pop()[0] != name:
+                        pass
                     opened()
             continue
-        if name in SKIP:
-            if name == "head":
-                continue
-            if not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if k in gone:
+            if name in BLOCK:
+                flush()
+            k = gone[k]
             continue
         if name == "br":
             buffer.append(" ")
@@ -114,17 +190,15 @@ def blocks(page: str | None) -> list[Block]:
         while stack and stack[-1][0] == "p":
             stack.pop()
         if name in ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ENDS[name]:
-                    del stack[k:]
+            for j in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEP), -1):
+                if stack[j][0] in ENDS[name]:
+                    del stack[j:]
                     break
-                if stack[k][0] in FENCE:
+                if stack[j][0] in FENCE:
                     break
-        hints = set()
-        for a in _ATTR.finditer(m[3] or m[6] or ""):
-            value = (a[2] or a[3] or a[4] or "").lower()
-            hints |= {"hidden"} if a[1].lower() == "hidden" else HINTS.intersection(_WORD.findall(value))
-        stack.append((name, frozenset(hints)))
+        above = stack[-1][1] if stack else frozenset()
+        hints = attributes_of(attributes)[0] if attributes else above
+        stack.append((name, above if hints <= above else above | hints))  # words of all elements around
         opened()
     flush()
     return out
@@ -228,16 +302,31 @@ def pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
 
         def put(tag: str, text: str) -> str:
             main.append(text)  # noqa: B023
+            if not tag:
+                return text
             return f"<{tag}>{text}" + ("" if tag in ("p", "li") and r.random() < 0.2 else f"</{tag}>")
 
-        body = []
+        body, plain = [], r.random() < 0.2
         if r.random() < 0.85:
             title = put(r.choice(["h1", "h1", "h2"]), line(2, 10))
             body.append(f"<header>{title}</header>" if r.random() < 0.15 else title)
         for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
             k = r.random()
             if k < 0.72:
-                body.append(put("p", line(1, 90)))
+                if plain and r.random() < 0.9 or r.random() < 0.12:
+                    kind = r.choice(["div", "div", "div", "section", "pre", "span", "figure", "dl", "text"])
+                    if kind == "span":
+                        body.append(f"<div><span>{put('', line(1, 90))}</span></div>")
+                    elif kind == "figure":
+                        body.append(f"<figure><img src=x>{put('figcaption', line(2, 30))}</figure>")
+                    elif kind == "dl":
+                        body.append(f"<dl>{put('dt', words(1, 4))}{put('dd', line(2, 40))}</dl>")
+                    elif kind == "text":
+                        body.append(put("", line(3, 90)) + "<hr>")
+                    else:
+                        body.append(put(kind, line(1, 90)))
+                else:
+                    body.append(put("p", line(1, 90)))
             elif k < 0.8:
                 body.append(put(r.choice(["h2", "h3"]), line(2, 7)))
             elif k < 0.87:
@@ -249,13 +338,13 @@ def pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
             else:
                 body.append(noise())
         inner = "".join(body)
-        shell = r.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post entry">{}</div></div>', '<section class="story">{}</section>', "<div><article class=post>{}</article></div>"])
+        shell = r.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post entry">{}</div></div>', '<section class="story">{}</section>', "<div><article class=post>{}</article></div>", '<div class="content">{}</div>', "<div>{}</div>", "<div><div>{}</div></div>"])
         page = "".join(noise() for _ in range(r.randint(0, 4))) + shell.format(inner) + "".join(noise() for _ in range(r.randint(0, 4)))
         yield f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{page}</body></html>", main
 
 
 @functools.lru_cache
-def train(n: int = 300, seed: int = 21, rounds: int = 12, rate: float = 0.5, decay: float = 1e-4) -> Chain:
+def train(n: int = 500, seed: int = 21, rounds: int = 12, rate: float = 0.5, decay: float = 1e-4) -> Chain:
     """Gradient ascent (Adagrad, a page at a time) on the conditional log-likelihood."""
     chain, data = Chain(np.zeros((0, 2)), np.zeros((2, 2)), {}), []
     for page, main in pages(n, seed):
