@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm.common import materialize
 
-DIM_BITS, DIGIT_BITS, HASH_DIGITS, EQUAL_DIGITS = 12, 17, 2, 2
+DIM_BITS, DIGIT_BITS, HASH_DIGITS, EQUAL_DIGITS = 12, 12, 3, 3
 MOST_SUMS = 1 << DIGIT_BITS
 DIMS = ("d_length", "d_width", "d_lang", "d_source")
 FIXED = 16
@@ -52,8 +52,8 @@ def measured(docs: DataFrame) -> DataFrame:
         scale((size_of() - FIXED) / F.greatest(chars, F.lit(1)) - 1, 3.0).alias("d_width"),
         place("lang").alias("d_lang"),
         place("source").alias("d_source"),
-        # a digit of the text's hash, then one of text and id: copies are neighbours
-        (F.shiftleft(F.pmod(F.xxhash64(crc), F.lit(1 << DIGIT_BITS)), DIGIT_BITS) + F.pmod(F.xxhash64("doc_id", crc), F.lit(1 << DIGIT_BITS))).alias("tie"),
+        # a digit of the text's hash, then two of text and id: copies are neighbours
+        (F.shiftleft(F.pmod(F.xxhash64(crc), F.lit(1 << DIGIT_BITS)), DIGIT_BITS * (HASH_DIGITS - 1)) + F.pmod(F.xxhash64("doc_id", crc), F.lit(1 << (DIGIT_BITS * (HASH_DIGITS - 1))))).alias("tie"),
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << (DIGIT_BITS * EQUAL_DIGITS))).alias("equal"),
     )
 
