@@ -21,8 +21,10 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from knotwork.llm.common import batches
 
@@ -78,12 +80,12 @@ class CharsMap:
 
 
 class Codec:
-    """cache: words whose pieces are kept; the bound of the memory of a Python worker."""
+    """model: its path or its bytes. cache: words whose pieces are kept; the bound of the memory of a Python worker."""
 
-    def __init__(self, path: str, cache: int = 100_000):
+    def __init__(self, model: str | bytes, cache: int = 100_000):
         import sentencepiece
 
-        blob = Path(path).read_bytes()
+        blob = Path(model).read_bytes() if isinstance(model, str) else model
         spec: dict[int, int | bytes] = {}
         pieces, rest = [], bytearray()
         for number, value in fields(blob):
@@ -219,35 +221,26 @@ class Codec:
         text = self._surface(list(ids))
         return text[1:] if self.dummy and text.startswith(" ") else text
 
-    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str, int]]:
-        """Number of ids, SHA-256 of the ids and of the text decoded from them, source bytes that the spans cover."""
+    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str, int, np.ndarray]]:
+        """Number of ids, SHA-256 of the ids and of the text decoded from them, source bytes that the spans cover, the ids."""
         for ids, begins, ends, parts in self.encode_batch(texts):
             joined = " ".join([*[p[1] for p in parts], str(self.eos)])
             back = "".join([p[2] for p in parts])
             back = back[1:] if self.dummy and back.startswith(" ") else back
-            yield len(ids) + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - begins).sum())
+            yield len(ids) + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - begins).sum()), np.append(ids, self.eos)
 
 
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    return bytes(out) + bytes([n])
-
-
-def model_path(name: str = "piece_bpe_32k.model") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def _model(docs: DataFrame, path: str):  # noqa: ANN202
+    """The model's bytes, read on the driver: executors need no file."""
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode_spans(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, ids, begins, ends: each text's ids (an end id last) and its pieces' spans of UTF-8 bytes."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, model = docs.schema[key].dataType.simpleString(), _model(docs, path)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(model.value)
         for b in it:
             got = [codec.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[j].tolist() for g in got], pa.list_(t)) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], ["_k", "ids", "begins", "ends"])
@@ -257,31 +250,43 @@ def encode_spans(docs: DataFrame, path: str, text: str = "text", key: str = "doc
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows with the text that their ids stand for (a null list: the empty text)."""
-    from pyspark.sql import functions as F
-
-    return encoded.withColumn(out, back_udf(path)(F.col(ids)))
-
-
-def back_udf(path: str):  # noqa: ANN201
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import PandasUDFType
+    model = _model(encoded, path)
 
-    def back(parts):  # noqa: ANN001, ANN202
-        codec = Codec(path)
+    def back(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = Codec(model.value)
         for s in parts:
             yield s.map(lambda x: codec.decode([i for i in (() if x is None else x) if i != codec.eos]))
 
-    return F.pandas_udf(back, "string", PandasUDFType.SCALAR_ITER)
+    return encoded.withColumn(out, F.pandas_udf(back, "string")(F.col(ids)))
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes that the pieces' spans cover: all, or the encoding lost some)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes that the pieces' spans cover: all, or the encoding lost
+    some); with_ids: also the ids, the end id last."""
+    kind, model = docs.schema["doc_id"].dataType.simpleString(), _model(docs, path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *(["ids"] if with_ids else [])]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(model.value)
         for b in it:
             got = list(codec.digests(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            columns = [b.column(0), *(pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))]
+            if with_ids:
+                columns.append(pa.array([g[4] for g in got], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids array<int>" * with_ids)
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes(out) + bytes([n])
+
+
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
