@@ -7,7 +7,7 @@ takes terms that are in far more toxic than other training texts; training texts
 are not in, so it does not flatter itself.
 
 Fitted on at most per_class labelled texts of each class (lowest id hash), of class_bytes bytes together at most; term counts are summed on the executors, and
-LEXICON terms at most reach the driver. Scoring is one map over whole texts. Null and empty texts have features of zero and a score
+LEXICON terms a lexicon at most reach the driver. Scoring is one map over whole texts. Null and empty texts have features of zero and a score
 like any other; without labels every score is 0.5. Rows come out as often as they go in; other columns are ignored.
 """
 
@@ -34,6 +34,7 @@ _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CUT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _MIXED = re.compile(rb"[a-z][0-9@$!*|._-]{1,2}(?=[a-z])")
 _TOKEN_END = re.compile(rb"\s")
+_APART, _JOINTS = re.compile(rb"[^a-z0-9@$!*|._-]+"), re.compile(rb"[._-]+")
 _LEET = [bytes.maketrans(b"0134578@$!|", b"o" + i + b"eastbas" + i + i) for i in (b"i", b"l")]  # 1, ! and | stand for i or l
 NAMES = ("words", "built_in", "learned", "hits", "dense", "second", "near_second", "capitals", "capital_words", "exclamations", "punctuation", "digits", "mixed", "disguised", "repeats", "word_length")
 
@@ -58,6 +59,14 @@ class Lexicon(dict):
         return v
 
 
+def hidden(piece: bytes, lexicon: Lexicon) -> bool:
+    """Whether a lexicon word hides in a run of letters, digits and the signs that stand for letters: in all of it, or between its dots and dashes."""
+    for part in {piece.strip(_PUNCT), *_JOINTS.split(piece)}:
+        if part and any(lexicon[w] or lexicon[w.translate(None, _PUNCT)] for w in (part, *(part.translate(t) for t in _LEET))):
+            return True
+    return False
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     raw = (text or "").encode()
     if not raw:
@@ -78,11 +87,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     for m in _MIXED.finditer(low):
         mixed += 1
         if m.start() >= last:
-            begin = max(low.rfind(b" ", max(0, m.start() - 40), m.start()), low.rfind(b"\n", max(0, m.start() - 40), m.start())) + 1
+            begin = m.start()
+            while begin > last and low[begin - 1] > 32:
+                begin -= 1
             end = _TOKEN_END.search(low, m.end())
             last = end.start() if end else len(low)
-            token = low[begin : min(last, begin + 60)].strip(_PUNCT)
-            disguised += any(lexicon[w] or lexicon[w.translate(None, _PUNCT)] for w in (token, *(token.translate(t) for t in _LEET)))
+            disguised += sum(hidden(piece, lexicon) for piece in _APART.split(low[begin:last]) if _MIXED.search(piece))
     single = [len(w) == 1 for w in words]
     if sum(single) >= 4:  # letters parted by blanks
         at = 0
@@ -95,7 +105,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             at = end + 1
     upper = size - len(raw.translate(None, _UPPER))
     lower = size - len(raw.translate(None, _LOWER))
-    big = sum(1 for w in raw.translate(_CUT).split() if len(w) > 2 and w.isupper()) if upper > 0.2 * (upper + lower) else 0
+    big = sum(1 for w in raw.translate(_CUT).split() if len(w) > 2 and w.isupper()) if upper else 0
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     built_in = int((marks == 2).sum())
     return [np.log1p(n), built_in / n, (len(hits) - built_in) / n, np.log1p(len(hits)), dense, len(second) / n, near, upper / max(1, upper + lower), big / n, raw.count(b"!") / size, (size - len(raw.translate(None, _PUNCT))) / size, (size - len(raw.translate(None, _DIGIT))) / size, mixed / n, disguised, repeats / n, size / n]
@@ -118,14 +128,6 @@ class Model:
         return self.calibration(self.trees.raw(x))
 
 
-def pick(counts: list[tuple[bytes, int, int]], toxic: int, other: int, most: int = LEXICON) -> list[bytes]:
-    """Terms by the log-odds of their text frequencies; a beginning replaces the words that it explains."""
-    least = max(4, toxic // 100)
-    scored = [(np.log((t + 0.5) / (toxic + 1)) - np.log((o + 0.5) / (other + 1)), t, w) for w, t, o in counts if t >= least]
-    got = sorted((s for s in scored if s[0] >= 3.0), key=lambda s: (-s[1] * s[0], s[2]))
-    return [w for _, _, w in got[:most]]
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, held_out: F.Column | None = None, label: str = "toxic", class_bytes: int = 64 << 20) -> Model:
     rows = labels.select("doc_id", label).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out is not None:
@@ -140,13 +142,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, held_out: F
 
     one = lambda y, half: F.sum(((F.col("y") == y) & (F.col("half") == half)).cast("long"))
     counts = picked.mapInArrow(explode, "term binary, y int, half boolean").groupBy("term").agg(one(1, True).alias("a"), one(0, True).alias("b"), one(1, False).alias("c"), one(0, False).alias("d"))
-    # a term in fewer toxic texts than `least` of either half can be in no lexicon
-    found = [(bytes(r[0]), *r[1:]) for r in counts.filter("a + c >= 4 and a + c > 3 * (b + d)").collect()]
     sizes = {(r[0], r[1]): r[2] for r in picked.groupBy("y", "half").count().collect()}
-    n = lambda y, *halves: sum(sizes.get((y, h), 0) for h in halves)
-    whole = pick([(w, a + c, b + d) for w, a, b, c, d in found], n(1, True, False), n(0, True, False))
-    first = Lexicon(pick([(w, a, b) for w, a, b, _, _ in found], n(1, True), n(0, True)))
-    second = Lexicon(pick([(w, c, d) for w, _, _, c, d in found], n(1, False), n(0, False)))
+
+    def pick(name: str, toxic: str, other: str, *halves: bool) -> DataFrame:
+        """The LEXICON terms of greatest log-odds times text frequency, among those of log-odds 3 and more."""
+        n_toxic, n_other = (sum(sizes.get((y, h), 0) for h in halves) for y in (1, 0))
+        t, o = F.expr(toxic), F.expr(other)
+        odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((o + 0.5) / (n_other + 1))
+        return counts.filter((t >= max(4, n_toxic // 100)) & (odds >= 3.0)).orderBy((t * odds).desc(), "term").limit(LEXICON).select(F.lit(name).alias("name"), "term")
+
+    own: dict[str, list[bytes]] = {"whole": [], "first": [], "second": []}
+    for r in pick("whole", "a + c", "b + d", True, False).union(pick("first", "a", "b", True)).union(pick("second", "c", "d", False)).collect():
+        own[r["name"]].append(bytes(r["term"]))
+    whole, first, second = own["whole"], Lexicon(own["first"]), Lexicon(own["second"])
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
