@@ -4,9 +4,10 @@ Each shard (an Arrow batch of documents) becomes one array of word numbers, 0 fo
 documents, and the suffixes that begin with a known word are sorted by rank doubling over as many words as the longest item has
 (beyond that, or beyond an unknown word, no test suffix can tell them apart). Every test suffix, that is every place of every item,
 is binary-searched word by word: the suffixes between its two bounds after d words are all the places in the shard that match it for
-d words, and the last bounds that are not empty give its longest verbatim match there. So each document's longest match with any
-item is known, whatever its length; matches of at least span_words words (or a whole shorter item) are listed with their places in
-text and item, and windows give the words that count as hit. No text is shuffled and nothing is gathered from the documents.
+d words. From bounds of span_words words (or a whole shorter item) the matches that no longer one holds are followed to their ends
+and listed with their places in text and item; so each document's longest match with any item is known, whatever its length. Bounds
+of a window give the words that count as hit. Work is in proportion to the shard, the items and what is listed, repetitive texts
+included. No text is shuffled and nothing is gathered from the documents.
 
 A benchmark is read in blocks of at most block_words words (an item of more is a block of its own), and only one block is held at a
 time; with several blocks each is searched for itself, in one pass over the documents, and hits are joined per document afterwards.
@@ -59,11 +60,13 @@ class Suffixes:
         self.flat = np.array([*flat, -1], np.int64)
         size = np.array([len(w) for _, w in self.items], np.int64)
         self.longest = int(size.max()) if len(size) else 0
+        self.depth = int(np.minimum(size, max(self.window, self.span_words)).max()) if len(size) else 0  # words that are searched for
         self.item = np.repeat(np.arange(len(size)), size)
         self.place = np.arange(len(self.item)) - np.repeat(np.cumsum(size) - size, size)
         self.at = self.place + np.repeat(np.cumsum(size + 1) - size - 1, size)  # of each test suffix, in flat
         self.left = size[self.item] - self.place  # words to the item's end
-        self.need = np.minimum(self.window, size)[self.item]
+        self.words = np.minimum(self.window, size)  # of an item's windows
+        self.need = self.words[self.item]
         self.least = np.minimum(self.span_words, size)[self.item]
 
 
@@ -116,16 +119,44 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
 
 
-def search(ids: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """longest: of each word of the shard, how many words from it on match some test suffix; (test suffix, place) of every occurrence of
-    a window; (test suffix, place) of every match of span length."""
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the groups of equal keys, and the first member of each."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    new[:1] = True
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _maximal(ids: np.ndarray, sa: np.ndarray, tests: Suffixes, live: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(test suffix, place) of the ranges whose words before differ, so no longer match holds them. Test suffixes of one range and one
+    word before are laid out together, so what is not maximal is never paired."""
+    before = tests.flat[tests.at[live] - 1]  # -1 at the start of an item
+    number, first = _groups(low, before)
+    which, at = _spread(low[first], high[first])
+    place = sa[at]
+    other = np.where(place > 0, ids[place - 1], 0)
+    keep = other != before[first][which]
+    which, place = which[keep], place[keep]
+    member = np.argsort(number, kind="stable")
+    start = np.searchsorted(number[member], np.arange(len(first) + 1))
+    pair, own = _spread(start[which], start[which + 1])
+    return live[member[own]], place[pair]
+
+
+def search(ids: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """longest: of each word of the shard, how many words from it on match some test suffix (as far as is searched here); ranges of places
+    (item, places from and to, in sa) where a window occurs; sa; (test suffix, place) of every maximal match of span length."""
     sa = suffix_array(ids, tests.longest)
-    padded = np.concatenate([ids, np.zeros(tests.longest + 1, np.int64)])
+    padded = np.concatenate([ids, np.zeros(tests.depth + 1, np.int64)])
     longest = np.zeros(len(ids), np.int64)
     windows, spans = [], []
     live = np.arange(len(tests.item))
     low, high = np.zeros(len(live), np.int64), np.full(len(live), len(sa), np.int64)
-    for depth in range(tests.longest):
+    for depth in range(tests.depth):
         keep = tests.left[live] > depth
         live, low, high = live[keep], low[keep], high[keep]
         want = tests.flat[tests.at[live] + depth]
@@ -135,28 +166,39 @@ def search(ids: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, np
         live, low, high = live[keep], low[keep], high[keep]
         if not len(live):
             break
-        if (high - low).sum() > len(sa):  # many and overlapping: mark the ranges' ends
-            edge = np.bincount(low, minlength=len(sa) + 1) - np.bincount(high, minlength=len(sa) + 1)
-            longest[sa[np.cumsum(edge[:-1]) > 0]] = depth + 1
-        else:
-            longest[sa[_spread(low, high)[1]]] = depth + 1
-        for out, length in ((windows, tests.need), (spans, tests.least)):
-            if len(now := np.flatnonzero(length[live] == depth + 1)):
-                which, at = _spread(low[now], high[now])
-                out.append((live[now[which]], sa[at]))
+        edge = np.bincount(low, minlength=len(sa) + 1) - np.bincount(high, minlength=len(sa) + 1)
+        longest[sa[np.cumsum(edge[:-1]) > 0]] = depth + 1
+        if len(now := np.flatnonzero(tests.need[live] == depth + 1)):
+            item = tests.item[live[now]]
+            _, first = _groups(item, low[now])  # an item's equal windows are one range
+            windows.append((item[first], low[now[first]], high[now[first]]))
+        if len(now := np.flatnonzero(tests.least[live] == depth + 1)):
+            spans.append(_maximal(ids, sa, tests, live[now], low[now], high[now]))
     none = np.zeros(0, np.int64)
-    pair = lambda out: tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
-    return longest, *pair(windows), *pair(spans)
+    return longest, windows, sa, *(tuple(np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (none, none))
 
 
-def follow(ids: np.ndarray, tests: Suffixes, test: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Words that the given test suffixes and places have in common."""
+def follow(ids: np.ndarray, tests: Suffixes, test: np.ndarray, place: np.ndarray, steps: int = 64) -> np.ndarray:
+    """Words that the given test suffixes and places have in common: word by word at first, then by blocks of powers of two."""
     length = tests.least[test].copy()
     padded = np.append(ids, 0)
     live = np.arange(len(test))
-    while len(live):
+    for _ in range(steps):
         live = live[tests.flat[tests.at[test[live]] + length[live]] == padded[np.minimum(place[live] + length[live], len(ids))]]
+        if not len(live):
+            return length
         length[live] += 1
+    # equal blocks get equal numbers; 0 stands in no item and -1 in no text, so blocks of the two are equal in known words only
+    every = np.concatenate([ids, [0], tests.flat])
+    blocks = [every]
+    while 2 << len(blocks) <= 2 * tests.longest:
+        half = 1 << (len(blocks) - 1)
+        after = np.concatenate([blocks[-1][half:], np.full(half, -2)])
+        blocks.append(np.unique(blocks[-1] * (after.max() + 3) + after, return_inverse=True)[1].ravel())
+    for level in range(len(blocks) - 1, -1, -1):
+        at = np.minimum(len(ids) + 1 + tests.at[test[live]] + length[live], len(every) - 1)
+        same = blocks[level][at] == blocks[level][np.minimum(place[live] + length[live], len(ids))]
+        length[live[same]] += 1 << level
     return length
 
 
@@ -169,30 +211,32 @@ def scan(texts: list[bytes | None], tests: Suffixes) -> list[tuple[int, int, lis
         flat += [get(w, 0) for w in words_of(t)]
         flat.append(0)
     ids, begin = np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
-    longest, test, place, span, at = search(ids, tests)
-    edge = np.bincount(place, minlength=len(ids) + 1) - np.bincount(place + tests.need[test], minlength=len(ids) + 1)
+    longest, windows, sa, span, at = search(ids, tests)
+    edge = np.zeros(len(ids) + 1, np.int64)
+    own: list[np.ndarray] = []  # (document, item) pairs
+    for item, low, high in windows:
+        which, k = _spread(low, high)
+        place, n = sa[k], tests.words[item[which]]
+        edge += np.bincount(place, minlength=len(edge)) - np.bincount(place + n, minlength=len(edge))
+        own.append(np.unique((np.searchsorted(begin, place, side="right") - 1) * len(tests.items) + item[which]))
     covered = np.concatenate([[False], np.cumsum(edge[:-1]) > 0])
     hit = np.cumsum(covered)
     n_hit = hit[begin[1:]] - hit[begin[:-1]]
+    length = follow(ids, tests, span, at)
+    np.maximum.at(longest, at, length)
     most = np.maximum.reduceat(longest, begin[:-1]) if len(texts) else longest
     out = [(int(n), int(h), [], int(m), [], []) for n, h, m in zip(np.diff(begin) - 1, n_hit, most, strict=True)]
     turns = np.flatnonzero(np.diff(np.append(covered, False)))  # no run reaches over the end of a text
     for d, a, b in zip((np.searchsorted(begin, turns[::2], side="right") - 1).tolist(), turns[::2].tolist(), turns[1::2].tolist(), strict=True):
         out[d][5].append((a - starts[d], b - starts[d]))
-    if len(test):
-        doc = np.searchsorted(begin, place, side="right") - 1
-        listed = set()
-        for d, i in np.unique(np.stack([doc, tests.item[test]], 1), axis=0).tolist():
-            name = tests.items[i][0]
-            if (d, name) not in listed:
-                listed.add((d, name))
-                out[d][2].append(name)
-    # a match is maximal where the words before it differ
-    before = tests.flat[np.maximum(tests.at[span] - 1, 0)]
-    first = (tests.place[span] == 0) | (at == 0) | (before != ids[np.maximum(at - 1, 0)])
-    span, at = span[first], at[first]
+    listed = set()
+    for pair in np.unique(np.concatenate(own)).tolist() if own else ():
+        d, name = pair // len(tests.items), tests.items[pair % len(tests.items)][0]
+        if (d, name) not in listed:
+            listed.add((d, name))
+            out[d][2].append(name)
     doc = np.searchsorted(begin, at, side="right") - 1
-    for d, t, p, n in sorted(zip(doc.tolist(), span.tolist(), at.tolist(), follow(ids, tests, span, at).tolist(), strict=True)):
+    for d, t, p, n in sorted(zip(doc.tolist(), span.tolist(), at.tolist(), length.tolist(), strict=True)):
         out[d][4].append((p - starts[d], p - starts[d] + n, tests.items[tests.item[t]][0], int(tests.place[t])))
     return out
 
@@ -284,12 +328,14 @@ def brute_force(texts: list[str | None], items: list[tuple[str | None, str | Non
             n = min(window, len(own))
             for p in range(len(own)):
                 for q in range(len(words)):
-                    same = next((k for k, (u, v) in enumerate(zip(words[q:], own[p:], strict=False)) if u != v), min(len(words) - q, len(own) - p))
+                    same = 0
+                    while q + same < len(words) and p + same < len(own) and words[q + same] == own[p + same]:
+                        same += 1
                     longest = max(longest, same)
-                    if same >= n:
+                    if n and same >= n:
                         hit |= set(range(q, q + n))
                         found.add(i)
-                    if same >= min(span_words, len(own)) and not (p and q and own[p - 1] == words[q - 1]):
+                    if same and same >= min(span_words, len(own)) and not (p and q and own[p - 1] == words[q - 1]):
                         spans.append((q, q + same, i, p))
         out.append((len(words), len(hit), sorted(found, key=lambda i: (i is None, i or "")), longest, sorted(spans, key=str)))
     return out
