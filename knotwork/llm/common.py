@@ -117,6 +117,16 @@ def sample(docs: DataFrame, rows: DataFrame, per_class: int, label: str, most_by
     return got.groupBy("doc_id").agg(F.first("text").alias("text"), F.first(label).alias(label))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it."""
+    out = []
+    for n in names:
+        while n.lower() in {c.lower() for c in columns}:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def batches(it: Iterator, size: int) -> Iterator[list]:
     out: list = []
     for x in it:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import materialize
+from knotwork.llm.common import materialize, unused
 from knotwork.llm.components import connected_components
 
 _SPLIT = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -401,18 +401,20 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 75, block: int = 1_00
     and text that stay, the one of the least hash of all columns does. Rows without words are linked with nothing and stay.
     """
     rows = materialize(_classed(docs, k, percent, block).filter("n > 0"), "near")
+    of_id, of_text, n, row = unused(docs.columns, "_id", "_text", "_n", "_row")  # docs may have columns of any name
+    own = [F.col("doc_id").alias(of_id), F.col("h").alias(of_text)]
     key = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("low_h"))
-    gone = rows.filter(~key).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = rows.filter(~key).select(*own).distinct()
     h = F.xxhash64("text")
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (h == F.col(of_text))
     kept = docs.join(gone, match, "left_anti")
-    again = rows.filter(key).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    again = rows.filter(key).groupBy(*own).agg(F.count("*").alias(n)).filter(F.col(n) > 1).drop(n)
     if not again.limit(1).count():
         return kept.select(*docs.columns)
     # combined before the shuffle, so any number of equal rows is one row a task
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(again, match, "left_semi").groupBy(F.col("doc_id").alias("_id"), h.alias("_h")).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("_row"))
-    return kept.join(again, match, "left_anti").select(*docs.columns).unionByName(once.select("_row.*"))
+    once = kept.join(again, match, "left_semi").groupBy(F.col("doc_id").alias(of_id), h.alias(of_text)).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias(row))
+    return kept.join(again, match, "left_anti").select(*docs.columns).unionByName(once.select(f"{row}.*"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 75) -> list[tuple[int, int, int]]:

@@ -197,12 +197,116 @@ def test_pages(spark):
     assert htmlcrf.extract(p.limit(0)).count() == 0
 
 
+def hashed(ids):
+    return hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_pipeline(spark):
+    """run() against each stage's brute force in turn, on real documents with cases planted among them."""
     import corpus_pipeline
+    import sentencepiece
 
-    out = corpus_pipeline.run(spark, SMALL)
-    assert 0 < out.count() <= 200 and out.columns[0] == "doc_id"
-    assert len(corpus_pipeline.STAGES) == 5
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [tuple(r) for r in d.select("doc_id", "text", "lang").collect()]
+    bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    clean = next(t for _, t, k in rows if k == "en" and 60 < len((t or "").split()) < 200)
+    words = clean.split()
+    rows += [(9001, clean, "en"), (9002, " ".join([*words[:-1], "changed"]), "en"), (9003, bench[0][1] + " " + bench[1][1], "en"), (9004, None, "en"), (9005, "", None)]
+    rows += [(9006, " ".join(words[::-1]) + " write to a.b@c.de or 10.1.2.3", "en"), (9007, "Жжж щщщ ыыы " * 20, None), (9008, " ".join(words[::2]) + " " + bench[2][1], "en")]
+    rows += [(9006, rows[-3][1], "en"), (9006, " ".join(sorted(words)) + " twice one id", "en"), (None, " ".join(sorted(words, key=len)), "en"), (None, " ".join(sorted(words, key=len)), "en")]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _id int, node string").repartition(3)
+    model = langid.train(docs)
+    want = [(i, t) for i, t, _ in rows if not model.predict(t)[2]]
+    assert not {9004, 9005, 9007} & {i for i, _ in want}
+    order = sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    groups = [c for _, _, c in jaccard_join.brute_force([(k, t) for k, (_, t) in enumerate(order)])]
+    want = [r for k, r in enumerate(order) if groups[k] == k]
+    windows = {tuple(w[p : p + 13]) for _, t in bench if (w := decontaminate.words_of(t.encode())) for p in range(max(1, len(w) - 12))}
+
+    def clean_of_benchmark(t):
+        w = decontaminate.words_of(t.encode())
+        hit = {k for n in {len(x) for x in windows} for q in range(len(w) - n + 1) if tuple(w[q : q + n]) in windows for k in range(q, q + n)}
+        return not (hit and 20 * len(hit) >= len(w))
+
+    want = [r for r in want if clean_of_benchmark(r[1])]
+    assert not {9001, 9002, 9003, 9008} & {i for i, _ in want}
+    field = pii.train()
+    want = [(i, pii.mask(t, pii.all_spans(t, field))) for i, t in want]
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    ids = [(i, library.encode(t, add_eos=True)) for i, t in want]
+    out = corpus_pipeline.apply(spark, docs, SMALL)
+    got = [(r.doc_id, list(r.ids)) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+    assert all(r.ids_sha256 == hashed(r.ids) and r.n_tokens == len(r.ids) for r in out.collect())
+    assert corpus_pipeline.apply(spark, docs.limit(0), SMALL).count() == 0
+    assert len(corpus_pipeline.STAGES) == 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, d, SMALL).columns == d.columns
+        assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_keep_first_decides_by_row(spark):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (1, "x y z u v w q", 2), (2, "a b c d e f", 3), (None, "m n", 1), (None, "m n", 1), (None, "m n", 2), (3, "x y z u v w q", 1), (4, None, 1), (4, "", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_first(d).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (1, "x y z u v w q"), (None, "m n"), (4, None), (4, "")], key=str)
+
+
+def median_tree(rows, shards, first=0):
+    """Shards of (place, ..., size) rows by a plain weighted median tree over the same measured columns."""
+    if shards == 1 or not rows:
+        return {r["i"]: first for r in rows}
+    width = [max(r[d] for r in rows) - min(r[d] for r in rows) for d in kd_shards.DIMS]
+    axis = kd_shards.DIMS[width.index(max(width))]
+    order = sorted(rows, key=lambda r: (r[axis], r["tie"], r["equal"]))
+    half = shards // 2
+    goal, total, cut = sum(r["size"] for r in rows) * half // shards, 0, 0
+    while total + order[cut]["size"] <= goal:
+        total += order[cut]["size"]
+        cut += 1
+    return median_tree(order[:cut], half, first) | median_tree(order[cut:], shards - half, first + half)
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_kd_shards_by_a_plain_median_tree(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(kd_shards, "MOST_SUMS", most)
+    every = docs.unionByName(docs).unionByName(docs.filter("doc_id < 5"))
+    rows = spark.createDataFrame(kd_shards.measured(every).withColumn("i", F.monotonically_increasing_id()).toArrow())
+    want = median_tree([r.asDict() for r in rows.collect()], 11)
+    assert {r.i: r.s for r in rows.withColumn("s", kd_shards.shard_column(rows, 11)).collect()} == want
+
+
+@pytest.mark.parametrize("ids", ["cast(null as long)", "cast(5 as long)", "id"])
+def test_kd_shards_cut_equal_rows(spark, ids):
+    hot = spark.range(4000).select(F.expr(ids).alias("doc_id"), F.lit("same text for all").alias("text"))
+    assert [r["count"] for r in kd_shards.shard(hot).groupBy("shard").count().collect()] == [100] * 40
+
+
+def test_sample_is_whole_and_bounded(spark, docs):
+    from knotwork.llm.common import sample
+
+    rows = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y")).union(spark.createDataFrame([(2, 1)], "doc_id long, y int"))
+    got = sample(docs, rows, 10, "y", 2000).collect()
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(r.doc_id, r.text) for r in got} <= texts and 2 not in {r.doc_id for r in got}
+    for y in (0, 1):
+        own = [r for r in got if r.y == y]
+        assert 0 < len(own) <= 10 and sum(len((r.text or "").encode()) for r in own) <= 2000
+    assert sorted(map(tuple, sample(docs.repartition(2), rows.repartition(3), 10, "y", 2000).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", "<p>x</p>" * 3), (1, "u", "<p>x</p>" * 3), (None, None, ""), (2, "v", "<article>" + "<p>Some words of a long page.</p>" * 20000 + "</article>"), (3, "w", "<" * 5000 + "<div " * 5000)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = htmlcrf.extract(p).collect()
+    assert len(out) == 5 and [r.text for r in out if r.page_id == 1] == ["x x x"] * 2
+    assert next(r for r in out if r.page_id == 2).text == " ".join(["Some words of a long page."] * 20000)
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Every operator on repeated rows, ties and a text of 200,000 characters."""
+    long_text = "The quick brown fox jumps over the lazy dog, and so it goes on. " * 3000
+    rows = [(1, "one two three four five six", "en"), (1, "one two three four five six", "en"), (2, long_text, "en"), (2, long_text, "en"), (3, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    y = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (2, 1, 0)], "doc_id long, toxic int, quality int")
+    for got in (toxicity.report(d, y), quality.report(d, y), langid.report(d), pii.report(d), imatch.fingerprints(d), kd_shards.shard(d), jaccard_join.components(d), decontaminate.report(d, d.select(F.col("doc_id").alias("item_id"), "text"))):
+        assert got.count() == 5

@@ -130,6 +130,18 @@ def test_suffix_array_by_sorting():
         assert sorted(sa) == np.flatnonzero(ids).tolist() and [cut(i) for i in sa] == sorted(cut(i) for i in sa)
 
 
+def test_long_repetitive_items():
+    import time
+
+    began = time.time()
+    t = "The quick brown fox jumps over the lazy dog, and so it goes on. " * 3000
+    long = " ".join(f"v{i * i % 1009}x{i}" for i in range(700))
+    tests = decontaminate.Suffixes([(str(i), decontaminate.words_of(x.encode())) for i, x in enumerate([t, "a b c d", long])])
+    got = decontaminate.scan([t.encode(), b"the quick brown fox jumps over the", None, b"a b c " + " ".join(long.split()[11:600]).encode()], tests)
+    assert [(g[0], g[1], g[2], g[3]) for g in got] == [(42000, 42000, ["0"], 42000), (7, 0, [], 7), (0, 0, [], 0), (592, 589, ["2"], 589)]
+    assert got[3][4] == [(3, 592, "2", 11)] and (0, 42000, "0", 0) in got[0][4] and time.time() - began < 30
+
+
 def test_matches_below_the_window():
     item = [f"w{i}" for i in range(30)]
     tests = decontaminate.Suffixes([("1", [w.encode() for w in item])])
