@@ -140,7 +140,7 @@ def ef_select(best: DataFrame, a: float = 1.0, miss: float = 0.0, floor: float =
                 out.append(max(range(len(e)), key=lambda k: (e[k], -k)))
             yield pd.Series(out)
 
-    keep = F.pandas_udf(choose, "int", F.PandasUDFType.SCALAR_ITER)
+    keep = F.pandas_udf(choose, "int")
     chosen = lists.withColumn("k", keep(F.transform("xs", lambda x: x["c"])))
     return chosen.select("s1_idx", F.explode(F.slice("xs", F.lit(1), F.col("k"))).alias("x")).select("s1_idx", F.col("x.q_idx").alias("q_idx"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.pairs import BANDS, LOSS_BANDS, PROFILE_BANDS, band
@@ -20,6 +20,7 @@ def recall_at(truth: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (1,
 
 
 def recall_after(truth: DataFrame, kept: DataFrame) -> DataFrame:
+    """n_true, recall: share of true pairs among those kept."""
     found = truth.join(kept.select(*KEYS, F.lit(1.0).alias("hit")).distinct(), KEYS, "left")
     return found.agg(F.count("*").alias("n_true"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
@@ -34,6 +35,7 @@ def miss_stages(truth: DataFrame, candidates: DataFrame, pruned: DataFrame, best
 
 
 def false_merges(links: DataFrame, truth: DataFrame, texts_q: DataFrame, texts_s: DataFrame) -> DataFrame:
+    """Links that are not true, with both records' texts (tables keyed by q_idx and s1_idx)."""
     return links.join(truth.select(*KEYS), KEYS, "left_anti").join(texts_q, "q_idx").join(texts_s, "s1_idx")
 
 
@@ -77,6 +79,7 @@ def loss_budget(truth: DataFrame, candidates: DataFrame, scored: DataFrame, best
 
 
 def loss_bands(items: DataFrame, scores: DataFrame) -> DataFrame:
+    """cat, band of the score (pairs without one are in the open band): n, n_s1, gain."""
     return loss_gains(items.withColumn("band", band(F.col("p"), LOSS_BANDS, open_end=True)), scores, ["cat", "band"])
 
 
@@ -142,7 +145,3 @@ def address_class(entities: DataFrame, q: DataFrame, label: str = "country", nam
 
 def frequency(rows: DataFrame, column: str | Column) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
-
-
-def share_of_group(rows: DataFrame, by: str) -> DataFrame:
-    return rows.withColumn("share", 1.0 / F.count("*").over(Window.partitionBy(by)))

@@ -28,18 +28,21 @@ def merge_directions(forward: DataFrame, reverse: DataFrame) -> DataFrame:
 
 
 def bidirectional(scored: DataFrame, k: int = 10, r: int = 10, least_reverse: float | None = None) -> DataFrame:
-    """scored: q_idx, s1_idx, cos of all pairs in question."""
-    reverse = ranked(scored, "s1_idx", "cos", "q_idx", r, "rs")
+    """scored: q_idx, s1_idx, cos of all pairs in question. The k best of each query and the r best of each entity, as merge_directions
+    gives them, in one pass: both ranks of a pair are set before either cut, so nothing is computed twice or joined."""
+    q, s = (Window.partitionBy(c) for c in ("q_idx", "s1_idx"))
+    ranks = scored.select("q_idx", "s1_idx", "cos").withColumn("rq", F.row_number().over(q.orderBy(F.col("cos").desc(), "s1_idx")) - 1)
+    ranks = ranks.withColumn("rs", F.row_number().over(s.orderBy(F.col("cos").desc(), "q_idx")) - 1)
+    forward, reverse = F.col("rq") < k, F.col("rs") < r
     if least_reverse is not None:
-        reverse = reverse.filter(F.col("cos") >= least_reverse)
-    return merge_directions(ranked(scored, "q_idx", "cos", "s1_idx", k, "rq"), reverse)
+        reverse &= F.col("cos") >= least_reverse
+    return ranks.filter(forward | reverse).withColumns({"rq": F.when(forward, F.col("rq")).otherwise(ABSENT), "rs": F.when(reverse, F.col("rs")).otherwise(ABSENT)})
 
 
-def _chunked(side: DataFrame, label: str, size: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a chunk number in their label, and the number of chunks of each label."""
-    n = side.groupBy(label).agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{name}"))
+def _chunked(side: DataFrame, counts: DataFrame, label: str, name: str) -> DataFrame:
+    """Rows with a chunk number in their label."""
     chunk = F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int")
-    return side.join(n, label).withColumn(f"c_{name}", chunk).drop(f"n_{name}"), n
+    return side.join(counts.select(label, f"n_{name}"), label).withColumn(f"c_{name}", chunk).drop(f"n_{name}")
 
 
 NO_PAIRS = pd.DataFrame({"q_idx": pd.Series(dtype="int64"), "s1_idx": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
@@ -56,12 +59,17 @@ def nearest_pairs(sims: np.ndarray, k: int, r: int) -> tuple[np.ndarray, np.ndar
     return np.nonzero(keep & (sims > -np.inf))
 
 
-def _meeting(q: DataFrame, s: DataFrame, label: str, size: int, columns: list[str]):  # noqa: ANN202
-    """Both sides dealt in chunks within their labels, each chunk laid out for every chunk of the other side."""
-    qs, nq = _chunked(q.select("id", label, *columns), label, size, "q")
-    ss, ns = _chunked(s.select("id", label, *columns), label, size, "s")
+def _meeting(q: DataFrame, s: DataFrame, label: str, size: int, columns: list[str], sizes: tuple[DataFrame, DataFrame] | None = None):  # noqa: ANN202
+    """Both sides dealt in chunks within their labels, each chunk laid out for every chunk of the other side. sizes: tables with the rows
+    of either side, ids and labels, where they are cheaper to count than q and s themselves."""
+    n = lambda d, name: d.groupBy(label).agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{name}"))
+    nq, ns = (n(d, name) for d, name in zip(sizes or (q, s), ("q", "s"), strict=True))
+    qs, ss = _chunked(q.select("id", label, *columns), nq, label, "q"), _chunked(s.select("id", label, *columns), ns, label, "s")
     left = qs.join(ns, label).select(F.col(label).alias("q_label"), F.col("c_q").alias("q_cq"), F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)).alias("q_cs"), F.col("id").alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in columns])
     right = ss.join(nq, label).select(F.col(label).alias("s_label"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("s_cq"), F.col("c_s").alias("s_cs"), F.col("id").alias("s_id"), *[F.col(c).alias(f"s_{c}") for c in columns])
+    # a group is little data and much work: with a number of partitions of their own, groups are not put together in few tasks
+    n_parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n_parts, "q_label", "q_cq", "q_cs"), right.repartition(n_parts, "s_label", "s_cq", "s_cs")
     return left.groupBy("q_label", "q_cq", "q_cs").cogroup(right.groupBy("s_label", "s_cq", "s_cs"))
 
 
@@ -102,7 +110,7 @@ def sparse_product(a_terms: list[np.ndarray], a_w: list[np.ndarray], b_terms: li
     ia, ib = (np.searchsorted(c, np.arange(len(shared) + 1)) for c in (ca, cb))
     na, nb = np.diff(ia), np.diff(ib)
     heavy = na * nb * 200 > n * m
-    out, seen = np.zeros((n, m)), np.zeros(n * m, bool)
+    out = np.zeros((n, m))
     terms = np.flatnonzero(heavy)
     for k in range(0, len(terms), 256):
         own = terms[k : k + 256]
@@ -111,25 +119,25 @@ def sparse_product(a_terms: list[np.ndarray], a_w: list[np.ndarray], b_terms: li
             left[ra[ia[t] : ia[t + 1]], c] = wa[ia[t] : ia[t + 1]]
             right[rb[ib[t] : ib[t + 1]], c] = wb[ib[t] : ib[t + 1]]
         out += left @ right.T
-    flat_out = out.ravel()
-    seen |= flat_out > 0
-    light = np.flatnonzero(~heavy)
-    pairs = np.cumsum(na[light] * nb[light])
-    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.unique([0, *np.searchsorted(pairs, np.arange(4_000_000, pairs[-1] if len(pairs) else 0, 4_000_000)), len(light)])), strict=True):
-        t = light[lo:hi]
-        # every row of a with every row of b that has the term
-        reps = np.repeat(nb[t], na[t])
-        x = np.concatenate([np.arange(ia[v], ia[v + 1]) for v in t]) if len(t) else np.zeros(0, np.int64)
-        first = np.repeat(np.repeat(ib[t], na[t]), reps)
-        y = first + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        x = np.repeat(x, reps)
-        place = ra[x] * m + rb[y]
-        flat_out += np.bincount(place, wa[x] * wb[y], n * m)
-        seen[place] = True
-    return np.where(seen.reshape(n, m), out, -np.inf)
-
-
-def sparse_knn_blocks(q: DataFrame, s: DataFrame, k: int, r: int, label: str = "country", size: int = 2048, digits: int = 6) -> DataFrame:
+    # the other terms row by row: every row of b that has the term, in runs of rows of a whose sums stay in the cache
+    light = ~heavy[ca]
+    order = np.argsort(ra[light], kind="stable")
+    code, row, w = ca[light][order], ra[light][order], wa[light][order]
+    upto = np.concatenate([[0], np.cumsum(nb[code])])
+    first = np.searchsorted(row, np.arange(n + 1))
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(upto[first], upto[first[at]] + 2_000_000, side="right")) - 1)
+        lo, hi = first[at], first[end]
+        reps = nb[code[lo:hi]]
+        y = np.arange(reps.sum()) + np.repeat(ib[code[lo:hi]] - (upto[lo:hi] - upto[lo]), reps)
+        place = np.repeat((row[lo:hi] - at) * m, reps) + rb[y]
+        out[at:end] += np.bincount(place, np.repeat(w[lo:hi], reps) * wb[y], (end - at) * m).reshape(-1, m)
+        at = end
+    return np.where(out > 0, out, -np.inf)  # weights are positive
+
+
+def sparse_knn_blocks(q: DataFrame, s: DataFrame, k: int, r: int, label: str = "country", size: int = 1024, digits: int = 6, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The same for sparse vectors: terms (array of long) and ws (array of double). Pairs without a common term are none; cosines are
     rounded before they are ranked, so that equal ones tie."""
 
@@ -142,7 +150,7 @@ def sparse_knn_blocks(q: DataFrame, s: DataFrame, k: int, r: int, label: str = "
         i, j = nearest_pairs(sims, k, r)
         return pd.DataFrame({"q_idx": a.q_id.to_numpy()[i], "s1_idx": b.s_id.to_numpy()[j], "cos": sims[i, j]})
 
-    return _meeting(q, s, label, size, ["terms", "ws"]).applyInPandas(meet, "q_idx long, s1_idx long, cos double")
+    return _meeting(q, s, label, size, ["terms", "ws"], sizes).applyInPandas(meet, "q_idx long, s1_idx long, cos double")
 
 
 def context_windows(pairs: DataFrame) -> DataFrame:

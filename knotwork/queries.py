@@ -15,7 +15,8 @@ from knotwork.functions import lexicon as L
 from knotwork.functions import pairs as P
 from knotwork.functions import similarity, textnorm
 from knotwork.operators import decide, evaluate, knn, learn, models, rules, tfidf
-from knotwork.plans import linkage
+from knotwork.plans import features, linkage, postprocess
+from knotwork.plans.workspace import Workspace
 from knotwork.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,15 +181,29 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(decide.threshold_sweep(decide.best_per_query(p), truth(p), universe(p)), 9, "macro_f05")
 
 
-@query()
+def _expected(a: str, miss: str) -> str:
+    """Links of greatest expected F0.5 by all labelings of an entity's ten best, from `best` and a one-row-a-setting table `g`."""
+    inner = "greatest(1e-6, least(1 - 1e-6, p))"
+    return f"""tops AS (SELECT a, miss, s1_idx, list(q_idx ORDER BY r) AS qs, list(greatest(1e-12, least(1 - 1e-12, 1/(1 + exp(-a*ln({inner}/(1 - {inner})))))) ORDER BY r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, q_idx) AS r FROM best WHERE p >= 0.01), (SELECT {a} AS a, {miss} AS miss FROM g) WHERE r <= 10 GROUP BY 1, 2, 3),
+ labelings AS (SELECT a, miss, s1_idx, c, list_transform(range(len(c)), lambda i: (m >> i) & 1) AS y FROM (SELECT *, unnest(range(CAST(1 << len(c) AS BIGINT))) AS m FROM tops)),
+ weighed AS (SELECT a, miss, s1_idx, y, list_sum(y) AS n, list_product(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN y[i] = 1 THEN c[i] ELSE 1 - c[i] END)) AS w FROM labelings),
+ expected AS (SELECT a, miss, s1_idx, k, sum(w*CASE WHEN k = 0 THEN CASE WHEN n = 0 THEN exp(-miss) ELSE 0.0 END ELSE 1.25*coalesce(list_sum(y[1:k]), 0)/(0.25*(n + miss) + greatest(k, 1)) END) AS e FROM (SELECT *, unnest(range(len(y) + 1)) AS k FROM weighed) GROUP BY 1, 2, 3, 4),
+ chosen AS (SELECT a, miss, s1_idx, k FROM (SELECT *, row_number() OVER (PARTITION BY a, miss, s1_idx ORDER BY round(e, 12) DESC, k) AS r FROM expected) WHERE r = 1),
+ kept AS (SELECT a, miss, s1_idx, unnest(qs[1:k]) AS q_idx FROM tops JOIN chosen USING (a, miss, s1_idx))"""
+
+
+@query(f"WITH {PAIRS}, {BEST}, g AS (SELECT 1), {_expected('1.0', '0.05')} SELECT s1_idx, q_idx FROM kept")
 def ef_select(spark: SparkSession, d: str) -> DataFrame:
     return decide.ef_select(decide.best_per_query(pairs(spark, d)), 1.0, 0.05)
 
 
-@query()
+@query(f"""WITH {PAIRS}, {BEST}, {TRUTH}, {UNIVERSE}, g AS (SELECT a, miss FROM (VALUES (0.8), (1.25)) x(a), (VALUES (0.0), (0.15)) y(miss)), {_expected('CAST(a AS DOUBLE)', 'CAST(miss AS DOUBLE)')},
+ np AS (SELECT a, miss, s1_idx, count(*) AS n_pred, count(t.q_idx) AS tp FROM kept LEFT JOIN truth t USING (q_idx, s1_idx) GROUP BY 1, 2, 3), nt AS (SELECT s1_idx, count(*) AS n_true FROM truth GROUP BY 1),
+ u AS (SELECT a, miss, s1_idx, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM (SELECT CAST(a AS DOUBLE) AS a, CAST(miss AS DOUBLE) AS miss, s1_idx FROM g, universe) LEFT JOIN np USING (a, miss, s1_idx) LEFT JOIN nt USING (s1_idx))
+ SELECT a, miss, round(avg({F05}), 9) AS macro_f05 FROM u GROUP BY 1, 2""")
 def ef_sweep(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
-    return decide.ef_sweep(decide.best_per_query(p), truth(p), universe(p), (0.8, 1.25), (0.0, 0.15))
+    return rounded(decide.ef_sweep(decide.best_per_query(p), truth(p), universe(p), (0.8, 1.25), (0.0, 0.15)), 9, "macro_f05")
 
 
 @query(f"WITH {PAIRS} SELECT q_idx, s1_idx, src, p FROM (SELECT *, row_number() OVER (PARTITION BY s1_idx, src ORDER BY p DESC, q_idx) AS r FROM pairs) WHERE r <= CASE src WHEN 2 THEN 5 WHEN 3 THEN 6 ELSE 99 END")
@@ -236,7 +251,9 @@ def refold(spark: SparkSession, d: str) -> DataFrame:
     return rules.refold(q, embedding_candidates(spark, d), s).select("q_idx", "fold")
 
 
-@query()
+@query("""WITH tab AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END) AS c FROM range(256) r(n))),
+ c AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))), lambda h, b: xor(t[(xor(h, b) & 255) + 1], h >> 8)), CAST(4294967295 AS BIGINT)) AS crc FROM documents, tab)
+ SELECT doc_id, CAST(crc % 10 AS INTEGER) AS fold FROM c""")
 def val_fold(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", textnorm.fold_of(F.col("doc_id")).alias("fold"))
 
@@ -278,6 +295,68 @@ def loss_budget(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.loss_budget(t, c, u, b, links, universe(p)), 9, "gain")
 
 
+_ITEMS = f"""{PAIRS}, {TRUTH}, {UNIVERSE}, {_MISS}, gt AS (SELECT q_idx, s1_idx FROM truth JOIN universe USING (s1_idx)), own AS (SELECT q_idx, s1_idx, p FROM links JOIN universe USING (s1_idx)),
+ it AS (SELECT g.q_idx, g.s1_idx, u.p, CASE WHEN o.q_idx IS NOT NULL THEN 'e' WHEN b.s1_idx = g.s1_idx THEN 'd' WHEN u.q_idx IS NOT NULL THEN 'c' WHEN c.q_idx IS NOT NULL THEN 'b' ELSE 'a' END AS cat FROM gt g LEFT JOIN own o ON o.q_idx = g.q_idx AND o.s1_idx = g.s1_idx LEFT JOIN pruned u ON u.q_idx = g.q_idx AND u.s1_idx = g.s1_idx LEFT JOIN cand c ON c.q_idx = g.q_idx AND c.s1_idx = g.s1_idx LEFT JOIN best2 b ON b.q_idx = g.q_idx),
+ items AS (SELECT s1_idx, cat, p, CASE WHEN cat = 'e' THEN 0 ELSE 1 END AS dtp, CASE WHEN cat = 'e' THEN 0 ELSE 1 END AS dnp FROM it UNION ALL SELECT s1_idx, CASE WHEN s1_idx IN (SELECT s1_idx FROM gt) THEN 'f' ELSE 'g' END, p, 0, -1 FROM own o WHERE NOT EXISTS (SELECT 1 FROM gt g WHERE g.q_idx = o.q_idx AND g.s1_idx = o.s1_idx)),
+ tp AS (SELECT s1_idx, count(*) AS tp FROM own JOIN gt USING (q_idx, s1_idx) GROUP BY 1), np AS (SELECT s1_idx, count(*) AS n_pred FROM own GROUP BY 1), nt AS (SELECT s1_idx, count(*) AS n_true FROM gt GROUP BY 1),
+ u0 AS (SELECT s1_idx, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM universe LEFT JOIN tp USING (s1_idx) LEFT JOIN np USING (s1_idx) LEFT JOIN nt USING (s1_idx)), uf AS (SELECT *, {F05} AS f FROM u0)"""
+
+
+def _gains(keyed: str, key: str) -> str:
+    return f"""WITH {_ITEMS}, keyed AS ({keyed}), per AS (SELECT cat, {key}, s1_idx, count(*) AS n, sum(dtp) AS dtp, sum(dnp) AS dnp FROM keyed GROUP BY 1, 2, 3), ch AS (SELECT cat, {key}, s1_idx, n, f, uf.tp + dtp AS tp, uf.n_pred + dnp AS n_pred, n_true FROM per JOIN uf USING (s1_idx))
+ SELECT cat, {key}, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT s1_idx) AS n_s1, round(sum({F05} - f)/(SELECT count(*) FROM universe), 9) AS gain FROM ch GROUP BY cat, {key}"""
+
+
+@query(_gains("SELECT *, unnest(['all', CAST(s1_idx % 3 AS VARCHAR)]) AS slice FROM items", "slice"))
+def loss_slices(spark: SparkSession, d: str) -> DataFrame:
+    p, t, c, u, b, links = _stages(spark, d)
+    all_ = universe(p)
+    return rounded(evaluate.loss_budget(t, c, u, b, links, all_, all_.select("s1_idx", (F.col("s1_idx") % 3).cast("string").alias("slice"))), 9, "gain")
+
+
+@query(_gains("SELECT *, CASE " + " ".join(f"WHEN p < {hi} THEN '{lo:.2f}-{hi:.2f}'" for lo, hi in zip(P.LOSS_BANDS, P.LOSS_BANDS[1:], strict=False)) + f" ELSE '{P.LOSS_BANDS[-1]:.2f}+' END AS band FROM items", "band"))
+def loss_by_band(spark: SparkSession, d: str) -> DataFrame:
+    p, t, c, u, b, links = _stages(spark, d)
+    all_ = universe(p)
+    scores = decide.entity_scores(links.join(all_, "s1_idx", "left_semi"), t.join(all_, "s1_idx", "left_semi"), all_)
+    return rounded(evaluate.loss_bands(evaluate.loss_items(t, c, u, b, links, all_), scores), 9, "gain")
+
+
+@query(f"WITH {PAIRS}, {TRUTH}, {_MISS} SELECT count(*) AS n_true, round(avg(CASE WHEN u.q_idx IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall FROM truth t LEFT JOIN pruned u ON u.q_idx = t.q_idx AND u.s1_idx = t.s1_idx")
+def recall_after_pruning(spark: SparkSession, d: str) -> DataFrame:
+    _, t, _, pruned, _, _ = _stages(spark, d)
+    return rounded(evaluate.recall_after(t, pruned), 9, "recall")
+
+
+@query(f"WITH {PAIRS}, {TRUTH}, {_MISS} SELECT l.q_idx, l.s1_idx, l.p, o_orderpriority AS q_text, s_name AS s_text FROM links l JOIN orders ON o_orderkey = l.q_idx JOIN supplier ON s_suppkey = l.s1_idx WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.q_idx = l.q_idx AND t.s1_idx = l.s1_idx)")
+def false_merges(spark: SparkSession, d: str) -> DataFrame:
+    _, t, _, _, _, links = _stages(spark, d)
+    q = read(spark, d, "orders").select(F.col("o_orderkey").alias("q_idx"), F.col("o_orderpriority").alias("q_text"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("s1_idx"), F.col("s_name").alias("s_text"))
+    return evaluate.false_merges(links.select("q_idx", "s1_idx", "p"), t, q, s)
+
+
+@query("SELECT s1_idx, negative FROM (SELECT p_partkey AS s1_idx, coalesce(lead(p_partkey) OVER w, first(p_partkey) OVER w) AS negative FROM part WINDOW w AS (PARTITION BY p_type, p_name ORDER BY p_partkey)) WHERE s1_idx <> negative")
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return models.hard_negatives(read(spark, d, "part").select(F.col("p_partkey").alias("s1_idx"), F.col("p_type").alias("country"), F.split("p_name", " ").alias("ncore")))
+
+
+@query(f"WITH {PAIRS}, f AS (SELECT q_idx, s1_idx, p, q_idx % 500 AS fold FROM pairs) SELECT q_idx, s1_idx, p FROM f WHERE s1_idx IN (SELECT s1_idx FROM f WHERE fold IN (1, 2))")
+def used_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return models.used_pairs(pairs(spark, d).withColumn("fold", F.col("q_idx") % 500), (1, 2)).select("q_idx", "s1_idx", "p")
+
+
+@query("""WITH a AS (SELECT p_type AS country, p_name AS core, p_size AS fn FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2, 3 HAVING count(*) = 1),
+ silver AS (SELECT q.p_partkey AS qid, s.p_partkey AS silver FROM part q JOIN part s ON q.p_type = s.p_type AND q.p_name = s.p_name AND q.p_size = s.p_size JOIN a ON a.country = s.p_type AND a.core = s.p_name AND a.fn = s.p_size WHERE q.p_partkey % 2 = 1 AND s.p_partkey % 2 = 0 AND len(list_intersect(string_split(q.p_brand, '#'), string_split(s.p_brand, '#'))) > 0),
+ links AS (SELECT p_partkey AS qid, CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 1 ELSE coalesce(silver, 0) END AS sid, p_type AS country, CASE WHEN p_size < 25 THEN 'low' ELSE 'high' END AS band FROM part LEFT JOIN silver ON qid = p_partkey WHERE p_partkey % 2 = 1)
+ SELECT country, band, count(*) AS links, count(silver) AS silver_links, round(avg(CASE WHEN silver IS NOT NULL THEN CAST(sid = silver AS DOUBLE) END), 9) AS agree FROM links LEFT JOIN silver USING (qid) GROUP BY 1, 2""")
+def implied_precision(spark: SparkSession, d: str) -> DataFrame:
+    silver = silver_join(spark, d)
+    q = read(spark, d, "part").filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("qid"), F.col("p_type").alias("country"), F.when(F.col("p_size") < 25, "low").otherwise("high").alias("band"))
+    links = q.join(silver.select("qid", "sid"), "qid", "left").withColumn("sid", F.when(F.col("qid") % 3 == 0, F.col("qid") + 1).otherwise(F.coalesce("sid", F.lit(0))))
+    return rounded(evaluate.implied_precision(links, silver.select("qid", "sid")), 9, "agree")
+
+
 _EDGES = "(VALUES " + ", ".join(f"({a}, {b}, '{a:.2f}-{min(b, 1):.2f}')" for a, b in zip(P.BANDS, P.BANDS[1:], strict=False)) + ") e(lo, hi, band)"
 
 
@@ -298,11 +377,16 @@ def dense_top2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.dense_top2(embedding_candidates(spark, d)), 6, "margin")
 
 
-@query()
+@query(f"""WITH {EMB}, {KNN.format('sims')}, top AS (SELECT a.q_idx, a.s1_idx, a.cos, a.cos - coalesce(b.cos, -1) AS margin FROM cands a LEFT JOIN (SELECT q_idx, cos FROM cands WHERE rq = 1) b ON a.q_idx = b.q_idx WHERE a.rq = 0),
+ ts AS (SELECT DISTINCT round(unnest(quantile_cont(cos, [{', '.join(repr(0.01 + i * 0.69 / 35) for i in range(36))}])), 9) AS t FROM top), grid AS (SELECT t, CAST(m AS DOUBLE) AS m FROM ts, (VALUES (0.0), (0.005), (0.01), (0.02), (0.03), (0.05)) v(m)),
+ e AS (SELECT id AS s1_idx FROM vecs WHERE NOT is_query), k AS (SELECT t, m, s1_idx, count(*) AS n_pred, sum(CASE WHEN q_idx = s1_idx + 1 THEN 1 ELSE 0 END) AS tp FROM grid JOIN top ON round(cos, 9) >= t AND round(margin, 9) >= m GROUP BY 1, 2, 3),
+ u AS (SELECT t, m, s1_idx, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, 1 AS n_true FROM grid CROSS JOIN e LEFT JOIN k USING (t, m, s1_idx))
+ SELECT round(t, 6) AS t, m, round(avg({F05}), 9) AS macro_f05 FROM u GROUP BY 1, 2""")
 def dense_grid(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("s1_idx")).filter("s1_idx % 2 = 0")
     gt = e.select((F.col("s1_idx") + 1).alias("q_idx"), "s1_idx")
-    return evaluate.dense_grid(evaluate.dense_top2(embedding_candidates(spark, d)), gt, e)
+    top = rounded(evaluate.dense_top2(embedding_candidates(spark, d)), 9, "cos", "margin")
+    return rounded(rounded(evaluate.dense_grid(top, gt, e), 6, "t"), 9, "macro_f05")
 
 
 @query("SELECT p_type AS country, count(*) AS entities, CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS BIGINT) AS links, sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END)/count(*) AS per_entity FROM part GROUP BY 1")
@@ -392,10 +476,27 @@ def logodds_words(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learn.word_log_odds(rows, "words", "y"), 9, "lo")
 
 
-@query()
+@query(ORACLE["logodds_words"].replace("SELECT word, n_pos, n_neg, round(", "SELECT 0 AS skip, word, round(").replace(", 9) AS lo FROM c, t", ", 9) AS lo FROM c, t").replace("WITH r AS", "WITH lw AS (WITH r AS") + ") SELECT 'low' AS \"end\", word, lo FROM (SELECT * FROM lw ORDER BY lo, word LIMIT 15) UNION ALL SELECT 'high', word, lo FROM (SELECT * FROM lw ORDER BY lo DESC, word LIMIT 12)")
+def word_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return learn.extremes(logodds_words(spark, d))
+
+
+_DEVANAGARI = "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS id, p_name AS sn, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '{_DEVANAGARI}') WHEN 1 THEN translate(split_part(p_name, ' ', 1), 'abcdefghijklmnopqrstuvwxyz', '{_DEVANAGARI}') || ' ' || split_part(p_name, ' ', 2) ELSE translate(split_part(p_name, ' ', 2), 'abcdefghijklmnopqrstuvwxyz', '{_DEVANAGARI}') END AS qn FROM part),
+ t AS (SELECT id, list_filter(string_split(qn, ' '), lambda x: NOT regexp_matches(x, '^[a-z0-9]*$')) AS n, list_filter(string_split(qn, ' '), lambda x: regexp_matches(x, '^[a-z0-9]*$')) AS k, string_split(sn, ' ') AS s FROM r),
+ l AS (SELECT id, n, list_filter(s, lambda x: NOT list_contains(k, x)) AS l FROM t), told AS (SELECT * FROM l WHERE len(n) > 0 AND len(l) > 0),
+ v AS (SELECT n[i] AS native, l[i] AS latin, 1.0 AS w FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM told WHERE len(n) = len(l)) UNION ALL SELECT native, latin, 1.0/c FROM (SELECT native, unnest(l) AS latin, c FROM (SELECT unnest(n) AS native, l, len(l) AS c FROM told WHERE len(n) <> len(l)))),
+ c AS (SELECT native, latin, sum(w) AS votes FROM v GROUP BY 1, 2), b AS (SELECT *, sum(votes) OVER (PARTITION BY native) AS total, row_number() OVER (PARTITION BY native ORDER BY votes DESC, latin) AS r FROM c)
+ SELECT native, latin, round(votes, 6) AS votes, round(votes/total, 6) AS share FROM b WHERE r = 1 AND votes >= 2 AND votes/total >= 0.3""")
 def translit_votes(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").select(F.array(F.lower("c_mktsegment"), F.lit("x")).alias("s_tok"), F.array(F.translate(F.lower("c_mktsegment"), "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"), F.lit("x")).alias("q_tok"))
-    return learn.translit_votes(c)
+    name, letters = F.col("p_name"), "abcdefghijklmnopqrstuvwxyz"
+    first, last = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
+    native = lambda c: F.translate(c, letters, _DEVANAGARI)
+    k = F.col("p_partkey") % 3
+    r = read(spark, d, "part").select(name.alias("sn"), F.when(k == 0, native(name)).when(k == 1, F.concat_ws(" ", native(first), last)).otherwise(native(last)).alias("qn"))
+    return rounded(learn.spellings(r, "sn", "qn"), 6, "votes", "share")
 
 
 @query("""WITH a AS (SELECT p_type AS country, p_name AS core, p_size AS fn FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2, 3 HAVING count(*) = 1)
@@ -437,11 +538,51 @@ def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     return ab.select("a", "b", F.round(similarity.udfs()["jaro_winkler"](F.col("na"), F.col("nb")), 9).alias("jw"), F.levenshtein("na", "nb").cast("long").alias("lev"))
 
 
-@query()
+_LCS = """{0}_rows AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS r FROM {1} UNION ALL
+ SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN 0 ELSE greatest(r[k], r[k - 1] + CASE WHEN substr(a, i + 1, 1) = substr(b, k - 1, 1) THEN 1 ELSE 0 END) END))) FROM {0}_rows WHERE i < length(a)),
+ {0} AS (SELECT a, b, r[length(b) + 1] AS l FROM {0}_rows WHERE i = length(a))"""
+
+
+def _fuzz(pairs: str) -> str:
+    """Ratios of the string pairs (a, b) of a table, two words each side or fewer: `ratios`, with all their steps."""
+    sort = lambda x: f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
+    only = lambda x, y: f"list_sort(list_filter(list_distinct(string_split({x}, ' ')), lambda w: NOT list_contains(string_split({y}, ' '), w)))"
+    ratio = "CASE WHEN length({0}) + length({1}) = 0 THEN 100.0 ELSE 200.0*{2}/(length({0}) + length({1})) END"
+    return f"""names AS (SELECT DISTINCT a, b FROM {pairs}),
+ parts AS (SELECT a, b, {sort('a')} AS sa, {sort('b')} AS sb, list_sort(list_filter(list_distinct(string_split(a, ' ')), lambda w: list_contains(string_split(b, ' '), w))) AS common, {only('a', 'b')} AS oa, {only('b', 'a')} AS ob FROM names),
+ sets AS (SELECT *, array_to_string(oa, ' ') AS ra, array_to_string(ob, ' ') AS rb, array_to_string(common, ' ') AS base, array_to_string(list_concat(common, oa), ' ') AS la, array_to_string(list_concat(common, ob), ' ') AS lb FROM parts),
+ short AS (SELECT a AS x, b AS y, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS a, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS b FROM names WHERE a <> '' AND b <> '' UNION ALL SELECT a, b, b, a FROM names WHERE length(a) = length(b) AND a <> ''),
+ wins AS (SELECT x, y, a, substr(b, greatest(1, i + 1), least(length(b), i + length(a)) - greatest(0, i)) AS b FROM (SELECT *, unnest(range(1 - length(a), length(b))) AS i FROM short)),
+ todo AS (SELECT a, b FROM names UNION SELECT sa, sb FROM parts UNION SELECT ra, rb FROM sets UNION SELECT a, b FROM wins), {_LCS.format('lcs', 'todo')},
+ part AS (SELECT x AS a, y AS b, max({ratio.format('w.a', 'w.b', 'l')}) AS partial_ratio FROM wins w JOIN lcs ON lcs.a = w.a AND lcs.b = w.b GROUP BY 1, 2),
+ ratios AS (SELECT s.a, s.b, {ratio.format('s.a', 's.b', 'one.l')} AS lcs_ratio, {ratio.format('sa', 'sb', 'two.l')} AS token_sort_ratio, CASE WHEN s.a = '' OR s.b = '' THEN CASE WHEN s.a = s.b THEN 100.0 ELSE 0.0 END ELSE partial_ratio END AS partial_ratio,
+ CASE WHEN s.a = '' OR s.b = '' THEN 0.0 WHEN len(common) > 0 AND (len(oa) = 0 OR len(ob) = 0) THEN 100.0 ELSE greatest(100 - 100.0*(length(ra) + length(rb) - 2*three.l)/(length(la) + length(lb)), CASE WHEN len(common) > 0 THEN greatest(200.0*length(base)/(length(base) + length(la)), 200.0*length(base)/(length(base) + length(lb))) ELSE 0.0 END) END AS token_set_ratio
+ FROM sets s JOIN lcs one ON one.a = s.a AND one.b = s.b JOIN lcs two ON two.a = sa AND two.b = sb JOIN lcs three ON three.a = ra AND three.b = rb LEFT JOIN part ON part.a = s.a AND part.b = s.b)"""
+
+
+def _extra(table: str, a: str, b: str, key: str, out: str) -> str:
+    """Words of b, an array, that are neither in a nor like one of its words (ratio below 75): `out`, from a table with the columns named."""
+    return f"""{out}_words AS (SELECT DISTINCT x AS a, y AS b FROM (SELECT unnest({a}) AS x, {b} AS ys FROM {table}), unnest(ys) u(y)), {_LCS.format(out + '_lcs', out + '_words')},
+ {out}_like AS (SELECT a, b FROM {out}_lcs WHERE 200.0*l >= 75*(length(a) + length(b))), {out}_long AS (SELECT {key}, a0, unnest(b0) AS w, unnest(range(len(b0))) AS i FROM (SELECT {key}, {a} AS a0, {b} AS b0 FROM {table})),
+ {out} AS (SELECT {key}, list(w ORDER BY i) AS words FROM {out}_long l WHERE NOT EXISTS (SELECT 1 FROM {out}_like k WHERE k.b = l.w AND list_contains(l.a0, k.a)) GROUP BY {key})"""
+
+
+_OSA = """osa_rows AS (SELECT a, b, 0 AS i, CAST(NULL AS BIGINT[]) AS q, range(length(b) + 1) AS r FROM names UNION ALL
+ SELECT a, b, i + 1, r, list_transform(range(1, length(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: j - k + CASE WHEN k = 1 THEN i + 1 ELSE least(r[k] + 1, r[k - 1] + CASE WHEN substr(a, i + 1, 1) = substr(b, k - 1, 1) THEN 0 ELSE 1 END, CASE WHEN i >= 1 AND k >= 3 AND substr(a, i + 1, 1) = substr(b, k - 2, 1) AND substr(a, i, 1) = substr(b, k - 1, 1) THEN q[k - 2] + 1 ELSE 1000000 END) END))) FROM osa_rows WHERE i < length(a)),
+ osas AS (SELECT a, b, CAST(r[length(b) + 1] AS INTEGER) AS osa FROM osa_rows WHERE i = length(a))"""
+
+
+@query(f"""WITH RECURSIVE {_PART_PAIRS}, np AS (SELECT ab.a AS ia, ab.b AS ib, x.p_name AS a, y.p_name AS b, string_split(x.p_name, ' ') AS wa, string_split(y.p_name, ' ') AS wb FROM ab JOIN part x ON x.p_partkey = ab.a JOIN part y ON y.p_partkey = ab.b),
+ once AS (SELECT DISTINCT a, b, wa, wb FROM np), {_fuzz('np')}, {_OSA}, {_extra('once', 'wa', 'wb', 'a, b', 'extra')}
+ SELECT ia AS a, ib AS b, round(lcs_ratio, 9) AS lcs_ratio, round(token_sort_ratio, 9) AS token_sort_ratio, round(token_set_ratio, 9) AS token_set_ratio, round(partial_ratio, 9) AS partial_ratio, osa, CAST(coalesce(len(words), 0) AS INTEGER) AS n_extra
+ FROM np JOIN ratios USING (a, b) JOIN osas USING (a, b) LEFT JOIN extra USING (a, b)""")
 def fuzz_ratios(spark: SparkSession, d: str) -> DataFrame:
     ab, _ = _part_pairs(spark, d)
-    u = similarity.udfs()
-    return ab.select("a", "b", *[u[k](F.col("na"), F.col("nb")).alias(k) for k in ("lcs_ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "osa")], F.size(similarity.extra_udf()(F.split("na", " "), F.split("nb", " "))).alias("n_extra"))
+    names = ("lcs_ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "osa")
+    # few different names stand behind many pairs, so each two names are compared once
+    out = similarity.scored(ab, "na", "nb", names)
+    once = ab.select("na", "nb").distinct().withColumn("n_extra", F.size(similarity.extra_udf()(F.split("na", " "), F.split("nb", " "))))
+    return rounded(out.join(once, ["na", "nb"]).select("a", "b", *names, "n_extra"), 9, *names[:4])
 
 
 @query(f"SELECT c_custkey, {NUMS.format('c_name')} AS nums FROM customer")
@@ -484,17 +625,142 @@ def moved_number(spark: SparkSession, d: str) -> DataFrame:
 _LEGAL = "[" + ", ".join(f"'{w}'" for w in sorted(L.LEGAL_WORDS)) + "]"
 
 
-@query(f"""WITH e AS (SELECT p_partkey AS id, p_type, string_split(p_name, ' ') AS t, CASE p_partkey % 4 WHEN 0 THEN ['ltd'] WHEN 1 THEN ['group', 'llc'] WHEN 2 THEN ['corp'] ELSE [] END AS leg FROM part),
- j AS (SELECT a.id AS s1_idx, b.id AS q_idx, list_filter(b.leg, lambda x: NOT list_contains(a.leg, x)) AS ad, list_filter(a.leg, lambda x: NOT list_contains(b.leg, x)) AS mi FROM e a JOIN e b ON a.p_type = b.p_type AND a.id < b.id AND b.id - a.id < 40)
+@query(f"""WITH e AS (SELECT p_partkey AS id, p_type, p_size, string_split(p_name, ' ') AS t, CASE p_partkey % 4 WHEN 0 THEN ['ltd'] WHEN 1 THEN ['group', 'llc'] WHEN 2 THEN ['corp'] ELSE [] END AS leg FROM part),
+ j AS (SELECT a.id AS s1_idx, b.id AS q_idx, list_filter(b.leg, lambda x: NOT list_contains(a.leg, x)) AS ad, list_filter(a.leg, lambda x: NOT list_contains(b.leg, x)) AS mi FROM e a JOIN e b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.id < b.id)
  SELECT s1_idx, q_idx, CAST(len(ad) AS DOUBLE) AS leg_add_n, CAST(len(mi) AS DOUBLE) AS leg_miss_n, CAST(list_contains(ad, 'group') AS DOUBLE) AS leg_add_strong, CAST(len(list_filter(ad, lambda x: x <> 'group')) > 0 AND len(list_filter(mi, lambda x: x <> 'group')) > 0 AS DOUBLE) AS leg_form_conflict FROM j""")
 def legal_words(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id") % 4
     own = F.when(k == 0, F.array(F.lit("ltd"))).when(k == 1, F.array(F.lit("group"), F.lit("llc"))).when(k == 2, F.array(F.lit("corp"))).otherwise(F.array().cast("array<string>"))
-    e = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", F.split("p_name", " ").alias("t")).withColumn("t", F.concat("t", own))
-    j = e.select(F.col("id").alias("s1_idx"), "p_type", F.col("t").alias("s")).join(e.select(F.col("id").alias("q_idx"), "p_type", F.col("t").alias("q")), "p_type").filter("s1_idx < q_idx and q_idx - s1_idx < 40")
+    e = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_size", F.split("p_name", " ").alias("t")).withColumn("t", F.concat("t", own))
+    j = e.select(F.col("id").alias("s1_idx"), "p_type", "p_size", F.col("t").alias("s")).join(e.select(F.col("id").alias("q_idx"), "p_type", "p_size", F.col("t").alias("q")), ["p_type", "p_size"]).filter("s1_idx < q_idx")
     return j.select("s1_idx", "q_idx", *[v.alias(n) for n, v in P.legal_words(F.col("s"), F.col("q")).items()])
 
 
+# -- feature blocks ---------------------------------------------------------------------------------------------------
+# Records made of parts: even keys are entities, odd ones queries; pairs of a type and size are the candidates.
+_MADE = """made AS (SELECT p_partkey AS idx, p_type AS country, p_size, list_concat(string_split(p_name, ' '), CASE p_partkey % 4 WHEN 0 THEN ['ltd'] WHEN 1 THEN ['group', 'llc'] WHEN 2 THEN ['corp'] ELSE [] END) AS ntok, string_split(p_name, ' ') AS ncore,
+ list_concat([lower(p_type)], string_split(lower(p_brand), '#')) AS atok, [CAST(p_size AS VARCHAR), CAST(p_partkey % 30 AS VARCHAR)] AS anum, CASE WHEN p_partkey % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [lower(p_type), 'rd'] END AS astreet,
+ CASE WHEN p_partkey % 3 = 0 THEN '' ELSE lower(p_type) END AS afine1, split_part(p_name, ' ', 1) AS afine2, 1.0/(1 + p_partkey % 7) AS share, p_size < 10 AS amiss FROM part),
+ c AS (SELECT q.idx AS q_idx, s.idx AS s1_idx, round(((s.idx*7 + q.idx*13) % 97)/97.0, 6) AS cos, CAST(q.idx % 10 AS INTEGER) AS rq, CAST(s.idx % 10 AS INTEGER) AS rs FROM made s JOIN made q ON s.country = q.country AND s.p_size = q.p_size AND s.idx % 2 = 0 AND q.idx % 2 = 1)"""
+
+
+def _made(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    legal = F.when(k % 4 == 0, F.array(F.lit("ltd"))).when(k % 4 == 1, F.array(F.lit("group"), F.lit("llc"))).when(k % 4 == 2, F.array(F.lit("corp"))).otherwise(none)
+    core, kind = F.split("p_name", " "), F.lower("p_type")
+    made = read(spark, d, "part").select(
+        k.alias("idx"), k.cast("string").alias("entity_id"), F.col("p_type").alias("country"), "p_size", F.concat(core, legal).alias("ntok"), core.alias("ncore"), F.concat(F.array(kind), F.split(F.lower("p_brand"), "#")).alias("atok"),
+        F.array(F.col("p_size").cast("string"), (k % 30).cast("string")).alias("anum"), F.when(k % 5 == 0, none).otherwise(F.array(kind, F.lit("rd"))).alias("astreet"), F.when(k % 3 == 0, "").otherwise(kind).alias("afine1"), F.get(core, F.lit(0)).alias("afine2"),
+        (1 / (1 + k % 7)).alias("afine1_share"), F.lit(0).alias("nscript"), (F.col("p_size") < 10).alias("amiss"), F.lit(False).alias("ndom"), (k % 4).cast("int").alias("src"))
+    s1, q = made.filter("idx % 2 = 0"), made.filter("idx % 2 = 1")
+    pair = s1.select(F.col("idx").alias("s1_idx"), "country", "p_size").join(q.select(F.col("idx").alias("q_idx"), "country", "p_size"), ["country", "p_size"])
+    cos = F.round(((F.col("s1_idx") * 7 + F.col("q_idx") * 13) % 97) / 97, 6)
+    return pair.select("q_idx", "s1_idx", cos.alias("cos"), (F.col("q_idx") % 10).cast("int").alias("rq"), (F.col("s1_idx") % 10).cast("int").alias("rs")), s1, q
+
+
+_NUMBERS = "list_intersect(s.anum, q.anum)"
+
+
+@query(f"""WITH {_MADE}, f AS (SELECT country, ncore, count(*) AS n FROM made WHERE idx % 2 = 0 GROUP BY 1, 2)
+ SELECT q_idx, s1_idx, CAST(rq AS DOUBLE) AS rq, CAST(len(s.astreet) = 0 AS INTEGER) + 2.0*CAST(len(q.astreet) = 0 AS INTEGER) AS st_empty, round(ln(s.share + 1e-6), 9) AS afine1_share, CAST(len(list_distinct({_NUMBERS})) AS DOUBLE) AS num_inter, round(len(list_distinct({_NUMBERS}))/len(list_distinct(list_concat(s.anum, q.anum))), 9) AS num_jac, CAST(s.anum[1] = q.anum[1] AS DOUBLE) AS num_first_eq,
+ CAST(len(list_distinct(s.anum)) AS DOUBLE) AS s_nnum, CAST(len(list_distinct(q.anum)) AS DOUBLE) AS q_nnum, 0.0::DOUBLE AS q_script, CAST(q.amiss AS DOUBLE) AS q_amiss, 0.0::DOUBLE AS q_dom, CAST(q.idx % 4 AS DOUBLE) AS q_src, CAST(len(s.ncore) AS DOUBLE) AS s_ncore_len, CAST(len(q.ncore) AS DOUBLE) AS q_ncore_len, CAST(len(s.atok) AS DOUBLE) AS s_atok_len, CAST(len(q.atok) AS DOUBLE) AS q_atok_len, round(ln(1 + f.n), 9) AS s_core_freq
+ FROM c JOIN made s ON s.idx = s1_idx JOIN made q ON q.idx = q_idx JOIN f ON f.country = s.country AND f.ncore = s.ncore""")
+def features_records(spark: SparkSession, d: str) -> DataFrame:
+    out = features.prune_features(*_made(spark, d)).select("q_idx", "s1_idx", "rq", "st_empty", "afine1_share", *features.NUMBERS, *features.RECORDS)
+    return rounded(out, 9, "afine1_share", "num_jac", "s_core_freq")
+
+
+def _cosine(name: str, terms: str) -> str:
+    return f"""{name}_t AS (SELECT DISTINCT idx, unnest({terms}) AS term FROM made), {name}_i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM made))/(1.0 + count(*))) + 1.0 AS idf FROM {name}_t GROUP BY term), {name}_n AS (SELECT idx, sqrt(sum(idf*idf)) AS norm FROM {name}_t JOIN {name}_i USING (term) GROUP BY idx),
+ {name}_w AS (SELECT idx, term, idf/norm AS w FROM {name}_t JOIN {name}_i USING (term) JOIN {name}_n USING (idx)), {name} AS (SELECT q_idx, s1_idx, round(sum(x.w*y.w), 6) AS {name} FROM c JOIN {name}_w x ON x.idx = s1_idx JOIN {name}_w y ON y.idx = q_idx AND x.term = y.term GROUP BY 1, 2)"""
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_distinct({0}), lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))))"
+
+
+@query(f"""WITH {_MADE}, {_cosine('c_tfidf', 'ncore')}, {_cosine('c_char3', _GRAMS.format('ncore'))}, {_cosine('a_tfidf', 'atok')}, {_cosine('a_char3', _GRAMS.format("list_filter(atok, lambda w: w <> '')"))}, {_cosine('num_tfidf', 'anum')}
+ SELECT q_idx, s1_idx, {', '.join(f'coalesce({n}, 0.0) AS {n}' for n in ('c_tfidf', 'c_char3', 'a_tfidf', 'a_char3', 'num_tfidf'))} FROM c {' '.join(f'LEFT JOIN {n} USING (q_idx, s1_idx)' for n in ('c_tfidf', 'c_char3', 'a_tfidf', 'a_char3', 'num_tfidf'))}""")
+def features_cosines(spark: SparkSession, d: str) -> DataFrame:
+    return features.prune_features(*_made(spark, d)).select("q_idx", "s1_idx", *features.COSINES)
+
+
+_KINDS = {"lcs_ratio": "lcs_ratio", "token_sort_ratio": "token_sort_ratio", "token_set_ratio": "token_set_ratio", "partial_ratio": "partial_ratio"}
+_SIDES = {"n": ("ntok", "ntok"), "c": ("ncore", "ncore"), "a": ("atok", "atok"), "st": ("astreet", "astreet")}
+
+
+def _string_sql() -> str:
+    sides = {k: (f"array_to_string(s.{a}, ' ')", f"array_to_string(q.{b}, ' ')") for k, (a, b) in _SIDES.items()}
+    sides |= {"cc": ("array_to_string(s.ncore, '')", "array_to_string(q.ncore, '')"), "f1": ("s.afine1", sides["a"][1]), "f2": ("s.afine2", sides["a"][1])}
+    ends = ", ".join(f"{a} AS {k}_s, {b} AS {k}_q" for k, (a, b) in sides.items())
+    names = " UNION ".join(f"SELECT {k}_s AS a, {k}_q AS b FROM ends" for k in sides)
+    value = lambda out, kernel, k: f"round(jaro_winkler_similarity({k}_s, {k}_q), 9) AS {out}" if kernel == "jaro_winkler" else f"round({f'CASE WHEN {k}_s = {chr(39)}{chr(39)} THEN -1.0 ELSE r_{k}.{kernel} END' if k in ('f1', 'f2') else f'r_{k}.{kernel}'}, 9) AS {out}"
+    out = ", ".join(value(o, kernel, k) for o, (kernel, k) in features.STRINGS.items())
+    joins = " ".join(f"JOIN ratios r_{k} ON r_{k}.a = {k}_s AND r_{k}.b = {k}_q" for k in sides)
+    return f"WITH RECURSIVE {_MADE}, ends AS (SELECT q_idx, s1_idx, {ends} FROM c JOIN made s ON s.idx = s1_idx JOIN made q ON q.idx = q_idx), np AS ({names}), {_fuzz('np')} SELECT q_idx, s1_idx, {out} FROM ends {joins}"
+
+
+@query(_string_sql())
+def features_strings(spark: SparkSession, d: str) -> DataFrame:
+    out = features.prune_features(*_made(spark, d)).select("q_idx", "s1_idx", *features.STRINGS)
+    return rounded(out, 9, *features.STRINGS)
+
+
+_LO = """{0}_r AS (SELECT (q_idx + s1_idx) % 3 = 0 AS y, unnest(list_distinct(words)) AS word FROM {0} WHERE q_idx % 10 >= 5), {0}_c AS (SELECT word, count(*) FILTER (y) AS np, count(*) FILTER (NOT y) AS nn FROM {0}_r GROUP BY 1 HAVING count(*) >= 5),
+ {0}_lo AS (SELECT word, ln((np + 2)/(tp + 2.0)) - ln((nn + 2)/(tn + 2.0)) AS lo FROM {0}_c, totals), {0}_f AS (SELECT q_idx, s1_idx, max(lo) AS mx, min(lo) AS mn, sum(lo) AS sm, CAST(count(*) - count(lo) AS DOUBLE) AS unk, CAST(count(*) AS DOUBLE) AS n FROM (SELECT q_idx, s1_idx, unnest(words) AS word FROM {0}) LEFT JOIN {0}_lo USING (word) GROUP BY 1, 2)"""
+_LEGAL_SQL = lambda side: f"list_filter(list_distinct({side}.ntok), lambda w: list_contains({_LEGAL}, w))"
+_FORMS = "[" + ", ".join(f"'{w}'" for w in sorted(L.LEGAL_FORMS)) + "]"
+
+
+@query(f"""WITH RECURSIVE {_MADE}, j AS (SELECT q_idx, s1_idx, s.ntok AS st, q.ntok AS qt, s.anum AS sn, q.anum AS qn, {_LEGAL_SQL('s')} AS sl, {_LEGAL_SQL('q')} AS ql, s.country, list_sort(list_distinct(s.ntok)) AS k FROM c JOIN made s ON s.idx = s1_idx JOIN made q ON q.idx = q_idx),
+ {_extra('j', 'st', 'qt', 'q_idx, s1_idx', 'qx')}, {_extra('j', 'qt', 'st', 'q_idx, s1_idx', 'sm')}, totals AS (SELECT greatest(count(*) FILTER ((q_idx + s1_idx) % 3 = 0), 1) AS tp, greatest(count(*) FILTER ((q_idx + s1_idx) % 3 <> 0), 1) AS tn FROM c WHERE q_idx % 10 >= 5), {_LO.format('qx')}, {_LO.format('sm')},
+ x AS (SELECT q_idx, s1_idx, unnest(list_distinct(sn)) AS x FROM j), y AS (SELECT q_idx, s1_idx, unnest(list_distinct(qn)) AS y FROM j), mv AS (SELECT q_idx, s1_idx, d FROM (SELECT *, row_number() OVER (PARTITION BY q_idx, s1_idx ORDER BY abs(d), d) AS r FROM (SELECT q_idx, s1_idx, CAST(y AS INTEGER) - CAST(x AS INTEGER) AS d FROM x JOIN y USING (q_idx, s1_idx) JOIN j USING (q_idx, s1_idx) WHERE NOT list_contains(qn, x) AND NOT list_contains(sn, y) AND NOT contains(x, y) AND NOT contains(y, x))) WHERE r = 1),
+ l AS (SELECT *, list_filter(ql, lambda w: NOT list_contains(sl, w)) AS ad, list_filter(sl, lambda w: NOT list_contains(ql, w)) AS mi, len(list_distinct(list_intersect(sn, qn))) AS inter, CAST(qn[1] AS INTEGER) - CAST(sn[1] AS INTEGER) AS gap FROM j),
+ fr AS (SELECT country, list_sort(list_distinct(ntok)) AS k, count(*) AS n FROM made WHERE idx % 2 = 0 GROUP BY 1, 2)
+ SELECT l.q_idx, l.s1_idx, CAST(sn[1] = qn[1] AS DOUBLE) AS hn_eq, CAST(sn[1] <> qn[1] AND (contains(sn[1], qn[1]) OR contains(qn[1], sn[1])) AS DOUBLE) AS hn_contain, round(ln(1 + abs(gap)), 9) AS hn_gap, CAST(gap AS DOUBLE) AS hn_signed,
+ CAST(inter = 0 AND len(list_filter(sn, lambda u: len(list_filter(qn, lambda v: contains(u, v) OR contains(v, u))) > 0)) = 0 AS DOUBLE) AS hn_conflict, round(inter/len(list_distinct(sn)), 9) AS s_nums_in_q, round(inter/len(list_distinct(qn)), 9) AS q_nums_in_s, CAST(inter AS DOUBLE) AS num_shared,
+ CAST(coalesce(d <> 0 AND abs(d) <= 50, false) AS DOUBLE) AS num_move, CASE WHEN abs(d) <= 50 THEN CAST(d AS DOUBLE) ELSE 0.0 END AS num_move_signed, CAST(len(ad) AS DOUBLE) AS leg_add_n, CAST(len(mi) AS DOUBLE) AS leg_miss_n, CAST(list_contains(ad, 'group') AS DOUBLE) AS leg_add_strong,
+ CAST(len(list_intersect(ad, {_FORMS})) > 0 AND len(list_intersect(mi, {_FORMS})) > 0 AS DOUBLE) AS leg_form_conflict, CAST(qx.q_idx IS NULL AS DOUBLE) AS nothing_added,
+ {', '.join(f'round(coalesce({p}f.{a}, 0.0), 9) AS {p[:2]}_{b}' for p in ('qx_', 'sm_') for a, b in (('mx', 'lo_max'), ('mn', 'lo_min'), ('sm', 'lo_sum'), ('unk', 'unk'), ('n', 'n')))},
+ CAST(count(*) OVER (PARTITION BY l.s1_idx, qn[1]) - 1 AS DOUBLE) AS cl_same_qnum, CAST(sum(CAST(sn[1] = qn[1] AS INTEGER)) OVER (PARTITION BY l.s1_idx) - CAST(sn[1] = qn[1] AS INTEGER) AS DOUBLE) AS cl_same_snum, CAST(count(*) OVER (PARTITION BY l.s1_idx) AS DOUBLE) AS cl_n, round(ln(1 + fr.n), 9) AS s_fullname_freq
+ FROM l JOIN fr ON fr.country = l.country AND fr.k = l.k LEFT JOIN mv ON mv.q_idx = l.q_idx AND mv.s1_idx = l.s1_idx LEFT JOIN qx ON qx.q_idx = l.q_idx AND qx.s1_idx = l.s1_idx LEFT JOIN qx_f ON qx_f.q_idx = l.q_idx AND qx_f.s1_idx = l.s1_idx LEFT JOIN sm_f ON sm_f.q_idx = l.q_idx AND sm_f.s1_idx = l.s1_idx""")
+def features_second(spark: SparkSession, d: str) -> DataFrame:
+    c, s1, q = _made(spark, d)
+    labelled = c.select("q_idx", "s1_idx", ((F.col("q_idx") + F.col("s1_idx")) % 3 == 0).alias("y"), (F.col("q_idx") % 10).alias("fold"))
+    rows = features.extra_words(labelled, s1, q)
+    out = features.second_features(rows, s1, *features.learn_odds(rows, 5))
+    return rounded(out, 9, *features.SECOND)
+
+
+# -- rules over a link file -------------------------------------------------------------------------------------------
+@query(f"""WITH {_MADE}, f AS (SELECT q_idx, s1_idx, cos AS p, q.ntok, q.country, q.amiss, CAST(q_idx % 4 AS INTEGER) AS src, s.ntok AS st, s.anum AS sn, q.anum AS qn FROM c JOIN made s ON s.idx = s1_idx JOIN made q ON q.idx = q_idx),
+ many AS (SELECT country, ntok FROM made WHERE idx % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 2), a AS (SELECT * FROM f WHERE NOT (amiss AND EXISTS (SELECT 1 FROM many m WHERE m.country = f.country AND m.ntok = f.ntok))),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_idx, src ORDER BY p DESC, q_idx) AS r FROM a) WHERE r <= CASE src WHEN 2 THEN 5 WHEN 3 THEN 6 ELSE 99 END)
+ SELECT CAST(idx AS VARCHAR) AS sid, coalesce(ids, '') AS ids FROM made LEFT JOIN (SELECT s1_idx, string_agg(CAST(q_idx AS VARCHAR), ',' ORDER BY CAST(q_idx AS VARCHAR)) AS ids FROM b GROUP BY 1) ON s1_idx = idx WHERE idx % 2 = 0""")
+def postprocessed_links(spark: SparkSession, d: str) -> DataFrame:
+    c, s1, q = _made(spark, d)
+    listed = sinks.link_lists(c.select(F.col("s1_idx").cast("string").alias("sid"), F.col("q_idx").cast("string").alias("qid")), s1.select(F.col("entity_id").alias("sid")))
+    from knotwork.sources.tables import explode_links as explode
+
+    links = postprocess.with_records(explode(listed, "sid", "ids", "qid"), s1, q).join(c.select("q_idx", "s1_idx", F.col("cos").alias("p")), ["q_idx", "s1_idx"])
+    return sinks.link_lists(postprocess.remove(links, s1, ("namesake", "cap")), s1.select(F.col("entity_id").alias("sid")))
+
+
+@query()
+def learned_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """The whole learned plan: parts are the entities; records of two other sources repeat three quarters of them with added words, and
+    neighbours with a moved house number stand for none."""
+    part = read(spark, d, "part")
+    number = F.col("p_partkey") % 89 + 1
+    raw = lambda key, name, no: part.select(F.col("p_partkey").alias("idx"), F.concat(F.lit(key), F.col("p_partkey").cast("string")).alias("entity_id"), name.alias("business_name"), F.concat_ws(" ", no.cast("string"), F.lower("p_type"), F.lit("Road,"), F.initcap(F.translate("p_brand", "#0123456789", "xabcdefghij")), F.lit("ville")).alias("business_address"), F.lit("US").alias("country"), "p_partkey")
+    title = F.concat_ws(" ", F.initcap("p_name"), F.initcap(F.translate(F.col("p_partkey").cast("string"), "0123456789", "aeioubdgkl")))
+    s1 = raw("a", F.concat_ws(" ", title, F.lit("Corporation")), number).drop("p_partkey")
+    copy = F.col("p_partkey") % 4 != 0
+    q = raw("b", F.when(copy, F.concat_ws(" ", title, F.lit("Inc"))).otherwise(F.concat_ws(" ", title, F.lit("Holdings Group"))), F.when(copy, number).otherwise(number + 2)).withColumn("src", (F.col("p_partkey") % 2 + 2).cast("int"))
+    true = q.filter(copy).select(F.col("idx").alias("q_idx"), F.col("idx").alias("s1_idx"))
+    links, _ = linkage.learned_links(Workspace(spark), s1.withColumn("src", F.lit(1)), q.drop("p_partkey"), true, rounds=(2, 4), depth=3)
+    return rounded(links.join(true.withColumn("hit", F.lit(True)), ["q_idx", "s1_idx"], "left").select("q_idx", "s1_idx", "p", F.col("hit").isNotNull().alias("is_true")), 6, "p")
+
+
 # -- normalisation ----------------------------------------------------------------------------------------------------
 @query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Beta ' || s_suppkey WHEN 1 THEN 'Acme' ELSE 'Gamma f/k/a ' END AS main FROM supplier")
 def alias_split(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,19 +16,23 @@ def read_tsv(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
     return spark.read.schema(kind).csv(path, sep="\t", header=True, quote="", escape="", mode="PERMISSIVE")
 
 
-def read_columns(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
-
-
-def with_index(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
-    """Adds a dense idx in the given total order without moving all rows to one task: positions within range partitions, plus the
-    counts of the partitions before. The order must be total, or ties may change places between runs."""
-    spark = df.sparkSession
-    fields = [*df.schema.fields, T.StructField("idx", T.LongType(), False)]
-    ranked = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = ranked.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + start))
-    return spark.createDataFrame(rows, T.StructType(fields))
+def with_index(df: DataFrame, *order: str, start: int = 0, rows_a_part: int = 200_000) -> DataFrame:
+    """Adds a dense idx in the given total order without moving all rows to one task: a row's place within its range, plus the counts of
+    the ranges before. Ranges are cut at a bounded number of keys (those of least hash). The order must be total, or ties may change
+    places between runs."""
+    key = F.struct(*order)
+    few = min(10_000, df.count() // rows_a_part)
+    cuts = sorted(tuple(r) for r in df.select(*order).orderBy(F.xxhash64(*order), *order).limit(few).collect()) if few else []
+    kind = ", ".join(f"{c}: {df.schema[c].dataType.simpleString()}" for c in order)
+    bounds = F.from_json(F.lit(json.dumps([dict(zip(order, c, strict=True)) for c in cuts])), f"array<struct<{kind}>>")
+    steps = [1 << s for s in range(len(cuts).bit_length() - 1, -1, -1)]
+    # how many cuts are not above the key, by binary search in the constant array
+    part = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) <= key, at + s).otherwise(at)) if cuts else F.lit(0)
+    rows = df.withColumn("_part", part)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    placed = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")
+    return placed.withColumn("idx", F.col("_before") + F.col("_r") + (start - 1)).drop("_part", "_r", "_before")
 
 
 def load_split(spark: SparkSession, folder: str, split: str) -> tuple[DataFrame, DataFrame]:
@@ -56,11 +62,8 @@ def read_truth(spark: SparkSession, path: str, s1: DataFrame, q: DataFrame) -> D
     return resolve_pairs(pairs, s1, q)
 
 
-def gather(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Rows of the table for the keys, by value and never by position."""
-    return keys.join(table, key, "left")
-
-
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line: key, value."""
-    return spark.read.schema("key string, value string").json(path)
+def read_dictionaries(spark: SparkSession, path: str) -> DataFrame:
+    """kind, native, latin of a file {kind: {native: latin}}, a JSON object of objects."""
+    whole = spark.read.schema("value string").text(path, wholetext=True)
+    kinds = whole.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("kind", "words"))
+    return kinds.select("kind", F.explode("words").alias("native", "latin"))
