@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import lexicon as L
@@ -762,17 +762,32 @@ def learned_linkage(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- normalisation ----------------------------------------------------------------------------------------------------
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Beta ' || s_suppkey WHEN 1 THEN 'Acme' ELSE 'Gamma f/k/a ' END AS main FROM supplier")
+_IN = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+_PARTS = f"list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains({_IN(L.PLACEHOLDERS)}, lower(x)))"
+
+
+_MARKERS = ["dba", "D.B.A.", "doing business as", "Trading As", "t/a", "a/k/a", "FKA", "formerly", "née", "and"]  # the last is none
+
+
+def _pick(values: list[str], key: str) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
+
+
+@query(f"""WITH r AS (SELECT p_partkey, p_name || ' ' || [{', '.join(f"'{m}'" for m in _MARKERS)}][p_partkey % {len(_MARKERS)} + 1] || ' ' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS name FROM part)
+ SELECT p_partkey, CASE WHEN trim(regexp_replace(name, '(?is)^.*?(?:{L.ALIAS})', '')) = '' THEN name ELSE regexp_replace(name, '(?is)^.*?(?:{L.ALIAS})', '') END AS main FROM r""")
 def alias_split(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("s_suppkey") % 3, F.col("s_suppkey").cast("string")
-    name = F.when(k == 0, F.concat(F.lit("Acme Trading DBA Beta "), n)).when(k == 1, "Acme").otherwise("Gamma f/k/a ")
-    return read(spark, d, "supplier").select("s_suppkey", textnorm.main_name_col(name).alias("main"))
+    name = F.concat_ws(" ", "p_name", _pick(_MARKERS, "p_partkey"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand")))
+    return read(spark, d, "part").select("p_partkey", textnorm.main_name_col(name).alias("main"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN c_custkey || ' Elm Rd, Springfield' ELSE '' END AS addr FROM customer")
+_BLANKS = ["NULL", " n/a ", "", "-", "Unknown", "no", "Nil ", "x"]  # all but `no` and `x` are placeholders
+
+
+@query(f"""WITH r AS (SELECT p_partkey, p_size || ' ' || p_name || ',' || [{', '.join(f"'{m}'" for m in _BLANKS)}][p_partkey % {len(_BLANKS)} + 1] || ', ' || p_type || ' ,' || [{', '.join(f"'{m}'" for m in _BLANKS)}][p_size % {len(_BLANKS)} + 1] AS address FROM part)
+ SELECT p_partkey, array_to_string({_PARTS}, ', ') AS addr FROM r""")
 def clean_address(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(" Elm Rd, NULL, , Springfield , n/a"))).otherwise(F.lit("-, None,"))
-    return read(spark, d, "customer").select("c_custkey", textnorm.clean_address_col(raw).alias("addr"))
+    raw = F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit(","), _pick(_BLANKS, "p_partkey"), F.lit(", "), "p_type", F.lit(" ,"), _pick(_BLANKS, "p_size"))
+    return read(spark, d, "part").select("p_partkey", textnorm.clean_address_col(raw).alias("addr"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ['sarl', 'x1', 'z'] ELSE ['ab', 'cd'] END AS toks, ['blue', 'fern'] AS core FROM part")
@@ -782,10 +797,25 @@ def merge_and_core(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", textnorm.merge_letters_col(raw).alias("toks"), textnorm.core_col(core).alias("core"))
 
 
-@query()
+_MAP = lambda d: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
+
+
+# Latin records: names with legal words in many spellings, addresses with a numero sign, a suffix, accents, a typo and placeholders.
+@query(f"""WITH r AS (SELECT c_custkey AS idx, concat_ws(' ', c_mktsegment, c_name, CASE c_custkey % 5 WHEN 0 THEN 'Limited' WHEN 1 THEN 'Services International' WHEN 2 THEN 'The Société' WHEN 3 THEN 'Holdings & Company' ELSE '' END) AS name,
+ CASE WHEN c_custkey % 7 = 0 THEN 'n/a, -' ELSE 'N°' || c_custkey || ' bis ' || CASE WHEN c_custkey % 2 = 0 THEN 'Anenue' ELSE 'Chemin' END || ' du Général, ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' Residence 007' ELSE '' END || ', NULL' END AS address FROM customer),
+ f AS (SELECT idx, lower(strip_accents(name)) AS fn, array_to_string({_PARTS}, ', ') AS clean FROM r), g AS (SELECT *, lower(strip_accents(clean)) AS fa FROM f),
+ n AS (SELECT *, list_filter(regexp_split_to_array(replace(regexp_replace(fn, '#\\s*\\d{{4,}}|\\b\\d{{5,}}\\b', ' ', 'g'), '&', ' and '), '[^0-9a-z]+'), lambda t: t <> '') AS raw, string_split(regexp_replace(regexp_replace(fa, '\\bn\\s*°\\s*', ' ', 'g'), '\\b(\\d+)\\s*(?:bis|ter|quater|[bt])\\b', '\\1 ', 'g'), ',') AS parts FROM g),
+ t AS (SELECT *, list_transform(raw, lambda w: coalesce({_MAP(L.NAME_FORMS)}[w], w)) AS ntok, list_transform(list_filter(parts, lambda p: trim(p) <> ''), lambda p: {{'p': p, 'w': list_filter(list_transform(list_filter(regexp_split_to_array(replace(p, 'anenue', 'avenue'), '[^0-9a-z]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$')), lambda w: coalesce({_MAP(L.ADDRESS_FORMS)}[w], w)), lambda w: NOT list_contains({_IN(L.ADDRESS_NOISE)}, w))}}) AS told FROM n),
+ u AS (SELECT *, coalesce(list_min(list_filter(range(1, len(told) + 1), lambda i: regexp_matches(told[i].p, '[0-9]'))), 1) AS street FROM t)
+ SELECT idx, concat(trim(regexp_replace(fn, '\\s+', ' ', 'g')), ' ;', CASE WHEN fa = '' THEN '' ELSE ' ' || fa END) AS mtext, ntok, list_distinct_in_order AS ncore, false AS ndom, coalesce(flatten(list_transform(told, lambda x: x.w)), []) AS atok, {NUMS.format("array_to_string(parts, ',')")} AS anum, 0 AS nscript, clean = '' AS amiss, coalesce(told[street].w, []) AS astreet,
+ list_filter(list_transform(list_filter(range(1, len(told) + 1), lambda i: i <> street), lambda i: array_to_string(told[i].w, ' ')), lambda x: x <> '') AS aloc
+ FROM (SELECT *, list_filter(list_transform(range(1, len(ntok) + 1), lambda i: CASE WHEN list_position(ntok, ntok[i]) = i AND NOT list_contains({_IN(L.LEGAL | L.HONORIFIC | L.NAME_STOP)}, ntok[i]) AND NOT regexp_matches(ntok[i], '^[0-9]+$') THEN ntok[i] END), lambda w: w IS NOT NULL) AS list_distinct_in_order FROM u)""")
 def normalise_records(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.concat_ws(" ", "c_mktsegment", "c_name", F.lit("Limited")).alias("business_name"), F.concat(F.lit("N°"), F.col("c_custkey").cast("string"), F.lit(" bis Anenue du Général, "), F.col("c_mktsegment"), F.lit(", NULL")).alias("business_address"))
-    return textnorm.normalise(c)
+    k = F.col("c_custkey")
+    word = F.when(k % 5 == 0, "Limited").when(k % 5 == 1, "Services International").when(k % 5 == 2, "The Société").when(k % 5 == 3, "Holdings & Company").otherwise("")
+    street = F.concat(F.lit("N°"), k.cast("string"), F.lit(" bis "), F.when(k % 2 == 0, "Anenue").otherwise("Chemin"), F.lit(" du Général, "), F.col("c_mktsegment"), F.when(k % 3 == 0, " Residence 007").otherwise(""), F.lit(", NULL"))
+    c = read(spark, d, "customer").select(k.alias("idx"), F.concat_ws(" ", "c_mktsegment", "c_name", word).alias("business_name"), F.when(k % 7 == 0, "n/a, -").otherwise(street).alias("business_address"))
+    return textnorm.normalise(c).drop("business_name", "business_address")
 
 
 # -- learned models ---------------------------------------------------------------------------------------------------

@@ -105,8 +105,9 @@ def test_dictionaries(spark, tmp_path):
 
 def test_vote_tokens_and_romanisation():
     assert textnorm.vote_tokens("L'Étoile du Général, 5") == ["letoile", "du", "general", "5"] and textnorm.vote_tokens(None) == []
-    table = {"नमस्ते": "namasate", "दिल्ली": "dailalaii", "Москва": "emoesekava", "Ωmega": "omegamega"}
-    assert {k: textnorm.romanise(textnorm.fold(k)).isascii() for k in table} == dict.fromkeys(table, True)
+    # spellings by the characters' names: inherent vowels stand, long signs are doubled
+    table = {"क": "ka", "का": "kaaa", "दीप": "daiipa", "ж": "zhe", "١٢": "12", "ab": "ab"}
+    assert {k: textnorm.romanise(k) for k in table} == table
     assert textnorm.romanise_text("Café ab") == "cafe ab"
 
 
