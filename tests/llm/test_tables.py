@@ -132,6 +132,53 @@ def test_imatch(spark, docs):
     assert imatch.fingerprints(docs).count() == docs.count() and imatch.fingerprints(bare(spark)).count() == 3
 
 
+def murmur(values):
+    """Spark's hash() of an array of longs."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> 32 - r) & m
+    h = 42
+    for v in values:
+        for part in (v & m, v >> 32 & m):
+            k = rot(part * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+            h = rot(h ^ k, 13) * 5 + 0xE6546B64 & m
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & m
+        h = (h ^ h >> 13) * 0xC2B2AE35 & m
+        h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_imatch_fingerprints_by_brute_force(docs):
+    import re
+    import struct
+
+    import xxhash
+
+    rows = docs.filter("doc_id <> 505")
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    signed = lambda u: u - (1 << 64) if u >> 63 else u
+    term = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), seed=42))
+    other = lambda t: signed(xxhash.xxh64_intdigest(struct.pack("<i", 1), seed=xxhash.xxh64_intdigest(struct.pack("<q", t), seed=42)))
+    words = {i: {term(w) for w in re.split(r"[^\w]+|_+", t.lower()) if w} for i, t in texts.items()}
+    df = {}
+    for own in words.values():
+        for t in own:
+            df[t] = df.get(t, 0) + 1
+    n = len(texts)
+    band = {t for t, k in df.items() if max(2, imatch.LEAST_SHARE * n) <= k <= max(2, imatch.MOST_SHARE * n)}
+    got = {r.doc_id: r.fingerprint.split(" ") for r in imatch.fingerprints(rows).collect()}
+    for i, own in words.items():
+        lexicon = sorted(own & band) or sorted(own)
+        subsets = [lexicon]
+        for family in range(imatch.FAMILIES):
+            for seed in range(imatch.SEEDS):
+                keep = list(lexicon) if not family else [other(t) for t in lexicon]
+                for bit in range(seed * imatch.LEVELS, (seed + 1) * imatch.LEVELS):
+                    keep = [t for t in keep if not t >> bit & 1]
+                    subsets.append(keep)
+        assert got[i] == [str(murmur(s)) if s else "-" for s in subsets], i
+
+
 def test_imatch_ranges_meet(spark, monkeypatch):
     bounds = imatch.id_bounds
     monkeypatch.setattr(imatch, "id_bounds", lambda d: bounds(d, 3))

@@ -304,6 +304,83 @@ def test_toxic_features():
     assert dict(zip(toxicity.NAMES, toxicity.features("i d i o t", lex), strict=True))["disguised"] == 1
 
 
+def test_language_by_plain_counting():
+    """Hashed n-gram counts one character at a time, and the nearest centroid by plain cosines."""
+
+    def plain(text):
+        runs = re.findall(r"[^\W\d_]+", text)
+        line = "\0" + "\0".join(w.lower() for w in runs) + ("\0" if runs else "")
+        m, out = 0xFFFFFFFF, [0] * langid.DIM
+        mul = 2654435761
+        for i, c in enumerate(line):
+            one = ord(c) * mul & m
+            if c != "\0":
+                out[one >> 20] += 1
+            if i + 1 < len(line):
+                two = (one ^ (ord(line[i + 1]) * 40503 + 77 & m)) * mul & m
+                out[two >> 20] += 1
+                if i + 2 < len(line):
+                    out[(two ^ (ord(line[i + 2]) * 69069 + 13 & m)) * mul >> 20 & 0xFFF] += 1
+        return out
+
+    r = random.Random(3)
+    for _ in range(60):
+        t = "".join(r.choice("abcé ,.1ÄŒж\n") for _ in range(r.randint(1, 30)))
+        got = langid.counts(t)
+        assert got is None if not re.search(r"[^\W\d_]", t) else got.tolist() == plain(t)
+    text = lambda parts: " ".join(r.choice(parts) + r.choice(parts) for _ in range(25))
+    model = langid.fit([(k, langid.counts(text(v))) for k, v in {"aa": ["ka", "to"], "bb": ["sch", "ung"]}.items() for _ in range(20)])
+    for _ in range(20):
+        t = text(["ka", "ung", "to", "sch"])
+        v = [(1 + np.log(n)) * i if n else 0.0 for n, i in zip(plain(t), model.idf, strict=True)]
+        size = sum(x * x for x in v) ** 0.5
+        cos = [sum(x * c for x, c in zip(v, row, strict=True)) / size for row in model.centroids.tolist()]
+        lang, score, _ = model.predict(t)
+        assert lang == model.langs[cos.index(max(cos))] and abs(score - max(cos)) < 1e-9
+
+
+def test_toxic_features_by_plain_counting():
+    lex = toxicity.Lexicon([b"zork", b"blargh*"])
+    r = random.Random(9)
+    words = ["you", "Zork", "BLARGHS", "fine", "day", "idiot", "z0rk", "a", "YOUR", "z-o-r-k", "plain", "Word!"]
+    for _ in range(200):
+        t = " ".join(r.choice(words) for _ in range(r.randint(1, 60)))
+        f = dict(zip(toxicity.NAMES, toxicity.features(t, lex), strict=True))
+        own = [w for w in re.split(r"[^A-Za-z0-9]+", t) if w]
+        low = [w.lower() for w in own]
+        mark = [2 if w == "idiot" else 1 if w == "zork" or w.startswith("blargh") and len(w) >= 6 else 0 for w in low]
+        at = [i for i, k in enumerate(mark) if k]
+        second = [i for i, w in enumerate(low) if w in ("you", "your")]
+        n = len(own)
+        assert f["words"] == np.log1p(n) and f["built_in"] == mark.count(2) / n and abs(f["learned"] - mark.count(1) / n) < 1e-12
+        assert f["near_second"] == sum(any(abs(i - j) <= 4 for j in second) for i in at)
+        assert f["dense"] == max((sum(0 <= j - i < 40 for j in at) for i in at), default=0)
+        assert f["capital_words"] == sum(len(w) > 2 and w.isupper() for w in own) / n
+        assert f["repeats"] == sum(a == b for a, b in zip(low, low[1:], strict=False)) / n
+        assert f["exclamations"] == t.count("!") / len(t) and f["second"] == len(second) / n
+
+
+@pytest.mark.parametrize("text", ["z0rk" + "x" * 100 + " zork", "," * 90 + "z0rk", "fine\tz0rk", "fine,z0rk,day", "日本z0rk日本", "a.z0rk"])
+def test_disguised_words_anywhere_in_a_token(text):
+    f = dict(zip(toxicity.NAMES, toxicity.features(text, toxicity.Lexicon([b"zork"])), strict=True))
+    assert f["disguised"] == (0 if "xxx" in text else 1)
+
+
+def test_whole_description_by_hand():
+    """Greatest, mean and least chunk value of each filter, chunk by chunk and step by step."""
+    net = quality.start(2)
+    net.bias += 0.1
+    data = quality.bytes_of(bytes(range(32, 127)) * 40)
+    steps = (len(data) - quality.WIDTH) // quality.STRIDE + 1
+    out = [net.embed[data[i * quality.STRIDE : i * quality.STRIDE + quality.WIDTH]].ravel() @ net.filters for i in range(steps)]
+    blocks = [np.max(out[i : i + quality.BLOCK], axis=0) for i in range(0, steps, quality.BLOCK)]
+    chunks = [np.maximum(np.max(blocks[a : a + quality.CHUNK], axis=0) + net.bias, 0) for a in quality.chunk_starts(len(blocks))]
+    want = np.concatenate([np.max(chunks, 0), np.mean(chunks, 0), np.min(chunks, 0), [np.log1p(len(data)) / 10]])
+    assert np.allclose(quality.describe(net, data), want, atol=1e-4)
+    x = (want - net.mean) / net.scale
+    assert abs(quality.predict(net, [bytes(data)])[0] - 1 / (1 + np.exp(-(np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2)[()].item()))) < 1e-4
+
+
 def test_convolution_by_hand_and_learning():
     net = quality.start(1)
     data = quality.bytes_of(b"hello convolution, " * 400)
