@@ -9,8 +9,8 @@
 3. filter: rarest tokens first, two sets of Jaccard >= t share one of the first n - ceil(t n) + 1. A set whose prefix consists of
    tokens nobody else holds has no partner and ends here; most documents do.
 4. candidates: star edges from the least holder of each prefix token; their connected components are closed under links.
-5. verify: each component's sets meet in one task, in blocks of bounded size when it is large (every pair of blocks meets then), and links are
-   decided exactly. Index lists are blocks of postings sorted by position; a block is skipped when its positions leave too few
+5. verify: each component's sets meet in one task and links are decided exactly. A component that is too large for a task is linked in
+   parts first; what is not in its heaviest class then meets all parts, in cells of bounded size. Index lists are blocks of postings sorted by position; a block is skipped when its positions leave too few
    tokens for the overlap, its sizes do not fit, or all its sets are linked to the probing set already. A set that is highly similar
    to one answered before derives its overlaps from that set's: bounds by the sizes of the two differences decide most, and only the
    differing tokens are looked up for the rest. Links that cannot change the components are not expanded.
@@ -27,7 +27,7 @@ component. An empty table gives an empty result; further columns are ignored. No
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -351,6 +351,40 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
+def _large_groups(rows: DataFrame, verified: Callable[[DataFrame, str], DataFrame], block: int) -> DataFrame:
+    """node, root of the links in groups that are larger than a task should hold. rows: root, node, own (tokens).
+
+    A group is dealt in parts, each part linked within itself, and one set of each class so found meets those of the other parts. Mostly
+    a group is one class of near copies then, and few sets are in none or another. Sets of the heaviest class need not meet each
+    other any more: they stay in their parts, and only the other sets are laid out for all of those, and for each other.
+    """
+    dealt = lambda key, parts: F.pmod(F.xxhash64(key), parts).cast("int")
+    many = lambda weight: F.greatest(F.lit(1), F.ceil(weight / block)).cast("int")
+
+    def step(members: DataFrame, name: str) -> DataFrame:
+        """root, node, own, with the class that the node's part puts it in."""
+        sums = members.groupBy("root").agg(many(F.sum("own")).alias("parts"))
+        cells = members.join(sums, "root").select(F.xxhash64("root", dealt("node", F.col("parts"))).alias("g"), "node")
+        got = verified(cells, name).select("node", F.col("root").alias("to"))
+        return members.join(got, "node", "left").withColumn("to", F.coalesce("to", "node"))
+
+    one = materialize(step(rows, "parts"), "classes")
+    two = step(one.filter("node = to").select("root", "node", "own"), "heads").select(F.col("node").alias("to"), F.col("to").alias("class"))
+    classed = materialize(one.join(two, "to"), "classes")
+    main = classed.groupBy("root", "class").agg(F.sum("own").alias("w")).groupBy("root").agg(F.max_by("class", F.struct("w", "class")).alias("main"), F.max("w").alias("w_main"), (F.sum("w") - F.max("w")).alias("w_rest"))
+    told = classed.join(main.filter("w_rest > 0").select("root", "main", many(F.col("w_main")).alias("p_main"), many(F.col("w_rest")).alias("p_rest")), "root")
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    none, own = F.lit(0), dealt("node", F.col("p_rest"))
+    home = F.array(cell("main", dealt("node", F.col("p_main")), none))
+    abroad = F.transform(F.sequence(none, F.col("p_main") - 1), lambda o: cell("main", o, none))
+    among = F.transform(F.sequence(none, F.col("p_rest") - 1), lambda o: cell("rest", F.least(o, own), F.greatest(o, own)))
+    cells = told.withColumn("cell", F.explode(F.when(F.col("class") == F.col("main"), home).otherwise(F.concat(abroad, among))))
+    last = verified(cells.select(F.xxhash64("root", "cell.kind", "cell.x", "cell.y").alias("g"), "node"), "cells")
+    edges = one.select(F.col("node").alias("u"), F.col("to").alias("v")).union(two.select("to", "class")).union(last.select("node", "root"))
+    merged = connected_components(edges)
+    return one.select("node").join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def _classed(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """doc_id, h (hash of the text), n, component_id, and the least row (low, low_h) of the component, of every row of docs."""
     spark: SparkSession = docs.sparkSession
@@ -366,16 +400,18 @@ def _classed(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
 
     light = live.select("node", (F.octet_length("tokens") / 8).alias("own"))  # token lists are joined once, after their groups are weighed
     sizes = near.join(light, "node").groupBy("root").agg(F.sum("own").alias("weight"))
-    big = F.col("weight") > 2 * block
-    parts = F.ceil(F.col("weight") / block).cast("int")
-    # a small group is one cell; a large one is dealt in parts, and each pair of parts meets in a cell
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    cells = F.when(big, F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))))
-    laid = near.join(sizes, "root").join(live, "node").withColumn("cell", F.explode(cells)).select(F.xxhash64("root", "cell.a", "cell.b").alias("g"), "node", "n", "tokens")
-    found = materialize(laid.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(percent), "node long, root long"), "links")
-    if sizes.filter(big).limit(1).count():  # parts of one group answer apart: join their answers
-        merged = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        found = found.select("node").distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    large = sizes.filter(F.col("weight") > 2 * block)
+
+    def verified(cells: DataFrame, name: str) -> DataFrame:
+        """node, root of the links within each cell. cells: g, node."""
+        laid = cells.join(live, "node").select("g", "node", "n", "tokens")
+        return materialize(laid.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(percent), "node long, root long"), name)
+
+    if not large.limit(1).count():
+        found = verified(near.select(F.xxhash64("root").alias("g"), "node"), "links")
+    else:
+        found = verified(near.join(large, "root", "left_anti").select(F.xxhash64("root").alias("g"), "node"), "links")
+        found = found.unionByName(_large_groups(materialize(near.join(large.select("root"), "root").join(light, "node"), "large"), verified, block))
 
     # one row a chunk stands for all its copies of a set, so copies of any number meet as few rows
     firsts = sets.filter("sig is not null and node = first").select("node", "sig", F.struct(F.col("low").isNull().alias("none"), "low", "low_h").alias("low"))

@@ -42,7 +42,7 @@ def bare(spark):
     return spark.createDataFrame([(None, None), (None, "a"), (1, "x y z")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
 
 
-@pytest.mark.parametrize("block", [1_000_000, 100])
+@pytest.mark.parametrize("block", [1_000_000, 60])
 def test_jaccard_components(docs, block):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted(map(tuple, jaccard_join.components(docs, block=block).collect()))
