@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch. Texts reach 100 kB and more, so batches stay small enough for a Python worker of a few hundred MB.
 ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 #: Labels that a classifier can have; their counts are gathered and broadcast, so a table with more is refused.
-MOST_LABELS = 10_000
+MOST_LABELS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,19 +89,20 @@ def sample(docs: DataFrame, rows: DataFrame, per_class: int, label: str, most_by
 
     rows: doc_id, label. At most per_class ids of each label are taken, those of the lowest hash, as long as their texts together stay
     within most_bytes a label (a text that would pass it is left out whole). An id met there with two labels is not taken; of an
-    id's different texts the one of least hash is. Counts by label tell under which hash about twice as many rows lie; only those leave the scan, so no
-    task ranks a whole label, and ids and lengths of twice the sample are all that is gathered.
+    id's different texts the one of least hash is. Counts by label tell under which hash about twice as many rows lie; only those leave
+    the scan, so no task gets a whole label, and ids of about twice the sample, which the driver ranks, are all that is gathered.
     """
-    from pyspark.sql import Window
-
     spark = docs.sparkSession
     kind = rows.schema[label].dataType.simpleString()
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
     low = place < (1 << 30) * ((2.0 * per_class + 200) / F.col("_n"))
     few = rows.join(F.broadcast(label_counts(rows, label)), F.col(label) == F.col("_label")).filter(low)
     few = few.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_other")).filter(F.col(label) == F.col("_other"))
-    ranked = few.select("doc_id", label, place.alias("_place")).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_place", "doc_id")))
-    ids = [(r[0], r[1], r[2]) for r in ranked.filter(F.col("_r") <= per_class).select("doc_id", label, "_r").collect()]
+    ids, taken_of = [], {}
+    for r in sorted(few.select("doc_id", label, place.alias("_place")).collect(), key=lambda r: (r["_place"], r["doc_id"])):
+        taken_of[r[label]] = n = taken_of.get(r[label], 0) + 1
+        if n <= per_class:
+            ids.append((r["doc_id"], r[label], n))
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     # a bounded list of ids, so a broadcast
     one = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(ids, f"doc_id {id_kind}, {label} {kind}, _r int")), "doc_id")
