@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from knotwork.operators import decide, evaluate, knn, learn, rules, tfidf
@@ -153,3 +154,23 @@ def test_link_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.q_idx, r.s1_idx) for r in got] == [(1, 2)]
+
+
+@pytest.mark.parametrize("size", [3, 50, 8192])
+def test_sparse_neighbours_against_all_pairs(spark, tmp_path, size):
+    """Chunks of any size, many copies, ties, records without terms and of no label: ranks as of
+    a table of all pairs, and no record is laid out twice."""
+    texts = "select id, if(id % 17 = 0, null, if(id % 3 = 0, 'x', 'y')) as label, id % 2 = 1 as is_query, case when id % 13 = 0 then '' when id % 4 = 0 then 'same text here' else concat('w', id % 5, ' w', id % 7, ' here r', id % 50) end as text from range(300)"
+    df = spark.sql(texts)
+    w = tfidf.weights(df, tfidf.word_terms(F.col("text")), "label")
+    a, b = (w.join(df.select("id", "is_query"), "id").filter(F.col("is_query") == q).select("label", "term", F.col("id").alias(n), F.col("w").alias("v" + n)) for q, n in ((True, "q_idx"), (False, "s1_idx")))
+    all_pairs = a.join(b, ["label", "term"]).groupBy("q_idx", "s1_idx").agg(F.round(F.sum(F.col("vq_idx") * F.col("vs1_idx")), 6).alias("cos"))
+    want = knn.bidirectional(all_pairs, 4, 3)
+    chunks = knn.packed_chunks(df, tfidf.word_terms(F.col("text")), size)
+    chunks.write.parquet(str(tmp_path / "packed"))
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    assert packed.select(F.sum(F.size("ids"))).first()[0] == df.filter("text <> ''").count()
+    assert packed.count() > (30 if size == 3 else 1)
+    got = knn.sparse_neighbours(df, packed, 4, 3)
+    key = ["q_idx", "s1_idx", "cos", "rq", "rs"]
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
