@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork import schema
+from knotwork.functions import lexicon as L
 from knotwork.functions import pairs as P
 from knotwork.functions import similarity
-from knotwork.operators import rules
+from knotwork.operators import cells, rules
 from knotwork.sources import sinks, tables
 
 RULES = ("fr_swap", "namesake", "cap", "veto")
@@ -52,6 +53,17 @@ def remove(links: DataFrame, s1: DataFrame, which: Sequence[str] = RULES, countr
     return out
 
 
+def remove_in_blocks(s1: DataFrame, q: DataFrame, block: Sequence[str], score: Callable, caps: dict[int, int] = L.LINK_CAPS, default: int = 99) -> DataFrame:
+    """sid, qid of the links that the rules namesake and cap leave of all pairs of a block, as remove does of these links: records that
+    the first rule takes out are no pairs, and of the others only the best of an entity and source are laid out. score: from the idx of
+    entities (a column) and of queries (a row) to the matrix of p."""
+    left = rules.namesake_rule(q.select("idx", "entity_id", *dict.fromkeys([*block, "country"]), "ntok", "amiss", "src"), s1)
+    a, b = s1.select(F.col("idx").alias("s1_idx"), *block), left.select(F.col("idx").alias("q_idx"), *block, F.col("src").cast("int").alias("src"))
+    kept = cells.best_pairs(a, b, block, ("s1_idx", "q_idx"), "src", score, caps, default)
+    kept = kept.join(s1.select(F.col("idx").alias("s1_idx"), F.col("entity_id").alias("sid")), "s1_idx")
+    return kept.join(q.select(F.col("idx").alias("q_idx"), F.col("entity_id").alias("qid")), "q_idx").select("sid", "qid")
+
+
 def rewrite(spark, source: str, target: str, s1: DataFrame, q: DataFrame, scored: DataFrame, which: Sequence[str] = RULES) -> DataFrame:  # noqa: ANN001
     """Link file to link file; every entity keeps its row. Returns what was written."""
     listed = tables.read_tsv(spark, source, schema.LINKS).withColumnRenamed("source1_entity_id", "sid")
