@@ -174,3 +174,34 @@ def test_sparse_neighbours_against_all_pairs(spark, tmp_path, size):
     got = knn.sparse_neighbours(df, packed, 4, 3)
     key = ["q_idx", "s1_idx", "cos", "rq", "rs"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+
+@pytest.mark.parametrize(("strip", "products"), [(16, 40), (64, 5_000), (256, 131_072)])
+@pytest.mark.parametrize("words", [3, 40])
+def test_cells_of_sparse_chunks_against_all_pairs(monkeypatch, strip, products, words):
+    """The best of both directions of two chunks, a bounded number of products at once; few words make many ties, and ties of rounded values
+    go to the lower id."""
+    monkeypatch.setattr(knn, "STRIP", strip)
+    monkeypatch.setattr(knn, "PRODUCTS", products)
+    rng = np.random.default_rng(words)
+
+    def chunk(n: int, first: int) -> knn._Chunk:
+        rows = [np.unique(rng.integers(0, words, rng.integers(1, 6))) for _ in range(n)]
+        terms, codes = np.unique(np.concatenate(rows), return_inverse=True)
+        row = {"reps": np.arange(first, first + 2 * n, 2), "lens": np.array([len(x) for x in rows]), "codes": codes.astype(np.int32), "terms": terms, "dfs": 1 + terms * 7 % 5}
+        return knn._Chunk(row, 500)
+
+    a, b = chunk(150, 1), chunk(90, 2)
+    whole = np.zeros((a.n, b.n))
+    for i, m in knn._strips(a, b):
+        whole[i : i + len(m)] = m
+    dense = [np.zeros((c.n, words)) for c in (a, b)]
+    for c, d in zip((a, b), dense, strict=True):
+        d[c.row, c.terms[c.code]] = c.w
+    assert np.allclose(whole, dense[0] @ dense[1].T, atol=1e-12)
+    m = np.round(np.where(whole > 0, whole, -np.inf), 4)
+    best = lambda m, k: {(i, int(j)) for i, row in enumerate(m) for j in np.lexsort((np.arange(len(row)), -row))[:k] if row[j] > -np.inf}
+    for k, r in ((4, 3), (2, 0), (0, 2)):
+        want = {(int(a.ids[i]), int(b.ids[j])): m[i, j] for i, j in best(m, k) | {(j, i) for i, j in best(m.T, r)}}
+        got = list(zip(*(x.tolist() for x in knn._cell(a, b, k, r, 4)), strict=True))
+        assert {(x, y): v for x, y, v in got} == want and len(got) == len(want)
