@@ -205,3 +205,12 @@ def test_cells_of_sparse_chunks_against_all_pairs(monkeypatch, strip, products,
         want = {(int(a.ids[i]), int(b.ids[j])): m[i, j] for i, j in best(m, k) | {(j, i) for i, j in best(m.T, r)}}
         got = list(zip(*(x.tolist() for x in knn._cell(a, b, k, r, 4)), strict=True))
         assert {(x, y): v for x, y, v in got} == want and len(got) == len(want)
+
+
+def test_cells_are_multiplied_once(spark):
+    """No direction multiplies the chunks anew: the plan of the neighbours starts from a table of what the cells gave."""
+    from knotwork.plans import linkage
+
+    records = spark.createDataFrame([(i, "x", f"a{i % 3} b{i % 5}", i % 2 == 1) for i in range(40)], "id long, label string, text string, is_query boolean")
+    plan = linkage.candidates_by_words(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_codes" not in plan and "cells" in "".join(linkage.candidates_by_words(records).inputFiles())
