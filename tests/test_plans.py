@@ -150,3 +150,13 @@ def test_streams_of_models(spark):
     fitted = s.model.stages[-1]
     for x in s.score(seen).collect():
         assert abs(x.xe - (fitted.intercept + fitted.coefficients[0] * x.a + fitted.coefficients[1] * x.b)) < 1e-9
+
+
+def test_records_are_dealt_out_before_they_are_normalised(spark):
+    """One small file is not normalised by one task."""
+    from knotwork.plans import linkage
+
+    s1 = spark.createDataFrame([(i, f"a{i}", "Blue Fern Corporation", f"{i} Road, Xville", "US") for i in range(20)], "idx long, entity_id string, business_name string, business_address string, country string").coalesce(1)
+    true = spark.createDataFrame([(i, i) for i in range(9)], "q_idx long, s1_idx long")
+    for side in linkage.prepare(s1, s1, true):
+        assert "RepartitionByExpression [idx" in side._jdf.queryExecution().optimizedPlan().toString()
